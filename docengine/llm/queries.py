@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
+from docengine.llm.bpe import op3_bpe
 from docengine.llm.ngram_join import OP6_SQL, op6_ngram_join
 
-QUERIES = {"op6_ngram_join": op6_ngram_join}
+QUERIES = {"op3_bpe": op3_bpe, "op6_ngram_join": op6_ngram_join}
 ORACLES = {"op6_ngram_join": OP6_SQL}
