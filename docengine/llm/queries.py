@@ -1,7 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
 from docengine.llm.bpe import op3_bpe
+from docengine.llm.decontaminate import op1_decontaminate
 from docengine.llm.ngram_join import OP6_SQL, op6_ngram_join
+from docengine.llm.secrets import OP10_SQL, op10_secrets
 
-QUERIES = {"op3_bpe": op3_bpe, "op6_ngram_join": op6_ngram_join}
-ORACLES = {"op6_ngram_join": OP6_SQL}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_bpe": op3_bpe,
+    "op6_ngram_join": op6_ngram_join,
+    "op10_secrets": op10_secrets,
+}
+ORACLES = {"op6_ngram_join": OP6_SQL, "op10_secrets": OP10_SQL}

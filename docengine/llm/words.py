@@ -46,6 +46,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
+    if column.null_count == len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
