@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.graph import components
+from docengine.llm.sieve import sieved
 from docengine.llm.words import chunks, list_array, mixed, shingle_sets
 from docengine.session import cut
 
@@ -81,7 +82,7 @@ def _frequent(docs: DataFrame, size: int, chunk_tokens: int, at_least: int, tota
     top = found.groupBy(F.expr(f"pmod(token, {1 << CLASS_BITS})").cast("int").alias("slot")).agg(F.max(F.log2("n")).cast("int").alias("c"))
     table = np.zeros(1 << CLASS_BITS, np.uint8)
     for row in top.toLocalIterator():  # at most 2**CLASS_BITS rows
-        table[row.slot] = min(row.c, 60)
+        table[row.slot] = min(row.c, 31)
     return table
 
 
@@ -125,11 +126,13 @@ def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     All tokens of both up to the smaller of the last prefix tokens are known; there, the two
     may differ in no more tokens than linked documents may in all.
     """
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("base").alias(f"base{x}"))
+    sizes = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
+    # the upper halves of the tokens keep their order, and equal halves only hide differences
+    side = lambda x: reps.select(F.col("id").alias(x), F.transform("base", lambda t: F.shiftright(t, 32).cast("int")).alias(f"base{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.filter(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
     bound = F.least(F.element_at("basea", -1), F.element_at("baseb", -1))
-    cut_to = lambda x: F.filter(x, lambda t: t <= bound)
+    cut_to = lambda x: F.filter(x, lambda t: t < bound)
     apart = F.size(F.array_except(cut_to("basea"), cut_to("baseb"))) + F.size(F.array_except(cut_to("baseb"), cut_to("basea")))
     return both.filter(apart * num <= F.least("na", "nb") * (den - num)).select("a", "b")
 
@@ -137,16 +140,7 @@ def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole shingle sets reach num/den."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits = 1 << 22  # a bitmap of fixed size: rows whose id can't be needed don't reach the shuffle
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = needed.groupBy((slot / 64).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(pmod(xxhash64(id), {bits}) % 64))")).alias("bits"))
-    texts = (
-        docs.select("id", "text", (slot / 64).cast("long").alias("word"))
-        .join(F.broadcast(words), "word")
-        .filter(F.expr(f"bits & shiftleft(1L, int(pmod(xxhash64(id), {bits}) % 64)) <> 0"))
-        .select("id", "text")
-        .join(needed, "id", "left_semi")
-    )
+    texts = sieved(docs.select("id", "text"), needed, "id").join(needed, "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +168,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     indexed = cut(_indexed(docs, size, num, den, classes))
     sets = indexed.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     reps = indexed.filter("n > 0 and id is not null").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    reps = cut(reps)
     keys = reps.select("id", F.explode(F.concat(F.filter("base", lambda t: F.shiftrightunsigned(t, 58) == 0), "runs")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
-    buckets = cut(keys.join(shared, "key"))
+    shared = cut(shared)
+    buckets = cut(sieved(keys, shared, "key", 24).join(shared, "key"))
     stars = buckets.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     links = cut(_verified(cut(_close(stars, reps, num, den)), docs, size, num, den))
     groups = cut(components(links))

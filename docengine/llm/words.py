@@ -83,10 +83,10 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((h[end] - h[start]) * down[start])
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all rows in order, and the index of each row's first word."""
+def word_spans(column: pa.Array, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The prefix hash of the lower-cased bytes, the words' starts and ends, each row's first word."""
     data, offsets = raw_bytes(column)
-    inside = _IN_WORD[data]
+    inside = in_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -96,8 +96,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = span_hash(prefix_hash(_LOWER[data]), starts, ends)
-    return hashes, np.searchsorted(starts, offsets)
+    return prefix_hash(_LOWER[data]), starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all rows in order, and the index of each row's first word."""
+    h, starts, ends, rows = word_spans(column)
+    return span_hash(h, starts, ends), rows
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
