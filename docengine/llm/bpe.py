@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,10 @@ from docengine.llm.words import chunks, list_array
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII characters only.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 CACHE_WORDS = 1 << 18
+NEVER = 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,76 +55,106 @@ class Vocabulary:
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         single = {b[0]: i for i, b in self.bytes_of.items() if len(b) == 1 and i not in self.added.values()}
-        self.first = [single[b] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.first = np.array([single[b] for b in range(256)], np.int64)
+        merges = {}
         for rank, pair in enumerate(model["merges"]):
             x, y = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[model["vocab"][x], model["vocab"][y]] = (rank, model["vocab"][x + y])
-        self.pair_at = {rank: (pair, new) for pair, (rank, new) in self.merges.items()}
-        self.words = regex.compile(PATTERN)
+            merges[model["vocab"][x] << 32 | model["vocab"][y]] = (rank, model["vocab"][x + y])
+        self.pairs = np.array(sorted(merges), np.int64)
+        self.ranks = np.array([merges[p][0] for p in self.pairs.tolist()] + [NEVER], np.int64)
+        self.made = np.zeros(len(model["merges"]), np.int64)
+        self.doubled = np.zeros(len(model["merges"]), bool)  # the pair is of one symbol
+        for p, (rank, new) in merges.items():
+            self.made[rank], self.doubled[rank] = new, p >> 32 == p & 0xFFFFFFFF
+        self.words, self.ascii_words = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, by one pair occurrence index over all of them."""
+    def rank_of(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NEVER if it isn't merged."""
+        key = x << 32 | y
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return self.ranks[np.where(self.pairs[at] == key, at, len(self.pairs))] if len(self.pairs) else np.full(len(key), NEVER)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (as int32 bytes), by one pair occurrence index over all of them."""
         data = [w.encode() for w in words]
-        first = self.first
-        ids = [first[b] for w in data for b in w]
+        sizes = np.array([len(w) for w in data], np.int64)
+        ends = np.cumsum(sizes)
+        ids = self.first[np.frombuffer(b"".join(data), np.uint8)]
         n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        starts, at = [], 0
-        for w in data:
-            starts.append(at)
-            before[at] = -1
-            at += len(w)
-            after[at - 1] = -1
-        merges, places, ranks = self.merges, {}, []
-        for i in range(n):
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        before[(ends - sizes)[sizes > 0]] = -1
+        after[ends[sizes > 0] - 1] = -1
+        rank = np.full(n + 1, NEVER)  # of the pair that begins at each position; [-1] is a stopper
+        have = np.flatnonzero(after >= 0)
+        rank[have] = self.rank_of(ids[have], ids[after[have]])
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def index(where: np.ndarray) -> None:
+            """List the positions under the ranks of their pairs."""
+            where = where[rank[where] != NEVER]
+            if not len(where):
+                return
+            where = where[np.argsort(rank[where], kind="stable")]
+            r = rank[where]
+            edges = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
+            for k, low, high in zip(r[edges[:-1]].tolist(), edges, edges[1:], strict=False):
+                if k in places:
+                    places[k].append(where[low:high])
+                else:
+                    places[k] = [where[low:high]]
+                    heapq.heappush(active, k)
+
+        index(have)
+        while active:
+            k = heapq.heappop(active)
+            lists = places.pop(k)
+            i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            i = i[rank[i] == k]
+            if self.doubled[k] and len(i) > 1:  # of neighbours in a row, the first, third, ... merge
+                i = np.sort(i)
+                new = np.concatenate([[True], after[i[:-1]] != i[1:]])
+                start = np.flatnonzero(new)
+                i = i[(np.arange(len(i)) - start[np.cumsum(new) - 1]) % 2 == 0]
+            if not len(i):
+                continue
             j = after[i]
-            if j >= 0 and (m := merges.get((ids[i], ids[j]))):
-                places.setdefault(m[0], []).append(i)
-        ranks = list(places)
-        heapq.heapify(ranks)
-        while ranks:
-            rank = heapq.heappop(ranks)
-            (x, y), new = self.pair_at[rank]
-            for i in sorted(places.pop(rank)):
-                j = after[i]
-                if ids[i] != x or j < 0 or ids[j] != y:
-                    continue  # an earlier merge took one of the two
-                k = after[j]
-                ids[i], ids[j], after[i] = new, -1, k
-                if k >= 0:
-                    before[k] = i
-                    if m := merges.get((new, ids[k])):
-                        if m[0] in places:
-                            places[m[0]].append(i)
-                        else:
-                            places[m[0]] = [i]
-                            heapq.heappush(ranks, m[0])
-                h = before[i]
-                if h >= 0 and (m := merges.get((ids[h], new))):
-                    if m[0] in places:
-                        places[m[0]].append(h)
-                    else:
-                        places[m[0]] = [h]
-                        heapq.heappush(ranks, m[0])
-        return [[t for t in ids[s : s + len(w)] if t >= 0] for s, w in zip(starts, data, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
+            nxt = after[j]
+            ids[i], ids[j], after[i] = self.made[k], -1, nxt
+            rank[i], rank[j] = NEVER, NEVER
+            more = nxt >= 0
+            before[nxt[more]] = i[more]
+            behind = before[i]
+            behind = behind[behind >= 0]
+            touched = np.concatenate([i[more], behind[after[behind] >= 0]])
+            touched = touched[ids[touched] >= 0]
+            rank[touched] = self.rank_of(ids[touched], ids[after[touched]])
+            index(np.unique(touched) if self.doubled[k] else touched)
+        alive = ids >= 0
+        count = np.concatenate([[0], np.cumsum(alive)]) * 4
+        body = ids[alive].astype(np.int32).tobytes()
+        return [body[x:y] for x, y in zip(count[ends - sizes].tolist(), count[ends].tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as int32 bytes."""
         parts = []
         for text in texts:
-            pieces = self.split.split(text) if self.split else [text]
-            parts.append([w for i, piece in enumerate(pieces) for w in ([piece] if i % 2 else self.words.findall(piece))])
+            find = self.ascii_words.findall if text.isascii() else self.words.findall
+            if self.split is None or not any(s in text for s in self.added):
+                parts.append(find(text))
+            else:
+                parts.append([w for i, piece in enumerate(self.split.split(text)) for w in ([piece] if i % 2 else find(piece))])
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         if not self.known:
-            self.known.update({s: [i] for s, i in self.added.items()})
+            self.known.update({s: np.int32(i).tobytes() for s, i in self.added.items()})
         known = self.known
-        if new := list({w for ws in parts for w in ws} - known.keys()):
+        if new := list(set().union(*parts).difference(known)):
             known.update(zip(new, self.encode_words(new), strict=True))
-        return [[i for w in ws for i in known[w]] for ws in parts]
+        return [b"".join(map(known.__getitem__, ws)) for ws in parts]
 
 
 @cache
@@ -135,7 +170,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids = own.encode([x or "" for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("id"), list_array([np.array(x, np.int32) for x in ids], pa.int32())], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), list_array([np.frombuffer(x, np.int32) for x in ids], pa.int32())], ["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -153,7 +188,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
             at = batch.schema.get_field_index(ids_col)
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [b"".join(map(get, x or ())).decode("utf-8", "replace") for x in part.column(at).to_pylist()]
+                column = part.column(at)
+                flat = (column.fill_null([]) if column.null_count else column).flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = np.cumsum(pc.coalesce(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+                texts = [b"".join(map(get, flat[x:y])).decode("utf-8", "replace") for x, y in zip([0, *ends], ends, strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

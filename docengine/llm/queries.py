@@ -2,6 +2,7 @@
 
 from docengine.llm.bpe import op3_bpe
 from docengine.llm.decontaminate import op1_decontaminate
+from docengine.llm.html import op5_html
 from docengine.llm.langid import op7_langid
 from docengine.llm.ngram_join import OP6_SQL, op6_ngram_join
 from docengine.llm.secrets import OP10_SQL, op10_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_urls": op4_urls,
+    "op5_html": op5_html,
     "op6_ngram_join": op6_ngram_join,
     "op7_langid": op7_langid,
     "op8_substrings": op8_substrings,

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from docengine.llm.bpe import Vocabulary, decode, encode, op3_bpe
@@ -18,7 +19,19 @@ def test_same_as_library():
     library = Tokenizer.from_file(PATH)
     own = Vocabulary(PATH)
     for text in TEXTS:
-        assert own.encode([text or ""])[0] == library.encode(text or "", add_special_tokens=False).ids, text
+        assert np.frombuffer(own.encode([text or ""])[0], np.int32).tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_many_words_at_once():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("aaabnést.éüoe  '") for _ in range(r.randint(1, 14))) for _ in range(200)) for _ in range(20)] + TEXTS
+    got = Vocabulary(PATH).encode([t or "" for t in texts])
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip_on_spark(spark):
