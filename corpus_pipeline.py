@@ -1,8 +1,70 @@
-"""Corpus pipeline: one operator of docengine.llm per stage."""
+"""Corpus pipeline: from documents to token ids, one operator of docengine.llm per stage.
 
-STAGES: list = []
+Every stage reads all rows that the one before kept. All stages but the last return the columns
+of their input. Rows with null or empty texts pass through the filtering stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docengine.llm import bpe, decontaminate, ngram_join, secrets, toxicity
+from docengine.llm.sieve import without
+from docengine.session import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of being toxic is under one half."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.severity(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five words, 0.8)."""
+    groups = ngram_join.ngram_join(docs, size=5, num=4, den=5)
+    return without(docs, cut(groups.filter("doc_id <> component_id").select("doc_id")), "doc_id")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark, n_chars being the new text's length."""
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    wanted = docs.withColumn("_key", F.struct("doc_id", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")))
+    both = bpe.decode(bpe.encode(wanted, path, id_col="_key"), path)
+    same = F.xxhash64("decoded") == F.col("_key.h")
+    return both.select("_key.doc_id", "_key.lang", "_key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("tokens", tokenize),
+]
+
+#: The first stage is a fitted model, so SQL can't express the pipeline; see tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table documents; each stage's rows are checkpointed for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs

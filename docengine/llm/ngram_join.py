@@ -16,7 +16,7 @@ candidates. Any class function keeps this complete; the classes only decide the
 
 A bucket's members are first compared with the bucket's smallest id; members of buckets that
 still span several components are compared across components only. So a group of n copies
-costs about n comparisons. Candidates that pass a bound computed from the prefixes are verified
+costs about n comparisons. Candidates that pass a bound computed from parity sketches are verified
 exactly on the whole texts. Documents with equal token sets count as one from the start.
 
 Nulls, empty texts and texts without words have no tokens and link with nothing. Repeated ids
@@ -40,7 +40,7 @@ from docengine.session import cut
 
 CLASS_BITS = 20
 _HASH_BITS = np.uint64(58)
-_SHARE = "id long, n int, h1 long, h2 long, base array<long>, runs array<long>"
+_SHARE = "id long, n int, h1 long, h2 long, base array<long>, runs array<long>, sketch array<long>"
 
 
 def run_length(num: int, den: int, most: int = 3) -> int:
@@ -86,6 +86,19 @@ def _frequent(docs: DataFrame, size: int, chunk_tokens: int, at_least: int, tota
     return table
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """One bit per slot: whether it holds an odd number of tokens; a power of two of slots, about as many as tokens.
+
+    Two sets' sketches differ in at most as many bits as the sets differ in tokens, also after
+    folding the longer onto the shorter.
+    """
+    slots = 64
+    while slots * 4 < len(tokens) * 3:
+        slots *= 2
+    odd = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _indexed(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
     k = run_length(num, den)
     held = docs.sparkSession.sparkContext.broadcast(classes)
@@ -95,13 +108,14 @@ def _indexed(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray
         table = held.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                counts, h1, h2, base, runs = [], [], [], [], []
+                counts, h1, h2, base, runs, sketches = [], [], [], [], [], []
                 for tokens in shingle_sets(part.column("text"), size):
                     n = len(tokens)
                     counts.append(n)
                     spread = mixed(tokens)
                     h1.append(int(np.bitwise_xor.reduce(spread)) if n else 0)
                     h2.append(int(spread.sum()) if n else 0)
+                    sketches.append(parity_sketch(spread))
                     kind = table[tokens & mask].astype(np.uint64)
                     order = np.sort((kind << _HASH_BITS) | (spread >> np.uint64(6)))
                     p = n + (-n * num // den) + 1 if n else 0
@@ -115,32 +129,28 @@ def _indexed(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray
                     else:
                         runs.append(order[:0])
                 signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h1, h2)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int32()), *signed, list_array(base), list_array(runs)], ["id", "n", "h1", "h2", "base", "runs"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int32()), *signed, list_array(base), list_array(runs), list_array(sketches)], ["id", "n", "h1", "h2", "base", "runs", "sketch"])
 
     return docs.select("id", "text").mapInArrow(index, _SHARE)
 
 
 def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the sizes and the base prefixes don't rule out.
-
-    All tokens of both up to the smaller of the last prefix tokens are known; there, the two
-    may differ in no more tokens than linked documents may in all.
-    """
+    """Pairs that the sizes and the parity sketches don't rule out."""
     sizes = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
     pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
-    # the upper halves of the tokens keep their order, and equal halves only hide differences
-    side = lambda x: reps.select(F.col("id").alias(x), F.transform("base", lambda t: F.shiftright(t, 32).cast("int")).alias(f"base{x}"))
+    side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    bound = F.least(F.element_at("basea", -1), F.element_at("baseb", -1))
-    cut_to = lambda x: F.filter(x, lambda t: t < bound)
-    apart = F.size(F.array_except(cut_to("basea"), cut_to("baseb"))) + F.size(F.array_except(cut_to("baseb"), cut_to("basea")))
+    # linked sizes differ by less than a factor of two, and so do their sketches
+    folded = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    apart = F.expr(f"aggregate(zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
     return both.filter(apart * num <= F.least("na", "nb") * (den - num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole shingle sets reach num/den."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = sieved(docs.select("id", "text"), needed, "id").join(needed, "id", "left_semi")
+    # an inner join: a semi join would be moved below the sieve
+    texts = sieved(docs.select("id", "text"), needed, "id").join(needed, "id")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,18 +171,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size: words a shingle; num/den: least Jaccard similarity. chunk_tokens, at_least and total
     say when a token counts as frequent and have no influence on the result.
     """
-    if not 0 < num < den:
-        raise ValueError("the similarity must lie between 0 and 1")
+    if not den < 2 * num < 2 * den:
+        raise ValueError("the similarity must lie between one half and 1")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     classes = _frequent(docs, size, chunk_tokens, at_least, total)
     indexed = cut(_indexed(docs, size, num, den, classes))
     sets = indexed.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    reps = indexed.filter("n > 0 and id is not null").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    reps = cut(reps)
-    keys = reps.select("id", F.explode(F.concat(F.filter("base", lambda t: F.shiftrightunsigned(t, 58) == 0), "runs")).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low")
-    shared = cut(shared)
-    buckets = cut(sieved(keys, shared, "key", 24).join(shared, "key"))
+    # of equal sets, the smallest id stands for all; it is also the smallest in any bucket of theirs
+    reps = cut(indexed.filter("n > 0 and id is not null").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    keys = indexed.filter("id is not null").select("id", F.explode(F.concat(F.filter("base", lambda t: F.shiftrightunsigned(t, 58) == 0), "runs")).alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
+    buckets = cut(sieved(keys, shared, "key", 24).join(shared, "key").join(reps.select("id"), "id"))
     stars = buckets.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     links = cut(_verified(cut(_close(stars, reps, num, den)), docs, size, num, den))
     groups = cut(components(links))

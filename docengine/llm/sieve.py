@@ -17,3 +17,17 @@ def sieved(df: DataFrame, keys: DataFrame, name: str, bits: int = 22) -> DataFra
     words = at.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     marked = df.withColumns({"_slot": F.expr(slot)}).withColumn("_word", F.expr("_slot div 64"))
     return marked.join(F.broadcast(words), "_word").filter("(_bits & shiftleft(1L, cast(_slot % 64 as int))) != 0L").select(*df.columns)
+
+
+def without(df: DataFrame, keys: DataFrame, name: str, bits: int = 22) -> DataFrame:
+    """The rows of df whose key isn't in keys. Only rows that the bitmap can't clear are shuffled."""
+    slot = f"pmod(xxhash64(`{name}`), {1 << bits})"
+    at = keys.select(F.expr(f"{slot} div 64").alias("_word"), F.expr(f"shiftleft(1L, cast({slot} % 64 as int))").alias("_bit"))
+    words = at.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = df.withColumn("_slot", F.expr(slot)).withColumn("_word", F.expr("_slot div 64")).join(F.broadcast(words), "_word", "left")
+    marked = marked.withColumn("_maybe", F.expr("coalesce((_bits & shiftleft(1L, cast(_slot % 64 as int))) != 0L, false)"))
+    clear = marked.filter("not _maybe").select(*df.columns)
+    gone = keys.select(F.col(name), F.lit(True).alias("_gone")).distinct()
+    # an outer join: an anti join would be moved below the sieve
+    rest = marked.filter("_maybe").select(*df.columns).join(gone, name, "left").filter("_gone is null").select(*df.columns)
+    return clear.unionByName(rest)
