@@ -9,11 +9,13 @@ strings that hold the anchor) are dealt into suffix buckets by anchor, and each
 by itself: strings that stand at the same distance from equal anchors are compared through
 64-bit names of their content. Nothing but one bucket is held at a time.
 
-Contexts that repeat within a task are settled there and passed on once, so a passage that
-occurs in any share of the rows reaches a bucket once a task. Anchors with more than ``hot``
-occurrences are dealt by string instead, in packed form, with the same settling.
+Contexts that repeat within a chunk of rows are settled there and passed on once, so a passage
+that occurs in any share of the rows reaches a bucket once a chunk. Where all contexts of an
+anchor are equal, their names are passed on and not their bytes. Anchors with different contexts
+that are so frequent that one bucket would outgrow the others are dealt by string instead, in
+packed form, with the same settling.
 
-The two tables of anchors that tasks hold (repeated, hot) have fixed sizes. Null texts count as
+The tables of anchors that tasks hold (repeated, with different contexts, hot) have fixed sizes. Null texts count as
 empty. Repeated rows are texts of their own, so two equal rows of ``length`` bytes or more are
 removed whole. Texts are read whole, and matches never cross them. Other columns are ignored.
 """
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from docengine.llm.words import chunks, mixed, prefix_hash, raw_bytes, span_hash
 from docengine.session import cut
 
-REPEATED_BITS, HOT_BITS = 26, 20
+BITMAP_BITS = 26
+CHUNK = 3 << 19
 _SPANS = "id long, th long, start int, stop int"
 
 
@@ -71,13 +74,14 @@ class Anchored:
         self.names = span_hash(self.h, self.positions, self.positions + block)
         self.row = np.searchsorted(self.offsets, self.positions, side="right") - 1
 
-    def contexts(self, which: np.ndarray, length: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the strings that hold the anchors begin and end."""
+    def content(self, which: np.ndarray, length: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the strings that hold the anchors begin and end, and a name of what lies between."""
         p, row = self.positions[which], self.row[which]
-        return np.maximum(p - (length - block), self.offsets[row]), np.minimum(p + length, self.offsets[row + 1])
+        low, high = np.maximum(p - (length - block), self.offsets[row]), np.minimum(p + length, self.offsets[row + 1])
+        return low, high, span_hash(self.h, low, high) ^ mixed((p - low).astype(np.uint64) + self.names[which])
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+def _bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """A bitmap of 2**bits hashed names; at most 2**(bits - 6) rows reach the driver."""
     slot = f"shiftrightunsigned(name, {64 - bits})"
     words = keys.groupBy(F.expr(f"{slot} div 64").cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} % 64 as int)))").alias("b")).toArrow()
@@ -86,7 +90,8 @@ def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def _marked(table: np.ndarray, bits: int, names: np.ndarray) -> np.ndarray:
+def _marked(table: np.ndarray, names: np.ndarray) -> np.ndarray:
+    bits = 6 + (len(table) - 1).bit_length()
     slot = names >> np.uint64(64 - bits)
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
@@ -111,34 +116,44 @@ def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, size[slot] > 1, size > 1
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int = 2000, n_buckets: int | None = None) -> DataFrame:
-    """(id, th, start, stop): byte spans of docs' (id, th, text) that repeat; they may overlap."""
+def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(id, th, start, stop): byte spans of docs' (id, th, text) that repeat; they may overlap.
+
+    hot: occurrences from which an anchor is dealt by string; by default twice what a task gets.
+    """
     spark = docs.sparkSession
-    if n_buckets is None:
-        n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = 4 * partitions
 
     def name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
-                names, counts = np.unique(Anchored(part.column("text"), length, block).names, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts.astype(np.int32))], ["name", "n"])
-
-    counted = docs.select("text").mapInArrow(name_anchors, "name long, n int").groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1")
-    counted = cut(counted)
-    tables = spark.sparkContext.broadcast((_bitmap(counted, REPEATED_BITS), _bitmap(counted.filter(F.col("n") > hot), HOT_BITS)))
-
-    # kind 0: a span that is settled; 1: a context for its bucket; 2: packed strings for theirs
+            for part in chunks(batch, "text", chunk):
+                a = Anchored(part.column("text"), length, block)
+                content = a.content(np.arange(len(a.positions)), length, block)[2]
+                order = np.lexsort((content, a.names))
+                names, content = a.names[order], (content[order] >> np.uint64(33)).astype(np.int32)
+                first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+                counts = np.diff(np.concatenate([first, [len(names)]])).astype(np.int32)
+                low, high = content[first], content[np.concatenate([first[1:], [len(names)]]) - 1] if len(names) else content
+                yield pa.RecordBatch.from_arrays([pa.array(names[first].view(np.int64)), pa.array(counts), pa.array(low), pa.array(high)], ["name", "n", "low", "high"])
+
+    counted = docs.select("text").mapInArrow(name_anchors, "name long, n int, low int, high int").groupBy("name")
+    counted = cut(counted.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1").select("name", "n", F.expr("low < high").alias("differ")))
+    if hot is None:
+        hot = max(1000, 2 * (counted.agg(F.sum("n")).first()[0] or 0) // partitions)
+    tables = spark.sparkContext.broadcast((_bitmap(counted), _bitmap(counted.filter("differ")), _bitmap(counted.filter(F.col("differ") & (F.col("n") > hot)))))
+
+    # kind 0: a span that is settled; 1: a context for its bucket; 2: packed strings for theirs; 3: a context's name
     sent = "kind int, bucket int, id long, th long, start int, stop int, name long, flag boolean, body binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, frequent = tables.value
+        repeated, different, frequent = tables.value
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", chunk):
                 a = Anchored(part.column("text"), length, block)
                 ids, th = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "th"))
-                keep = np.flatnonzero(_marked(repeated, REPEATED_BITS, a.names))
-                low, high = a.contexts(keep, length, block)
-                content = span_hash(a.h, low, high) ^ mixed((a.positions[keep] - low).astype(np.uint64) + a.names[keep])
+                keep = np.flatnonzero(_marked(repeated, a.names))
+                low, high, content = a.content(keep, length, block)
                 first, again, first_again = _firsts(content)
                 row = a.row[keep]
                 out: list[list] = [[] for _ in range(9)]
@@ -155,9 +170,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int
 
                 none = lambda n: (np.zeros(n, np.uint64), np.zeros(n, bool), [None] * n)
                 add(0, None, row[again], low[again], high[again], *none(int(again.sum())))
-                is_hot = _marked(frequent, HOT_BITS, a.names[keep])
-                cold = first[~is_hot[first]]
-                flags = first_again[~is_hot[first]]
+                plain = ~_marked(different, a.names[keep])
+                alike = first[plain[first]]
+                add(3, (a.names[keep][alike] % np.uint64(n_buckets)).astype(np.int32), row[alike], low[alike], high[alike], content[alike], first_again[plain[first]], [None] * len(alike))
+                is_hot = _marked(frequent, a.names[keep]) & ~plain
+                cold = first[~is_hot[first] & ~plain[first]]
+                flags = first_again[~is_hot[first] & ~plain[first]]
                 buffer = a.data.tobytes()
                 # start holds the anchor's place, stop the context's end
                 add(1, (a.names[keep][cold] % np.uint64(n_buckets)).astype(np.int32), row[cold], a.positions[keep][cold], high[cold], a.names[keep][cold], flags, [buffer[x:y] for x, y in zip(low[cold].tolist(), high[cold].tolist(), strict=True)])
@@ -190,7 +208,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int
         """The repeated strings of one suffix bucket."""
         table = table.combine_chunks()
         kind = table.column("kind").to_numpy()
-        found = [table.filter(pa.array(kind == 0)).select(["id", "th", "start", "stop"]), _settle_contexts(table.filter(pa.array(kind == 1)), length, block), _settle_packed(table.filter(pa.array(kind == 2)), length)]
+        found = [table.filter(pa.array(kind == 0)).select(["id", "th", "start", "stop"]), _settle_contexts(table.filter(pa.array(kind == 1)), length, block), _settle_packed(table.filter(pa.array(kind == 2)), length), _settle_names(table.filter(pa.array(kind == 3)))]
         return pa.concat_tables(found)
 
     return dealt.groupBy("bucket").applyInArrow(settle, _SPANS)
@@ -251,14 +269,20 @@ def _settle_packed(table: pa.Table, length: int) -> pa.Table:
     return pa.concat_tables(out) if out else _spans([], [], [], [])
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, block: int = 68, hot: int = 2000) -> DataFrame:
+def _settle_names(table: pa.Table) -> pa.Table:
+    again = _repeats(table.column("name").to_numpy(), table.column("flag").to_numpy(zero_copy_only=False))
+    return table.filter(pa.array(again)).select(["id", "th", "start", "stop"])
+
+
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, block: int = 68, hot: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, removed, kept) for each row: removed is the list of maximal [start, stop) byte
     spans, kept the remaining bytes."""
     if not 0 < block < length:
         raise ValueError("the block must be shorter than the string")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = repeated_spans(source, length, block, hot).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # bounded by one text
-    both = source.alias("d").join(found.alias("f"), F.expr("d.id <=> f.id and d.th = f.th"), "left").select("d.id", "text", F.expr("transform(spans, s -> s.start)").alias("starts"), F.expr("transform(spans, s -> s.stop)").alias("stops"))
+    keyed = source.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
+    found = repeated_spans(keyed, length, block, hot, chunk).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # bounded by one text
+    both = source.alias("d").join(found.alias("f"), F.expr(f"coalesce(d.id, {-(1 << 63) + 1}L - 1L) = f.id and d.th = f.th"), "left").select("d.id", "text", F.expr("transform(spans, s -> s.start)").alias("starts"), F.expr("transform(spans, s -> s.stop)").alias("stops"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
