@@ -1,4 +1,9 @@
-"""Registry of the engine's own queries: name -> (function, DuckDB SQL or None)."""
+"""Registry of the engine's own queries: name -> function, and their DuckDB equivalents."""
+
+from docengine.plans import basic
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in (basic,):
+    QUERIES |= _plan.Q
+    ORACLES |= _plan.SQL
