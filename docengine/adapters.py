@@ -19,7 +19,7 @@ VIEWS = {
     "members": """SELECT l_orderkey AS group_id, l_orderkey * 10 + l_linenumber AS extraction_id,
       CASE l_linestatus WHEN 'O' THEN 'actual' ELSE 'expected' END AS role, CASE WHEN l_linenumber = 7 THEN 'ambiguous' ELSE 'extracted' END AS status,
       l_quantity AS value, CASE l_returnflag WHEN 'N' THEN NULL ELSE l_returnflag END AS unit FROM lineitem""",
-    "pairs": """SELECT l_orderkey * 10 + l_linenumber AS group_id, l_orderkey * 10 + l_linenumber AS extraction_id, p_retailprice AS expected, round(l_extendedprice / l_quantity, 2) AS actual,
+    "pairs": """SELECT l_orderkey * 10 + l_linenumber AS group_id, l_orderkey * 10 + l_linenumber AS extraction_id, p_retailprice AS expected, l_extendedprice - p_retailprice * (l_quantity - 1) AS actual,
       CASE l_returnflag WHEN 'R' THEN NULL ELSE 'm' END AS expected_unit, CASE l_returnflag WHEN 'A' THEN 'm' WHEN 'R' THEN 'm' ELSE CASE WHEN l_linenumber = 1 THEN 'km' ELSE 'm' END END AS actual_unit
       FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "blocks": """SELECT doc_id, CAST(i AS INTEGER) AS block_order, lines[i] AS raw_text, CAST(i AS DOUBLE) / len(lines) AS y0 FROM (
@@ -74,7 +74,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return joined.select(
-        key.alias("group_id"), key.alias("extraction_id"), F.col("p_retailprice").alias("expected"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("actual"),
+        key.alias("group_id"), key.alias("extraction_id"), F.col("p_retailprice").alias("expected"), (F.col("l_extendedprice") - F.col("p_retailprice") * (F.col("l_quantity") - 1)).alias("actual"),
         F.when(flag != "R", "m").alias("expected_unit"), F.when((flag == "N") & (F.col("l_linenumber") == 1), "km").otherwise("m").alias("actual_unit"),
     )
 

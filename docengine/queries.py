@@ -1,9 +1,9 @@
 """Registry of the engine's own queries: name -> function, and their DuckDB equivalents."""
 
-from docengine.plans import basic
+from docengine.plans import basic, compare, package
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (basic,):
+for _plan in (basic, compare, package):
     QUERIES |= _plan.Q
     ORACLES |= _plan.SQL
