@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +145,6 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int
     tables = spark.sparkContext.broadcast((_bitmap(counted), _bitmap(counted.filter("differ")), _bitmap(counted.filter(F.col("differ") & (F.col("n") > hot)))))
 
     # kind 0: a span that is settled; 1: a context for its bucket; 2: packed strings for theirs; 3: a context's name
-    sent = "kind int, bucket int, id long, th long, start int, stop int, name long, flag boolean, body binary"
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, different, frequent = tables.value
         for batch in batches:
@@ -168,11 +167,15 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int
                         to.append(np.asarray(x))
                     out[8] += body
 
-                none = lambda n: (np.zeros(n, np.uint64), np.zeros(n, bool), [None] * n)
-                add(0, None, row[again], low[again], high[again], *none(int(again.sum())))
+                none = lambda n: (np.zeros(n, np.uint64), np.zeros(n, bool), [b""] * n)
+                if again.any():
+                    x, y, of = low[again], high[again], row[again]
+                    new = np.concatenate([[True], (x[1:] > y[:-1]) | (of[1:] != of[:-1])])
+                    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(x) - 1]])
+                    add(0, None, of[new], x[new], y[last], *none(int(new.sum())))
                 plain = ~_marked(different, a.names[keep])
                 alike = first[plain[first]]
-                add(3, (a.names[keep][alike] % np.uint64(n_buckets)).astype(np.int32), row[alike], low[alike], high[alike], content[alike], first_again[plain[first]], [None] * len(alike))
+                add(3, (a.names[keep][alike] % np.uint64(n_buckets)).astype(np.int32), row[alike], low[alike], high[alike], content[alike], first_again[plain[first]], [b""] * len(alike))
                 is_hot = _marked(frequent, a.names[keep]) & ~plain
                 cold = first[~is_hot[first] & ~plain[first]]
                 flags = first_again[~is_hot[first] & ~plain[first]]
@@ -196,17 +199,17 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int
                     pieces = np.split(packed[order], edges[1:])
                     owner = rows[one][order][edges]
                     add(2, bucket[order][edges].astype(np.int32), owner, a.offsets[owner], a.offsets[owner], *none(len(owner))[:2], [x.tobytes() for x in pieces])
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
                 columns = [np.concatenate(x) for x in out[:8]]
-                columns[6] = columns[6].astype(np.uint64).view(np.int64)
-                arrays = [pa.array(x).cast(t) for x, t in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[8], pa.binary())], [f.split()[0] for f in sent.split(", ")])
+                order = np.argsort(columns[1], kind="stable")
+                buckets, edges = np.unique(columns[1][order], return_index=True)
+                blobs = [_packed([c[k] for c in columns], [out[8][j] for j in k]) for k in np.split(order, edges[1:])] if len(order) else []
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    dealt = docs.select("id", "th", "text").mapInArrow(deal, sent)
+    dealt = docs.select("id", "th", "text").mapInArrow(deal, "bucket int, blob binary")
 
     def settle(table: pa.Table) -> pa.Table:
         """The repeated strings of one suffix bucket."""
-        table = table.combine_chunks()
+        table = _unpacked(table.column("blob").to_pylist())
         kind = table.column("kind").to_numpy()
         found = [table.filter(pa.array(kind == 0)).select(["id", "th", "start", "stop"]), _settle_contexts(table.filter(pa.array(kind == 1)), length, block), _settle_packed(table.filter(pa.array(kind == 2)), length), _settle_names(table.filter(pa.array(kind == 3)))]
         return pa.concat_tables(found)
@@ -214,6 +217,34 @@ def repeated_spans(docs: DataFrame, length: int = 200, block: int = 68, hot: int
     return dealt.groupBy("bucket").applyInArrow(settle, _SPANS)
 
 
+_FIELDS = (("kind", np.uint8), ("bucket", np.int32), ("id", np.int64), ("th", np.int64), ("start", np.int32), ("stop", np.int32), ("name", np.uint64), ("flag", np.uint8), ("size", np.int32))
+
+
+def _packed(columns: list[np.ndarray], bodies: list[bytes]) -> bytes:
+    """Rows of one bucket, column by column, compressed."""
+    columns = [*columns, np.array([len(x) for x in bodies])]
+    parts = [x.astype(kind).tobytes() for x, (_, kind) in zip(columns, _FIELDS, strict=True)]
+    return len(bodies).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(b"".join([*parts, *bodies]))
+
+
+def _unpacked(blobs: list[bytes]) -> pa.Table:
+    fields: dict[str, list] = {name: [] for name, _ in _FIELDS}
+    bodies = []
+    for blob in blobs:
+        n, data, at = int.from_bytes(blob[:4], "little"), zstandard.ZstdDecompressor().decompress(blob[4:]), 0
+        for name, kind in _FIELDS:
+            x = np.frombuffer(data, kind, n, at)
+            fields[name].append(x)
+            at += x.nbytes
+        bodies.append(data[at:])
+    columns = {name: np.concatenate(x) for name, x in fields.items()}
+    ends = np.concatenate([[0], np.cumsum(columns.pop("size"), dtype=np.int64)])
+    body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(bodies))])
+    columns["name"] = columns["name"].view(np.int64)
+    columns["flag"] = columns["flag"].astype(bool)
+    return pa.table({name: pa.array(x) for name, x in columns.items()} | {"body": body})
+
+
 def _runs(start: np.ndarray, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, first, last) of the runs of neighbouring starts (ascending)."""
     if not len(start):
