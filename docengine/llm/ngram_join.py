@@ -14,9 +14,9 @@ Rare tokens of the base prefix are indexed alone. A document with a frequent tok
 prefix also indexes its runs of k neighbours: a shared frequent token alone never makes
 candidates. Any class function keeps this complete; the classes only decide the cost.
 
-A bucket's members are first compared with the bucket's smallest id; members of buckets that
-still span several components are compared across components only. So a group of n copies
-costs about n comparisons. Candidates that pass a bound computed from parity sketches are verified
+A bucket's members are first compared with the bucket's smallest id, their leader; members of
+one leader that still belong to several components are then compared across components only, by
+their sketches and in blocks. So a group of n copies costs about n verifications. Candidates that pass a bound computed from parity sketches are verified
 exactly on the whole texts. Documents with equal token sets count as one from the start.
 
 Nulls, empty texts and texts without words have no tokens and link with nothing. Repeated ids
@@ -39,6 +39,7 @@ from docengine.llm.words import chunks, list_array, mixed, shingle_sets
 from docengine.session import cut
 
 CLASS_BITS = 20
+BLOCK, FEW = 512, 16
 _HASH_BITS = np.uint64(58)
 _SHARE = "id long, n int, h1 long, h2 long, base array<long>, runs array<long>, sketch array<long>"
 
@@ -146,6 +147,54 @@ def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(apart * num <= F.least("na", "nb") * (den - num)).select("a", "b")
 
 
+def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one leader from different components that sizes and sketches don't rule out.
+
+    Leaders with few members are joined; the members of others are dealt into blocks of about
+    BLOCK rows, and each pair of blocks is compared by one vectorised call, so neither pairs nor
+    whole groups are ever rows of one task.
+    """
+    size = placed.groupBy("leader").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).filter("c0 < c1").select("leader", "m")
+    rows = cut(placed.join(size, "leader"))
+    few = rows.filter(F.col("m") <= FEW)
+    left, right = (few.select("leader", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    small = _close(left.join(right, "leader").filter("a > b and ca <> cb").select("a", "b").distinct(), reps, num, den)
+
+    many = rows.filter(F.col("m") > FEW).join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
+    many = many.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, c, n, blk = (table.column(x).to_numpy() for x in ("id", "c", "n", "blk"))
+        same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        lists = table.column("sketch").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, edges = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+        length = np.diff(edges)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for s in np.unique(length):
+            own = np.flatnonzero(length == s)
+            twice = np.flatnonzero(length == 2 * s)
+            x = flat[edges[own][:, None] + np.arange(s)]
+            folded = [flat[edges[twice][:, None] + np.arange(s)] ^ flat[edges[twice][:, None] + s + np.arange(s)]] if len(twice) else []
+            other, y = np.concatenate([own, twice]), np.concatenate([x, *folded])
+            step = max(1, (1 << 21) // (len(other) * int(s)))
+            for at in range(0, len(own), step):
+                i = own[at : at + step]
+                apart = np.bitwise_count(x[at : at + step][:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                low, high = np.minimum(n[i][:, None], n[other][None, :]), np.maximum(n[i][:, None], n[other][None, :])
+                fine = (apart * num <= low * (den - num)) & (low * den >= high * num) & (c[i][:, None] != c[other][None, :])
+                if not same:
+                    fine &= blk[i][:, None] != blk[other][None, :]
+                r, k = np.nonzero(fine)
+                found.append((ids[i[r]], ids[other[k]]))
+        a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
+    return small.unionByName(large).distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole shingle sets reach num/den."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -181,18 +230,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = cut(indexed.filter("n > 0 and id is not null").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
     keys = indexed.filter("id is not null").select("id", F.explode(F.concat(F.filter("base", lambda t: F.shiftrightunsigned(t, 58) == 0), "runs")).alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
-    buckets = cut(sieved(keys, shared, "key", 24).join(shared, "key").join(reps.select("id"), "id"))
-    stars = buckets.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    buckets = sieved(keys, shared, "key", 24).join(shared, "key").join(reps.select("id"), "id")
+    stars = cut(buckets.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     links = cut(_verified(cut(_close(stars, reps, num, den)), docs, size, num, den))
     groups = cut(components(links))
 
-    placed = buckets.join(groups, "id", "left").select("key", "id", "low", F.coalesce("component", "id").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key")
-    # the smallest member has been compared with all others
-    rest = placed.filter("id <> low").join(split, "key", "left_semi")
-    left, right = (rest.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    cross = left.join(right, "key").filter("a > b and ca <> cb").select("a", "b").distinct()
-    more = cut(_verified(cut(_close(cross, reps, num, den)), docs, size, num, den))
+    # members of one bucket have its smallest id as their leader, so pairs of one leader include all candidates
+    placed = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("c"))
+    cross = _across(placed, reps, num, den)
+    more = cut(_verified(cut(cross), docs, size, num, den))
     groups = components(links.unionByName(more))
 
     same = sets.filter("rep < last").select("n", "h1", "h2", "rep")

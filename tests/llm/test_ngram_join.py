@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -7,7 +8,7 @@ from docengine.llm.ngram_join import ngram_join, run_length
 
 
 def words(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\n", " ").replace("\t", " ").split(" ")
+    return re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
 
 
 def shingles(text, size):
