@@ -96,7 +96,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, steps: int = 400, rate: float
     return w, np.cumsum(np.concatenate([raw[:1], np.exp(raw[1:])]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 8192, n_features: int = 1024) -> Ordinal | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 5000, n_features: int = 1024) -> Ordinal | None:
     """The model, from at most ``sample`` labelled rows."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna()
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
