@@ -1,9 +1,9 @@
 """Registry of the engine's own queries: name -> function, and their DuckDB equivalents."""
 
-from docengine.plans import basic, compare, findings, flow, package
+from docengine.plans import basic, compare, findings, flow, geometry, package
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (basic, compare, package, findings, flow):
+for _plan in (basic, compare, package, findings, flow, geometry):
     QUERIES |= _plan.Q
     ORACLES |= _plan.SQL
