@@ -22,8 +22,8 @@ def normalised(x: Column) -> Column:
 
 
 def item_key(x: Column) -> Column:
-    """Only digits and Latin and Cyrillic letters, in lower case."""
-    return F.regexp_replace(F.lower(x), "[^0-9a-zа-я]", "")
+    """Lower case, ё as е, all but digits and Latin and Cyrillic letters as single spaces, trimmed."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(x), "ё", "е"), "[^0-9a-zа-я]+", " "))
 
 
 def line_text(x: Column) -> Column:
@@ -32,9 +32,9 @@ def line_text(x: Column) -> Column:
 
 
 def stage_code(x: Column) -> Column:
-    """Stage of a mark: п -> PD, р or Latin p -> RD, и -> ID."""
+    """Stage of a mark: п -> PD, р or Latin p -> RD."""
     k = F.lower(F.trim(x))
-    return F.when(k == "п", "PD").when(k.isin("р", "p"), "RD").when(k == "и", "ID")
+    return F.when(k == "п", "PD").when(k.isin("р", "p"), "RD")
 
 
 def calendar_date(x: Column) -> Column:

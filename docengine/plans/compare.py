@@ -155,7 +155,7 @@ def _blocks_query(name, columns, sql):
 
 
 _blocks_query("F1_normalised", lambda b: b.select("doc_id", "block_order", t.normalised(F.col("raw_text")).alias("norm_text")), f"SELECT doc_id, block_order, {_NORM.format('raw_text')} AS norm_text FROM blocks")
-_blocks_query("F4_item_key", lambda b: b.select("doc_id", "block_order", t.item_key(F.col("raw_text")).alias("k")), "SELECT doc_id, block_order, regexp_replace(lower(raw_text), '[^0-9a-zа-я]', '', 'g') AS k FROM blocks")
+_blocks_query("F4_item_key", lambda b: b.select("doc_id", "block_order", t.item_key(F.col("raw_text")).alias("k")), "SELECT doc_id, block_order, trim(regexp_replace(replace(lower(raw_text), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g')) AS k FROM blocks")
 _blocks_query("F5_line_text", lambda b: b.select("doc_id", "block_order", t.line_text(F.col("raw_text")).alias("x")), r"SELECT doc_id, block_order, trim(regexp_replace(raw_text, '[ \t\x{00A0}]+', ' ', 'g')) AS x FROM blocks")
 _blocks_query("F10_first_number", lambda b: b.select("doc_id", "block_order", t.first_number(F.col("raw_text")).alias("x")).filter("x is not null"), r"""SELECT doc_id, block_order, x FROM (SELECT doc_id, block_order, TRY_CAST(replace(regexp_replace(regexp_extract(raw_text, '-?[0-9][0-9 \t\n\r\x{00A0}\x{202F}]*(?:[.,][0-9]+)?'), '[ \t\n\r\x{00A0}\x{202F}]', '', 'g'), ',', '.') AS DOUBLE) AS x FROM blocks) WHERE x IS NOT NULL""")
 _blocks_query("P2_effective_text", lambda b: b.select("doc_id", "block_order", t.effective_text(F.when(F.col("block_order") % 2 == 0, F.lower("raw_text")).otherwise(""), F.col("raw_text")).alias("x")), "SELECT doc_id, block_order, trim(coalesce(nullif(CASE WHEN block_order % 2 = 0 THEN lower(raw_text) ELSE '' END, ''), raw_text)) AS x FROM blocks")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docengine import adapters as a
+from docengine.operators import classify as k
 from docengine.operators import metrics as m
 from docengine.operators import protocol as p
 from docengine.operators import search as x
@@ -234,3 +235,6 @@ add("J23_iou_join", j23, f"""WITH b AS ({_BOX}), p AS (SELECT a.page, a.id, o.id
 add("A32_union_area", lambda s, d: m.union_area(boxes(s, d).withColumn("order_id", F.expr("id div 10")).select("order_id", "x0", "y0", "x1", "y1"), "order_id"))
 add("W9_chunks", lambda s, d: m.packed(a.blocks(s, d).select("doc_id", "block_order", F.octet_length("raw_text").alias("size")), "doc_id", "block_order", "size", 600))
 add("W11_admission", lambda s, d: m.admitted(a.blocks(s, d).select("doc_id", "block_order", F.octet_length("raw_text").alias("size")), "doc_id", "block_order", "size", 600))
+add("D19_titles", lambda s, d: k.title_candidates(a.blocks(s, d)))
+add("F8_fields", lambda s, d: k.fields(a.blocks(s, d)))
+add("W6_list_items", lambda s, d: k.list_items(a.blocks(s, d)))

@@ -100,3 +100,15 @@ def test_lease_stream(spark):
     rows = [(1, "a", "claim", 0, 0.0), (1, "b", "claim", 0, 10.0), (1, "b", "claim", 0, 70.0), (1, "a", "settle", 1, 80.0), (1, "b", "settle", 2, 90.0), (1, "c", "claim", 0, 100.0), (1, "d", "claim", 0, 500.0)]
     got = _streamed(spark, rows, "key_id long, owner string, action string, token long, at_s double", jobs.leases)
     assert [(r.owner, r.event) for r in sorted(got, key=lambda r: r.token)] and sorted((r.owner, r.event) for r in got) == sorted([("a", "granted"), ("b", "busy"), ("b", "granted"), ("a", "fenced"), ("b", "settled"), ("c", "granted"), ("d", "failed")])
+
+
+def test_classification(spark):
+    from docengine.operators import classify as k
+
+    lines = ["Пояснительная  записка.", "x", "y", "z", "Приложение", "Акт испытания труб", "Шифр: АБ-1", "Период работ: 01.02.2024 по 2024-03-01", "Перечень видов скрытых работ", "1. Устройство сетей водоснабжения", "2) Монтаж колонн", "2) монтаж колонн", "текст", "ОБЩИЕ ДАННЫЕ", "3. Засыпка"]
+    df = spark.createDataFrame([(1, n, x) for n, x in enumerate(lines)], "doc_id long, block_order int, raw_text string")
+    assert [(r.stage, r.kind) for r in k.title_candidates(df).collect()] == [("PD", "Пояснительная записка")]
+    assert tuple(k.classified(k.title_candidates(df)).first()) == (1, "PD", "Пояснительная записка", False)
+    assert {(r.field, r.value) for r in k.fields(df).collect()} == {("code", "АБ-1"), ("works_from", "01.02.2024"), ("works_to", "2024-03-01")}
+    assert [(r.title, r.list_kind) for r in k.list_items(df).orderBy("block_order").collect()] == [("Устройство сетей водоснабжения", "network_sections"), ("Монтаж колонн", "structures")]
+    assert k.title_candidates(df.limit(0)).count() == 0
