@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.graph import components
@@ -39,7 +39,7 @@ from docengine.llm.words import chunks, list_array, mixed, shingle_sets
 from docengine.session import cut
 
 CLASS_BITS = 20
-BLOCK, FEW = 512, 16
+BLOCK, FEW, TRIES = 512, 16, 4
 _HASH_BITS = np.uint64(58)
 _SHARE = "id long, n int, h1 long, h2 long, base array<long>, runs array<long>, sketch array<long>"
 
@@ -144,7 +144,7 @@ def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     # linked sizes differ by less than a factor of two, and so do their sketches
     folded = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
     apart = F.expr(f"aggregate(zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
-    return both.filter(apart * num <= F.least("na", "nb") * (den - num)).select("a", "b")
+    return both.withColumn("apart", apart.cast("int")).filter(F.col("apart") * num <= F.least("na", "nb") * (den - num)).select("a", "b", "apart")
 
 
 def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -171,7 +171,7 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         flat, edges = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
         length = np.diff(edges)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s in np.unique(length):
             own = np.flatnonzero(length == s)
             twice = np.flatnonzero(length == 2 * s)
@@ -187,11 +187,11 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
                 if not same:
                     fine &= blk[i][:, None] != blk[other][None, :]
                 r, k = np.nonzero(fine)
-                found.append((ids[i[r]], ids[other[k]]))
-        a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+                found.append((ids[i[r]], ids[other[k]], apart[r, k].astype(np.int32)))
+        a, b, d = (np.concatenate([f[j] for f in found]) for j in (0, 1, 2))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": d})
 
-    large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
+    large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long, apart int")
     return small.unionByName(large).distinct()
 
 
@@ -232,13 +232,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
     buckets = sieved(keys, shared, "key", 24).join(shared, "key").join(reps.select("id"), "id")
     stars = cut(buckets.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    links = cut(_verified(cut(_close(stars, reps, num, den)), docs, size, num, den))
+    links = cut(_verified(cut(_close(stars, reps, num, den).select("a", "b")), docs, size, num, den))
     groups = cut(components(links))
 
     # members of one bucket have its smallest id as their leader, so pairs of one leader include all candidates
     placed = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("c"))
-    cross = _across(placed, reps, num, den)
-    more = cut(_verified(cut(cross), docs, size, num, den))
+    cross = cut(_across(placed, reps, num, den))
+    # one link joins two components: each component first tries its nearest candidates, then what still lies between components is verified
+    named = cross
+    for x in "ab":
+        named = named.join(groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    nearest = Window.partitionBy(F.greatest("ca", "cb")).orderBy("apart", "a", "b")
+    ranked = cut(named.withColumn("rank", F.row_number().over(nearest)).select("a", "b", "rank"))
+    links = cut(links.unionByName(_verified(ranked.filter(F.col("rank") <= TRIES).select("a", "b"), docs, size, num, den)))
+    groups = cut(components(links))
+    rest = ranked.filter(F.col("rank") > TRIES).select("a", "b")
+    for x in "ab":
+        rest = rest.join(groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    more = cut(_verified(cut(rest.filter("ca <> cb").select("a", "b")), docs, size, num, den))
     groups = components(links.unionByName(more))
 
     same = sets.filter("rep < last").select("n", "h1", "h2", "rep")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -29,7 +29,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) <= n:
-            size = 1 << (n + 1).bit_length()
+            size = n + n // 8 + 1024
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 x = np.full(size, base, np.uint64)
                 x[0] = 1
