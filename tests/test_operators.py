@@ -112,3 +112,38 @@ def test_classification(spark):
     assert {(r.field, r.value) for r in k.fields(df).collect()} == {("code", "АБ-1"), ("works_from", "01.02.2024"), ("works_to", "2024-03-01")}
     assert [(r.title, r.list_kind) for r in k.list_items(df).orderBy("block_order").collect()] == [("Устройство сетей водоснабжения", "network_sections"), ("Монтаж колонн", "structures")]
     assert k.title_candidates(df.limit(0)).count() == 0
+
+
+def test_sections(spark):
+    from docengine.operators import sections as x
+
+    rows = [(1, "reference", 0, 40), (1, "reference", 1, 40), (1, "actual", 0, 30), (1, "actual", 1, 500), (1, "actual", 2, 10)]
+    got = x.packed_requests(spark.createDataFrame(rows, "batch long, role string, chunk int, size int"), 10, 100).collect()
+    assert {(r.role, r.chunk): r.request for r in got} == {("reference", 0): 0, ("actual", 0): 0, ("reference", 1): 1, ("actual", 1): None, ("actual", 2): None}
+    blocks = spark.createDataFrame([(1, k, "x" * 10, k / 20) for k in range(20)], "doc_id long, block_order int, raw_text string, y0 double")
+    anchors = blocks.filter("block_order in (5, 10)")
+    assert sorted((r.anchor, r.block_order) for r in x.expansions(blocks, anchors, 2, 30).collect()) == [(5, 3), (5, 4), (5, 5), (10, 8), (10, 9), (10, 10)]
+    assert x.context_windows(blocks, anchors, 1).count() == 6
+    parts = spark.createDataFrame([(1, "a"), (2, "")], "id long, text string")
+    out = {r.id: (r.answer, r.error) for r in x.answered(parts, lambda t: t[0].upper()).collect()}
+    assert out == {1: ("A", None), 2: (None, "IndexError")}
+
+
+def test_extraction(spark):
+    from docengine.operators import extract as e
+
+    rows = [(1, 0, 1, "Общая площадь"), (1, 1, 1, "4 850,5 м2"), (2, 0, 1, "общая  ПЛОЩАДЬ 10 м2"), (2, 1, 2, "общая площадь 11 м2"), (3, 0, 1, "нет")]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_order int, page_number int, raw_text string")
+    plan = e.RegexPlan("area", ("общая площадь",), r"(\d[\d ]*(?:,\d+)? м2)", 1, units=("м2",))
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    assert {r.doc_id: (r.outcome, r.value) for r in e.run_rules(docs, blocks, [plan]).collect()} == {1: ("extracted", "4850.5"), 2: ("ambiguous", None), 3: ("no_evidence", None)}
+    first = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, page_number int")
+    assert {r.doc_id: r.value for r in e.run_on_pages(docs, blocks, first, [plan]).collect()} == {1: "4850.5", 2: "10.0", 3: None}
+    assert [r.term for r in e.missing_anchors(blocks, ["площадь", "объем"]).collect()] == ["объем"]
+    cells = spark.createDataFrame([(1, 0, 0, "Показатель"), (1, 1, 0, "Площадь"), (1, 1, 1, "12,5"), (1, 1, 2, "м2"), (2, 0, 0, "Площадь"), (2, 0, 1, "7")], "t long, row int, col int, text string")
+    assert [tuple(r) for r in e.table_lookup(cells, "t", ["показатель", "площадь"], "площадь", 2).collect()] == [(1, 2, 1, 12.5)]
+    x = spark.createDataFrame([("1) 5",), ("12 345,6 м",), ("a1 2",), ("3 и 4",)], "x string")
+    assert [r[0] for r in x.select(e.strict_number(F.col("x"))).collect()] == [None, "12345.6", "2", "3"]
+    assert [r[0] for r in x.select(e.strict_number(F.col("x"), single=True)).collect()][3] is None
+    with pytest.raises(ValueError):
+        e.RegexPlan("c", (), "x")
