@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.words import chunks, shingle_hashes, word_hashes
 
+CHUNK = 1 << 19
 HITS = "item_id long, similarity double, first_shingle int, n_shingles int"
 
 
@@ -45,16 +46,40 @@ def size_class(n: int) -> tuple[int, int, int]:
     return low, stride, low - stride + 1
 
 
+class Fingerprints:
+    """SimHash of windows over one sequence of shingles.
+
+    A shingle's 64 bits are 64 bytes, eight to a word, so that sums of up to 255 shingles are
+    plain additions of words. Sums over powers of two are shared by all window lengths.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1)
+        self.levels = [self.bits.view(np.uint64)]
+
+    def _level(self, p: int) -> np.ndarray:
+        while len(self.levels) <= p:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(last[:-step] + last[step:])
+        return self.levels[p]
+
+    def at(self, starts: np.ndarray, width: int) -> np.ndarray:
+        """The fingerprints of the windows of ``width`` shingles that begin at ``starts``."""
+        if width > 255:
+            sums = np.concatenate([np.zeros((1, 64), np.uint32), np.cumsum(self.bits, axis=0, dtype=np.uint32)])
+            return np.packbits((sums[starts + width] - sums[starts]) > width // 2, axis=1).view(np.uint64).ravel()
+        total = np.zeros((len(starts), 8), np.uint64)
+        place = starts
+        for p in range(width.bit_length() - 1, -1, -1):
+            if width >> p & 1:
+                total += self._level(p)[place]
+                place = place + (1 << p)
+        return np.packbits(total.view(np.uint8) > width // 2, axis=1).view(np.uint64).ravel()
+
+
 def fingerprints(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """SimHash of values[s : s + width] for each s in starts."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(values) + 1, 64), np.uint16 if width < 1 << 15 else np.uint32)
-    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
-    out = np.empty(len(starts), np.uint64)
-    for at in range(0, len(starts), 1 << 16):
-        s = starts[at : at + (1 << 16)]
-        out[at : at + len(s)] = np.packbits((sums[s + width] - sums[s]) * 2 > width, axis=1).view(np.uint64).ravel()
-    return out
+    return Fingerprints(values).at(starts, width)
 
 
 def similarity(x: Counter, y: Counter) -> float:
@@ -99,12 +124,13 @@ class ItemIndex:
         """Distinct (row, item, first shingle) with fingerprints within the radius."""
         out = []
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        sums = Fingerprints(values)
         for (_, stride, width), (prints, owners, offsets, blocks) in self.classes.items():
             if len(values) < width:
                 continue
             starts = np.arange(0, len(values) - width + 1, stride)
             starts = starts[row_of[starts] == row_of[starts + width - 1]]
-            own = fingerprints(values, starts, width)
+            own = sums.at(starts, width)
             for (shift, bits), (order, edge) in zip(self.blocks(), blocks, strict=True):
                 key = ((own >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
                 n = edge[key + 1] - edge[key]
@@ -157,7 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
-                for part in chunks(batch, "text"):
+                for part in chunks(batch, "text", CHUNK):
                     rows = [(k, item, *hit) for k, found in enumerate(index.hits(part.column("text"), threshold)) for item, hit in found.items()]
                     ids = part.column("id").take(pa.array([r[0] for r in rows], pa.int32()))
                     kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -176,7 +202,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:
-                for part in chunks(batch, name):
+                for part in chunks(batch, name, CHUNK):
                     column = part.column(part.schema.get_field_index(name))
                     yield part.filter(pa.array([not x for x in index.hits(column, threshold)], pa.bool_()))
 
