@@ -88,13 +88,14 @@ def _frequent(docs: DataFrame, size: int, chunk_tokens: int, at_least: int, tota
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """One bit per slot: whether it holds an odd number of tokens; a power of two of slots, about as many as tokens.
+    """One bit per slot: whether it holds an odd number of tokens; a power of two of slots, four or more for each token.
 
-    Two sets' sketches differ in at most as many bits as the sets differ in tokens, also after
+    With so many, few tokens share a slot, and sets just below the threshold are told apart. Two
+    sets' sketches differ in at most as many bits as the sets differ in tokens, also after
     folding the longer onto the shorter.
     """
     slots = 64
-    while slots * 4 < len(tokens) * 3:
+    while slots < 4 * len(tokens):
         slots *= 2
     odd = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
