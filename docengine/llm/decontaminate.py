@@ -8,10 +8,15 @@ all its windows of that length. A passage taken over as it is therefore meets on
 fingerprints exactly.
 
 Fingerprints are looked up by ``radius + 1`` blocks of bits: two that differ in at most
-``radius`` bits agree in a block, so all pairs within the radius are found. Each candidate puts
-the item at one place of the document; there, the weighted Jaccard similarity (shingles weighted
-by their multiplicity) of the item and the item-sized piece is computed exactly and must reach
-the threshold.
+``radius`` bits agree in a block, so all pairs within the radius are found.
+
+A changed word alters ``size`` shingles and so moves a window's fingerprint too far; passages
+edited in every window are found by windows of a single shingle, whose fingerprint is the
+shingle's hash. A piece that reaches the threshold lacks at most (1 - threshold) of the item's
+shingles, so one more than that, those in the fewest items, are looked up for each item: at least
+one of them is in the piece, wherever words were changed, inserted or deleted. For every candidate the
+weighted Jaccard similarity (shingles weighted by their multiplicity) of the item and each
+item-sized piece around the place is computed exactly; the best must reach the threshold.
 
 Items are held by the tasks in passes of at most ``items_per_pass`` items and
 ``bytes_per_pass`` bytes, so that what is broadcast has a bound; a longer benchmark takes more
@@ -82,6 +87,34 @@ def fingerprints(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarr
     return Fingerprints(values).at(starts, width)
 
 
+def best_piece(own: tuple[np.ndarray, np.ndarray], n: int, values: np.ndarray, first: int, last: int) -> tuple[float, int, int]:
+    """The most similar piece of a row: (similarity, begin, end), the first of equals.
+
+    ``own`` are the item's distinct shingles, ascending, and how often each occurs; ``values`` are
+    the row's shingles. Pieces of ``n`` shingles begin at ``first`` to ``last``, cut off at the
+    row's ends. A shingle that occurs c times in the item counts for the pieces in which it is one
+    of the first c of its value, which are those that begin behind the c-th before it.
+    """
+    low, high = max(first, 0), min(last + n, len(values))
+    at = np.minimum(np.searchsorted(own[0], values[low:high]), len(own[0]) - 1)
+    place = np.flatnonzero(own[0][at] == values[low:high])
+    kind = at[place]
+    order = np.argsort(kind, kind="stable")
+    kind, place = kind[order], place[order] + low
+    back = np.arange(len(kind)) - own[1][kind]
+    known = (back >= 0) & (kind[back] == kind)
+    begin = np.maximum(np.where(known, place[back] + 1, first), np.maximum(place - n + 1, first))
+    end = np.minimum(place, last) + 1
+    counts = begin < end
+    steps = np.bincount(begin[counts] - first, minlength=last - first + 2) - np.bincount(end[counts] - first, minlength=last - first + 2)
+    shared = np.cumsum(steps)[:-1]
+    starts = np.arange(first, last + 1)
+    total = n + np.minimum(starts + n, len(values)) - np.maximum(starts, 0) - shared
+    found = shared / total
+    k = int(np.argmax(found))
+    return float(found[k]), max(first + k, 0), min(first + k + n, len(values))
+
+
 def similarity(x: Counter, y: Counter) -> float:
     """Weighted Jaccard similarity of two multisets."""
     shared = sum((x & y).values())
@@ -92,15 +125,15 @@ def similarity(x: Counter, y: Counter) -> float:
 class ItemIndex:
     """Fingerprints of some items by class and block, and the items' shingles."""
 
-    def __init__(self, ids: list[int], texts: list[str], size: int, radius: int) -> None:
-        self.size, self.radius = size, radius
+    def __init__(self, ids: list[int], texts: list[str], size: int, radius: int, threshold: float = 0.8) -> None:
+        self.size, self.radius, self.threshold = size, radius, threshold
         values, bounds = shingle_hashes(*word_hashes(pa.array(texts, pa.string())), size)
         self.items = {}
         found: dict[tuple[int, int, int], list] = {}
         for i, item in enumerate(ids):
             own = values[bounds[i] : bounds[i + 1]]
             if len(own):
-                self.items[i] = (item, len(own), Counter(own.tolist()))
+                self.items[i] = (item, len(own), np.unique(own, return_counts=True))
                 cls = size_class(len(own))
                 offsets = np.arange(len(own) - cls[2] + 1)
                 prints = fingerprints(own, offsets, cls[2])
@@ -114,6 +147,25 @@ class ItemIndex:
                 order = np.argsort(keys, kind="stable")
                 blocks.append((order, np.searchsorted(keys[order], np.arange((1 << width) + 1))))
             self.classes[cls] = (prints, owners, offsets, blocks)
+        self._index_singles()
+
+    def _index_singles(self) -> None:
+        """The single shingles of which every piece that reaches the threshold holds one."""
+        kinds = [own[0] for _, _, own in self.items.values()]
+        every, n_items = np.unique(np.concatenate(kinds or [np.zeros(0, np.uint64)]), return_counts=True)
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, (_, n, (kind, times)) in self.items.items():
+            order = np.argsort(n_items[np.searchsorted(every, kind)], kind="stable")
+            lacking = int((1 - self.threshold) * n + 1e-9)
+            some = order[: np.searchsorted(np.cumsum(times[order]), lacking + 1) + 1]
+            keys.append(kind[some])
+            owners.append(np.full(len(some), i))
+        keys, owners = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        self.singles = keys[order], owners[order]
+        self.mask = np.uint64((1 << max(16, (16 * len(keys)).bit_length())) - 1)
+        self.listed = np.zeros(int(self.mask) + 1, bool)
+        self.listed[keys & self.mask] = True
 
     def blocks(self) -> list[tuple[int, int]]:
         """(shift, width) of each block of bits."""
@@ -141,16 +193,37 @@ class ItemIndex:
                 out.append(np.stack([row_of[starts[which]], owners[entry], starts[which] - offsets[entry]], axis=1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
+    def touched(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(row, item, shingle) for every listed single shingle of the rows."""
+        keys, owners = self.singles
+        place = np.flatnonzero(self.listed[values & self.mask])
+        low = np.searchsorted(keys, values[place])
+        n = np.searchsorted(keys, values[place], "right") - low
+        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place = np.repeat(place, n)
+        return np.stack([np.searchsorted(bounds, place, "right") - 1, owners[entry], place], axis=1)
+
     def hits(self, column: pa.Array, threshold: float) -> list[dict[int, tuple[float, int, int]]]:
         """For each row, the best (similarity, first shingle, shingles) of each item that it holds."""
+        if threshold < self.threshold:
+            raise ValueError("the index was made for a higher threshold")
         values, bounds = shingle_hashes(*word_hashes(column), self.size)
         out: list[dict] = [{} for _ in range(len(column))]
-        for row, i, at in self.candidates(values, bounds).tolist():
+        places = np.concatenate([self.candidates(values, bounds), self.touched(values, bounds)])
+        places = places[np.lexsort((places[:, 2], places[:, 1], places[:, 0]))]
+        if not len(places):
+            return out
+        sizes = np.array([self.items[i][1] if i in self.items else 0 for i in range(max(self.items) + 1)])
+        far = np.diff(places[:, 2]) > 2 * sizes[places[1:, 1]]
+        edges = np.flatnonzero((np.diff(places[:, :2], axis=0) != 0).any(axis=1) | far) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(places)], strict=True):
+            row, i = places[start, :2].tolist()
             item, n, own = self.items[i]
-            low, high = max(at, bounds[row]), min(at + n, bounds[row + 1])
-            s = similarity(own, Counter(values[low:high].tolist()))
+            length = int(bounds[row + 1] - bounds[row])
+            first, last = (int(places[k, 2] - bounds[row]) for k in (start, end - 1))
+            s, low, high = best_piece(own, n, values[bounds[row] : bounds[row + 1]], first - n + 1, min(last, length - 1))
             if s >= threshold and (item not in out[row] or s > out[row][item][0]):
-                out[row][item] = (s, int(low - bounds[row]), int(high - low))
+                out[row][item] = (s, low, high - low)
         return out
 
 
@@ -169,9 +242,9 @@ def _passes(items: DataFrame, id_col: str, text_col: str, items_per_pass: int, b
     yield ids, texts
 
 
-def _indexes(spark, items: DataFrame, item_id: str, item_text: str, size: int, radius: int, items_per_pass: int, bytes_per_pass: int):
+def _indexes(spark, items: DataFrame, item_id: str, item_text: str, size: int, radius: int, threshold: float, items_per_pass: int, bytes_per_pass: int):
     for ids, texts in _passes(items, item_id, item_text, items_per_pass, bytes_per_pass):
-        yield spark.sparkContext.broadcast(ItemIndex(ids, texts, size, radius))
+        yield spark.sparkContext.broadcast(ItemIndex(ids, texts, size, radius, threshold))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, radius: int = 3, items_per_pass: int = 5000, bytes_per_pass: int = 16 << 20) -> DataFrame:
@@ -191,7 +264,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
         return source.mapInArrow(run, f"id {kind}, {HITS}")
 
-    found = [search(x) for x in _indexes(docs.sparkSession, items, item_id, item_text, size, radius, items_per_pass, bytes_per_pass)]
+    found = [search(x) for x in _indexes(docs.sparkSession, items, item_id, item_text, size, radius, threshold, items_per_pass, bytes_per_pass)]
     return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
 
 
@@ -208,7 +281,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
 
         return run
 
-    for x in _indexes(docs.sparkSession, items, item_id, item_text, size, radius, items_per_pass, bytes_per_pass):
+    for x in _indexes(docs.sparkSession, items, item_id, item_text, size, radius, threshold, items_per_pass, bytes_per_pass):
         docs = docs.mapInArrow(keep(x, text_col), docs.schema)
     return docs
 
