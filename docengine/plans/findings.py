@@ -161,13 +161,23 @@ add("A26_confusion", a26, f"""WITH t AS (SELECT {_T} FROM truth), c AS (SELECT s
   SELECT *, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1, round(fp / nullif(fp + tn, 0), 9) AS fpr, round((n - abstained) / n, 9) AS coverage FROM c""")
 
 
+def _lines(s, d):
+    """Every line of every document and what a reader made of it: without its first two characters, and with rn and en misread."""
+    e = table(s, d, "documents").filter("text is not null").select("lang", F.explode(F.split("text", "\n", -1)).alias("e"))
+    return e.withColumn("x", F.regexp_replace(F.regexp_replace(F.expr("substring(e, 3)"), "rn", "m"), "en", "cn"))
+
+
 def a24(s, d):
-    docs = table(s, d, "documents").filter("text is not null")
-    return m.character_errors(docs.select("lang", F.substring("text", 1, 60).alias("e"), F.substring("text", 3, 60).alias("x")), "e", "x", "lang").select("lang", "errors", "chars", F.round("cer", 9).alias("cer"))
+    return m.character_errors(_lines(s, d), "e", "x", "lang").select("lang", "errors", "chars", F.round("cer", 9).alias("cer"))
+
+
+def a24_words(s, d):
+    return m.word_errors(_lines(s, d), "e", "x", "lang").select("lang", "errors", "words", F.round("wer", 9).alias("wer"))
 
 
 add("A24_character_errors", a24, "SELECT lang, CAST(sum(levenshtein(e, x)) AS BIGINT) AS errors, CAST(sum(length(e)) AS BIGINT) AS chars, round(sum(levenshtein(e, x)) / sum(length(e)), 9) AS cer FROM (SELECT lang, substring(text, 1, 60) AS e, substring(text, 3, 60) AS x FROM documents WHERE text IS NOT NULL) GROUP BY 1")
 SQL.pop("A24_character_errors")  # the other engine's distance counts bytes, not characters; see tests/test_operators.py
+add("A24_word_errors", a24_words)
 add("A25_field_match", lambda s, d: a.truth(s, d).groupBy("section").agg(F.round(F.avg((F.col("expected_violation") == F.col("predicted_violation")).cast("int")), 9).alias("exact"), F.count("*").alias("n")), "SELECT section, round(avg(CASE WHEN expected_violation = predicted_violation THEN 1 ELSE 0 END), 9) AS exact, count(*) AS n FROM truth GROUP BY 1")
 
 

@@ -1,5 +1,9 @@
 """Queries that cover all of their input, not a part of it."""
 
+import random
+import re
+
+from docengine.operators import metrics
 from docengine.queries import QUERIES
 from docengine.session import table
 
@@ -10,3 +14,31 @@ def test_tables_of_all_orders(spark):
     got = QUERIES["S8_all_orders"](spark, DIR).agg({"key": "count", "n": "sum"}).first()
     lines = table(spark, DIR, "lineitem")
     assert tuple(got) == (lines.select("l_orderkey").distinct().count(), lines.count())
+
+
+def plain_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, u in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, v in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
+    return row[-1]
+
+
+def test_distances_of_whole_texts(spark):
+    r = random.Random(2)
+    texts = [["".join(r.choice("abö ") for _ in range(r.choice((0, 5, 70, 300)))) for _ in range(2)] for _ in range(40)]
+    long = "".join(r.choice("abcd ") for _ in range(400))
+    texts += [(long, long[:390] + "zzzz"), (long, "x" + long[1:200] + long[210:]), ("", ""), ("", "a b")]
+    df = spark.createDataFrame(texts, "a string, b string")
+    got = df.select("a", "b", metrics.character_distance("a", "b").alias("c"), metrics.word_distance("a", "b").alias("w")).collect()
+    for row in got:
+        assert (row.c, row.w) == (plain_distance(row.a, row.b), plain_distance(row.a.split(), row.b.split()))
+
+
+def test_errors_cover_whole_documents(spark):
+    docs = table(spark, DIR, "documents").filter("text is not null").select("text").collect()
+    chars = QUERIES["A24_character_errors"](spark, DIR).agg({"chars": "sum"}).first()[0]
+    words = QUERIES["A24_word_errors"](spark, DIR).agg({"words": "sum"}).first()[0]
+    assert chars == sum(len(r.text) - r.text.count("\n") for r in docs)
+    assert words == sum(len(re.findall(r"[^ \t-\r]+", r.text)) for r in docs)
