@@ -69,6 +69,37 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.try_divide(w * h, area(a) + area(b) - w * h)
 
 
+def meeting(left: DataFrame, right: DataFrame, page: str, width: float, height: float) -> DataFrame:
+    """Each box of left (id, x0, y0, x1, y1) with the boxes of right (other, ox0, oy0, ox1, oy1) on its page that it meets.
+
+    Boxes meet in the grid cells that they cover; the cell with their common part's first corner gives the pair.
+    """
+
+    def cells(df: DataFrame, mark: str) -> DataFrame:
+        reach = lambda low, high, size: F.explode(F.sequence(F.floor(F.col(mark + low) / size), F.floor(F.col(mark + high) / size)))
+        return df.select("*", reach("x0", "x1", width).alias("_x")).select("*", reach("y0", "y1", height).alias("_y"))
+
+    both = cells(left, "").join(cells(right, "o"), [page, "_x", "_y"])
+    first = (F.floor(F.greatest("x0", "ox0") / width) == F.col("_x")) & (F.floor(F.greatest("y0", "oy0") / height) == F.col("_y"))
+    return both.filter(first).drop("_x", "_y")
+
+
+def first_fit(pairs: DataFrame, page: str) -> DataFrame:
+    """One-to-one pairs (n, m) of each page: every n in order takes its first m that is still free."""
+
+    def take(batch: pd.DataFrame) -> pd.DataFrame:
+        used, done, keep = set(), set(), []
+        batch = batch.sort_values(["n", "m"])
+        for i, o in zip(batch["n"], batch["m"], strict=True):
+            keep.append(i not in done and o not in used)
+            if keep[-1]:
+                done.add(i)
+                used.add(o)
+        return batch[keep]
+
+    return pairs.groupBy(page).applyInPandas(take, pairs.schema)
+
+
 def bootstrap(per_object: DataFrame, value: str, weight: str, rounds: int = 2000, seed: int = 1) -> DataFrame:
     """Percentile interval of sum(value) / sum(weight) over resampled objects.
 

@@ -229,7 +229,7 @@ add("J32_receipts", j32, "SELECT event_id, request, c_name FROM (SELECT event_id
 def boxes(s, d):
     li = table(s, d, "lineitem")
     x0, y0 = F.col("l_discount") * 5, F.col("l_tax") * 8
-    return li.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("part"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") / 100).alias("x1"), (y0 + 0.2).alias("y1"))
+    return li.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("status"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") / 100).alias("x1"), (y0 + 0.2).alias("y1"))
 
 
 def j23(s, d):
@@ -239,9 +239,21 @@ def j23(s, d):
     return both.select("page", "id", "other", F.round("iou", 6).alias("iou"))
 
 
+def j23_matched(s, d):
+    """Expected and actual boxes of a page, all of them, matched one to one at an IoU of 0.5."""
+    corners = ("x0", "y0", "x1", "y1")
+    w = Window.partitionBy("page", "status").orderBy("id", *corners)  # ids repeat, so boxes are numbered
+    sides = boxes(s, d).withColumn("n", F.row_number().over(w))
+    actual = sides.filter("status = 'O'").select("page", F.col("id").alias("other"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in corners])
+    both = m.meeting(sides.filter("status = 'F'").select("page", "id", "n", *corners), actual, "page", 0.25, 0.2)
+    near = both.select("page", "id", "other", "n", "m", m.iou(tuple(F.col(c) for c in corners), tuple(F.col(f"o{c}") for c in corners)).alias("iou")).filter("iou >= 0.5")
+    return m.first_fit(near, "page").select("page", "id", "other", F.round("iou", 6).alias("iou"))
+
+
 _BOX = "SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, l_discount * 5 AS x0, l_tax * 8 AS y0, l_discount * 5 + l_quantity / 100 AS x1, l_tax * 8 + 0.2 AS y1 FROM lineitem"
 add("J23_iou_join", j23, f"""WITH b AS ({_BOX}), p AS (SELECT a.page, a.id, o.id AS other, greatest(least(a.x1, o.x1) - greatest(a.x0, o.x0), 0) * greatest(least(a.y1, o.y1) - greatest(a.y0, o.y0), 0) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) AS u
   FROM b a JOIN b o USING (page) WHERE a.id % 10 = 1 AND o.id % 10 = 2) SELECT page, id, other, round(i / (u - i), 6) AS iou FROM p WHERE i / (u - i) >= 0.7""")
+add("J23_one_to_one", j23_matched)
 add("A32_union_area", lambda s, d: m.union_area(boxes(s, d).withColumn("order_id", F.expr("id div 10")).select("order_id", "x0", "y0", "x1", "y1"), "order_id"))
 add("W9_chunks", lambda s, d: m.packed(a.blocks(s, d).select("doc_id", "block_order", F.octet_length("raw_text").alias("size")), "doc_id", "block_order", "size", 600))
 add("W11_admission", lambda s, d: m.admitted(a.blocks(s, d).select("doc_id", "block_order", F.octet_length("raw_text").alias("size")), "doc_id", "block_order", "size", 600))

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 from docengine.operators import metrics
 from docengine.queries import QUERIES
@@ -42,3 +43,22 @@ def test_errors_cover_whole_documents(spark):
     words = QUERIES["A24_word_errors"](spark, DIR).agg({"words": "sum"}).first()[0]
     assert chars == sum(len(r.text) - r.text.count("\n") for r in docs)
     assert words == sum(len(re.findall(r"[^ \t-\r]+", r.text)) for r in docs)
+
+
+def test_boxes_matched_one_to_one(spark):
+    pages = {}
+    for r in table(spark, DIR, "lineitem").collect():
+        x, y = r.l_discount * 5, r.l_tax * 8
+        pages.setdefault(r.l_suppkey, {"F": [], "O": []})[r.l_linestatus].append((r.l_orderkey * 10 + r.l_linenumber, x, y, x + r.l_quantity / 100, y + 0.2))
+    want = Counter()
+    for page, sides in pages.items():
+        actual = sorted(sides["O"])
+        for i, *p in sorted(sides["F"]):
+            for k, (o, *q) in enumerate(actual):
+                both = max(min(p[2], q[2]) - max(p[0], q[0]), 0.0) * max(min(p[3], q[3]) - max(p[1], q[1]), 0.0)
+                if both / ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - both) >= 0.5:
+                    want[page, i, o] += 1
+                    del actual[k]
+                    break
+    got = Counter((r.page, r.id, r.other) for r in QUERIES["J23_one_to_one"](spark, DIR).collect())
+    assert want and got == want
