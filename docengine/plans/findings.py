@@ -147,6 +147,23 @@ def j36(s, d):
 
 add("J36_cited_quotes", j36, """WITH q AS (SELECT item_id, string_split(text, chr(10))[1] AS quote FROM benchmark) SELECT DISTINCT item_id, doc_id, block_order FROM q JOIN blocks ON contains(' ' || raw_text, ' ' || quote) WHERE length(quote) > 40""")
 
+
+def j36_whole(s, d):
+    """Documents with a whole item, lines and all, from the beginning of a word on."""
+    docs, items = table(s, d, "documents").filter("text is not null").select("doc_id", "text"), table(s, d, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("quote"))
+    words = lambda c: F.split(c, "[ \n]", -1)
+    four = lambda w, i: F.concat_ws(" ", F.slice(w, i, 4))
+    n = F.size(words("quote"))
+    keyed = items.filter(n > 4).select("item_id", "quote", four(words("quote"), 1).alias("start"))
+    starts = docs.select("doc_id", words("text").alias("w")).filter(F.size("w") > 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: four(F.col("w"), i)))).alias("start"))
+    held = lambda before: F.concat(F.lit(before), "text").contains(F.concat(F.lit(before), "quote"))
+    found = starts.join(keyed, "start").drop("start").join(docs, "doc_id").filter(held(" ") | held("\n"))
+    short = docs.join(F.broadcast(items.filter(n <= 4)), held(" ") | held("\n"))  # their fourth word may go on in the document
+    return found.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct()
+
+
+add("J36_whole_items", j36_whole, "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND (contains(' ' || d.text, ' ' || b.text) OR contains(chr(10) || d.text, chr(10) || b.text))")
+
 # evaluation
 _T = "object_id, section, expected_violation AS e, predicted_violation AND NOT abstained AS p, abstained AS ab"
 

@@ -62,3 +62,11 @@ def test_boxes_matched_one_to_one(spark):
                     break
     got = Counter((r.page, r.id, r.other) for r in QUERIES["J23_one_to_one"](spark, DIR).collect())
     assert want and got == want
+
+
+def test_whole_items_are_cited(spark, tmp_path):
+    items = [(1, "one two three four five\nsix seven"), (2, "tiny"), (3, "a b c d e"), (4, "one two three four five\nsix other"), (5, None)]
+    docs = [(1, "x\ny one two three four five\nsix sevenfold"), (2, "one two three four five\nsix"), (3, "za b c d e"), (4, "so tinyish"), (5, None), (6, "a b c d e")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in QUERIES["J36_whole_items"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 4), (3, 6)}
