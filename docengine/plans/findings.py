@@ -113,6 +113,9 @@ def w4(s, d):
 
 add("W4_around_hits", w4, "SELECT b.doc_id, h.block_order AS hit_order, b.block_order FROM blocks b JOIN blocks h ON h.doc_id = b.doc_id AND b.block_order BETWEEN h.block_order - 3 AND h.block_order + 3 WHERE contains(lower(h.raw_text), 'apache license')")
 add("W5_following", lambda s, d: x.following(a.blocks(s, d).withColumn("raw_text", F.substring("raw_text", 1, 12)), 2).select("doc_id", "block_order", "window"), f"SELECT doc_id, block_order, string_agg(substring(raw_text, 1, 12), chr(10)) {_W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS \"window\" FROM blocks")
+add("W2_whole_lines", lambda s, d: x.preceding(a.blocks(s, d), 2).select("doc_id", "block_order", "context"), f"SELECT doc_id, block_order, coalesce(string_agg(raw_text, ' ') {_W} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS context FROM blocks")
+add("W3_whole_lines", lambda s, d: a.blocks(s, d).select("doc_id", "block_order", F.concat_ws(" ", "raw_text", F.lead("raw_text").over(Window.partitionBy("doc_id").orderBy("block_order"))).alias("joined")), f"SELECT doc_id, block_order, concat_ws(' ', raw_text, lead(raw_text) {_W})) AS joined FROM blocks")
+add("W5_whole_lines", lambda s, d: x.following(a.blocks(s, d), 2).select("doc_id", "block_order", "window"), f"SELECT doc_id, block_order, string_agg(raw_text, chr(10)) {_W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS \"window\" FROM blocks")
 add("W8_range_slice", lambda s, d: a.blocks(s, d).filter(F.col("block_order").between(2, 4)).select("doc_id", "block_order"), "SELECT doc_id, block_order FROM blocks WHERE block_order BETWEEN 2 AND 4")
 add("W12_look_ahead", lambda s, d: x.look_ahead(a.blocks(s, d).select("doc_id", "block_order"), "doc_id", "block_order", 8).select("doc_id", "block_order", "end"), 'SELECT b.doc_id, b.block_order, e.block_order AS "end" FROM blocks b JOIN blocks e ON e.doc_id = b.doc_id AND e.block_order - b.block_order IN (1, 2, 4, 8)')
 add("W13_recurring_lines", lambda s, d: x.recurring_lines(a.blocks(s, d), 0.2, 2), "SELECT raw_text, count(DISTINCT doc_id) AS n_docs FROM blocks WHERE trim(raw_text) <> '' GROUP BY raw_text HAVING count(DISTINCT doc_id) >= 2 AND NOT bool_or(y0 > 0.2 AND y0 < 0.8)")

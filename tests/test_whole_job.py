@@ -70,3 +70,12 @@ def test_whole_items_are_cited(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in QUERIES["J36_whole_items"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 4), (3, 6)}
+
+
+def test_windows_hold_whole_lines(spark, tmp_path):
+    lines = ["a first line of more than twelve characters", "a second line, rather long as well", "the third"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    column = lambda q, c: [r[c] for r in QUERIES[q](spark, str(tmp_path)).orderBy("block_order").collect()]
+    assert column("W2_whole_lines", "context") == ["", lines[0], " ".join(lines[:2])]
+    assert column("W3_whole_lines", "joined") == [" ".join(lines[:2]), " ".join(lines[1:]), lines[2]]
+    assert column("W5_whole_lines", "window") == ["\n".join(lines[k:]) for k in range(3)]
