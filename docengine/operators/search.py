@@ -57,6 +57,16 @@ def recurring_lines(blocks: DataFrame, margin: float, at_least: int) -> DataFram
     return blocks.filter("trim(raw_text) <> ''").groupBy("raw_text").agg(F.countDistinct("doc_id").alias("n_docs"), F.bool_or(inside).alias("elsewhere")).filter((F.col("n_docs") >= at_least) & ~F.col("elsewhere")).select("raw_text", "n_docs")
 
 
+def section_ends(positions: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, end): each position itself, those 1, 2, 4, ... after it as far as the key goes, and the key's last."""
+    last = positions.groupBy(key).agg(F.max(order).alias("_last"))
+    steps = F.array(*[F.lit(1 << k) for k in range(31)])
+    inside = lambda s: s <= F.col("_last") - F.col(order)
+    ends = F.array_union(F.array(F.col(order), F.col("_last")), F.transform(F.filter(steps, inside), lambda s: F.col(order) + s))
+    far = positions.join(last, key).select(key, order, F.explode(ends).alias("end"))
+    return far.join(positions.select(key, F.col(order).alias("end")), [key, "end"])
+
+
 def look_ahead(positions: DataFrame, key: str, order: str, most: int = 32) -> DataFrame:
     """(key, order, end): for each position those 1, 2, 4, ... after it that exist."""
     steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length()) if 1 << k <= most])

@@ -118,6 +118,8 @@ add("W3_whole_lines", lambda s, d: a.blocks(s, d).select("doc_id", "block_order"
 add("W5_whole_lines", lambda s, d: x.following(a.blocks(s, d), 2).select("doc_id", "block_order", "window"), f"SELECT doc_id, block_order, string_agg(raw_text, chr(10)) {_W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS \"window\" FROM blocks")
 add("W8_range_slice", lambda s, d: a.blocks(s, d).filter(F.col("block_order").between(2, 4)).select("doc_id", "block_order"), "SELECT doc_id, block_order FROM blocks WHERE block_order BETWEEN 2 AND 4")
 add("W12_look_ahead", lambda s, d: x.look_ahead(a.blocks(s, d).select("doc_id", "block_order"), "doc_id", "block_order", 8).select("doc_id", "block_order", "end"), 'SELECT b.doc_id, b.block_order, e.block_order AS "end" FROM blocks b JOIN blocks e ON e.doc_id = b.doc_id AND e.block_order - b.block_order IN (1, 2, 4, 8)')
+add("W12_all_ends", lambda s, d: x.section_ends(a.blocks(s, d).select("doc_id", "block_order"), "doc_id", "block_order").select("doc_id", "block_order", "end"), """WITH l AS (SELECT doc_id, max(block_order) AS last FROM blocks GROUP BY 1)
+  SELECT b.doc_id, b.block_order, e.block_order AS "end" FROM blocks b JOIN blocks e ON e.doc_id = b.doc_id JOIN l ON l.doc_id = b.doc_id WHERE e.block_order = b.block_order OR e.block_order = last OR (e.block_order > b.block_order AND bit_count(e.block_order - b.block_order) = 1)""")
 add("W13_recurring_lines", lambda s, d: x.recurring_lines(a.blocks(s, d), 0.2, 2), "SELECT raw_text, count(DISTINCT doc_id) AS n_docs FROM blocks WHERE trim(raw_text) <> '' GROUP BY raw_text HAVING count(DISTINCT doc_id) >= 2 AND NOT bool_or(y0 > 0.2 AND y0 < 0.8)")
 
 

@@ -124,6 +124,14 @@ def a18(s, d):
 add("A18_candidate_merge", a18, "SELECT o_custkey, o_orderstatus, array_to_string(list_sort(list(DISTINCT o_orderpriority))[1:3], ',') AS reasons FROM orders GROUP BY ALL")
 
 
+def a18_all(s, d):
+    o = table(s, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("reasons"), F.sort_array(F.collect_set("o_orderkey")).alias("evidence"))
+    return o.select("o_custkey", "o_orderstatus", F.array_join("reasons", ",").alias("reasons"), F.array_join(F.slice("evidence", 1, 6), ",").alias("evidence"))
+
+
+add("A18_all_reasons", a18_all, "SELECT o_custkey, o_orderstatus, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS reasons, array_to_string(list_sort(list(DISTINCT o_orderkey))[1:6], ',') AS evidence FROM orders GROUP BY ALL")
+
+
 def d41(s, d):
     from docengine.operators.latest import top_per_key
 

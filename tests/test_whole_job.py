@@ -79,3 +79,13 @@ def test_windows_hold_whole_lines(spark, tmp_path):
     assert column("W2_whole_lines", "context") == ["", lines[0], " ".join(lines[:2])]
     assert column("W3_whole_lines", "joined") == [" ".join(lines[:2]), " ".join(lines[1:]), lines[2]]
     assert column("W5_whole_lines", "window") == ["\n".join(lines[k:]) for k in range(3)]
+
+
+def test_all_reasons_and_ends(spark, tmp_path):
+    orders = [(k, 1, "F", f"{k % 5 + 1}-P") for k in range(8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "\n".join("abc" for _ in range(71)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["A18_all_reasons"](spark, str(tmp_path)).first()
+    assert (got.reasons, got.evidence) == ("1-P,2-P,3-P,4-P,5-P", "0,1,2,3,4,5")
+    ends = QUERIES["W12_all_ends"](spark, str(tmp_path)).filter("block_order in (1, 70, 71)").collect()
+    assert sorted((r.block_order, r.end) for r in ends) == [*[(1, e) for e in (1, 2, 3, 5, 9, 17, 33, 65, 71)], (70, 70), (70, 71), (71, 71)]
