@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import chunks, list_array
+from docengine.llm.words import appended, chunks, lean, list_array
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of ASCII characters only.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 NEVER = 1 << 40
 
 
@@ -174,13 +174,16 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    # a task's known words are dropped at its end
+    return source.mapInArrow(lean(run, lambda: vocabulary(path).known.clear()), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of each row's ids; bytes that are no UTF-8 become U+FFFD. Null decodes to ''."""
-    if out in encoded.columns:
-        raise ValueError(f"the table has a column {out}")
+    """Adds the text of each row's ids; bytes that are no UTF-8 become U+FFFD. Null decodes to ''.
+
+    A column of the name ``out`` is replaced.
+    """
+    kept = appended(encoded, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary(path).bytes_of.__getitem__
@@ -189,13 +192,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 column = part.column(at)
+                others = [part.column(part.schema.get_field_index(c)) for c in kept]
                 flat = (column.fill_null([]) if column.null_count else column).flatten().to_numpy(zero_copy_only=False).tolist()
                 ends = np.cumsum(pc.coalesce(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
                 texts = [b"".join(map(get, flat[x:y])).decode("utf-8", "replace") for x, y in zip([0, *ends], ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*others, pa.array(texts, pa.string())], [*kept, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(run, f"{fields}, `{out}` string")
+    return encoded.mapInArrow(lean(run), "".join(f"{x}, " for x in kept.values()) + f"`{out}` string")
 
 
 def op3_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:

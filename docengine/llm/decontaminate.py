@@ -19,16 +19,19 @@ weighted Jaccard similarity (shingles weighted by their multiplicity) of the ite
 item-sized piece around the place is computed exactly; the best must reach the threshold.
 
 Items are held by the tasks in passes of at most ``items_per_pass`` items and
-``bytes_per_pass`` bytes, so that what is broadcast has a bound; a longer benchmark takes more
-passes. Null or empty texts and items match nothing. An item or document of fewer than ``size``
-words has its whole sequence as the one shingle. Repeated rows are judged alike, and whole texts
-are scanned.
+``bytes_per_pass`` bytes; a longer benchmark takes more passes, one after the other, each of which
+reads the texts, so that what is broadcast at a time has a bound. Null or empty texts and items
+match nothing. An item or document of fewer than ``size`` words has its whole sequence as the one
+shingle, so an item that short is found only as a whole text. Every window starts at a multiple of
+the stride from its row's first shingle: repeated rows are judged alike, wherever they stand. Whole
+texts are scanned. Of equally similar pieces the first counts. Other columns are ignored, whatever
+their names; an empty table or benchmark gives no hits.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import chunks, shingle_hashes, word_hashes
+from docengine.llm.words import chunks, lean, shingle_hashes, word_hashes
+from docengine.session import cut
 
 CHUNK = 1 << 19
 HITS = "item_id long, similarity double, first_shingle int, n_shingles int"
@@ -102,8 +106,9 @@ def best_piece(own: tuple[np.ndarray, np.ndarray], n: int, values: np.ndarray, f
     order = np.argsort(kind, kind="stable")
     kind, place = kind[order], place[order] + low
     back = np.arange(len(kind)) - own[1][kind]
-    known = (back >= 0) & (kind[back] == kind)
-    begin = np.maximum(np.where(known, place[back] + 1, first), np.maximum(place - n + 1, first))
+    behind = np.maximum(back, 0)
+    known = (back >= 0) & (kind[behind] == kind)
+    begin = np.maximum(np.where(known, place[behind] + 1, first), np.maximum(place - n + 1, first))
     end = np.minimum(place, last) + 1
     counts = begin < end
     steps = np.bincount(begin[counts] - first, minlength=last - first + 2) - np.bincount(end[counts] - first, minlength=last - first + 2)
@@ -180,8 +185,8 @@ class ItemIndex:
         for (_, stride, width), (prints, owners, offsets, blocks) in self.classes.items():
             if len(values) < width:
                 continue
-            starts = np.arange(0, len(values) - width + 1, stride)
-            starts = starts[row_of[starts] == row_of[starts + width - 1]]
+            n = np.maximum((np.diff(bounds) - width) // stride + 1, 0)  # each row's windows, from its first shingle on
+            starts = np.repeat(bounds[:-1], n) + stride * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             own = sums.at(starts, width)
             for (shift, bits), (order, edge) in zip(self.blocks(), blocks, strict=True):
                 key = ((own >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -242,9 +247,15 @@ def _passes(items: DataFrame, id_col: str, text_col: str, items_per_pass: int, b
     yield ids, texts
 
 
-def _indexes(spark, items: DataFrame, item_id: str, item_text: str, size: int, radius: int, threshold: float, items_per_pass: int, bytes_per_pass: int):
-    for ids, texts in _passes(items, item_id, item_text, items_per_pass, bytes_per_pass):
-        yield spark.sparkContext.broadcast(ItemIndex(ids, texts, size, radius, threshold))
+def _each(spark, passes: Iterator[tuple[list[int], list[str]]], size: int, radius: int, threshold: float, apply: Callable) -> None:
+    """Calls apply(index, whether it is the only or last pass); an earlier pass has its broadcast freed behind it."""
+    ahead = next(passes, None)
+    while ahead is not None:
+        held = spark.sparkContext.broadcast(ItemIndex(*ahead, size, radius, threshold))
+        ahead = next(passes, None)
+        apply(held, ahead is None)
+        if ahead is not None:
+            held.destroy()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, radius: int = 3, items_per_pass: int = 5000, bytes_per_pass: int = 16 << 20) -> DataFrame:
@@ -262,14 +273,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                     kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(kinds))], ["id", "item_id", "similarity", "first_shingle", "n_shingles"])
 
-        return source.mapInArrow(run, f"id {kind}, {HITS}")
+        return source.mapInArrow(lean(run), f"id {kind}, {HITS}")
 
-    found = [search(x) for x in _indexes(docs.sparkSession, items, item_id, item_text, size, radius, threshold, items_per_pass, bytes_per_pass)]
+    found: list[DataFrame] = []
+
+    def apply(held, last: bool) -> None:
+        found.append(search(held) if last else cut(search(held)))
+
+    _each(docs.sparkSession, _passes(items, item_id, item_text, items_per_pass, bytes_per_pass), size, radius, threshold, apply)
     return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, threshold: float = 0.8, radius: int = 3, items_per_pass: int = 5000, bytes_per_pass: int = 16 << 20) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns; no row leaves its task."""
+    """The rows of docs that hold no item, with all their columns."""
 
     def keep(held, name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +297,15 @@ def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
 
         return run
 
-    for x in _indexes(docs.sparkSession, items, item_id, item_text, size, radius, threshold, items_per_pass, bytes_per_pass):
-        docs = docs.mapInArrow(keep(x, text_col), docs.schema)
-    return docs
+    left = docs
+
+    def apply(held, last: bool) -> None:
+        nonlocal left
+        left = left.mapInArrow(lean(keep(held, text_col)), docs.schema)
+        left = left if last else cut(left)
+
+    _each(docs.sparkSession, _passes(items, item_id, item_text, items_per_pass, bytes_per_pass), size, radius, threshold, apply)
+    return left
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -7,10 +7,13 @@ rows that were learned from, and takes the smallest; ``score`` is the softmax sh
 winner, and ``ambiguous`` says that the runner-up's loss is within ``margin`` of it.
 
 Only the text is an input of a prediction. The model is fitted on the driver on at most
-``sample`` rows (those with the smallest hashes of their ids). Letters are lower-cased A-Z and
+``sample`` rows (those with the smallest hashes of their ids; of several rows of one id, the one
+with the smallest hash). Letters are lower-cased A-Z and
 all non-ASCII bytes; other bytes count as one space each. Null texts and texts without a letter
 are 'und' with score 0. With no rows to learn from, every text is 'und'; with one language, that
-one. Whole texts are read; repeated rows get equal results; other columns are ignored.
+one. Languages of equal loss: the first by name. Whole texts are read; repeated rows get equal
+results; other columns are ignored, and those with the result's names are replaced. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import chunks, list_array, raw_bytes
+from docengine.llm.words import appended, chunks, lean, list_array, raw_bytes
 
 DIMS = 2048
 ORDERS = (1, 2, 3, 4)
@@ -108,7 +111,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     source = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     # the sample has a fixed bound, and so has its broadcast
-    rows = source.join(F.broadcast(chosen), "id").select("id", "lang", "text").mapInArrow(list_vectors, f"id {kind}, lang string, x array<float>").limit(2 * sample).toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    once = source.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("r")).select("id", "r.lang", "r.text")
+    rows = once.mapInArrow(lean(list_vectors), f"id {kind}, lang string, x array<float>").toArrow().sort_by("id")
     if not rows.num_rows:
         return None
     names, y = np.unique(np.array(rows.column("lang").to_pylist()), return_inverse=True)
@@ -129,9 +133,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
 def predict(docs: DataFrame, model: Codes | str | None, text_col: str = "text", margin: float = 0.15) -> DataFrame:
     """docs with lang_pred, score and ambiguous."""
-    clash = {"lang_pred", "score", "ambiguous"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"the table has columns {sorted(clash)}")
+    names = ["lang_pred", "score", "ambiguous"]
+    kept = appended(docs, *names)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +149,10 @@ def predict(docs: DataFrame, model: Codes | str | None, text_col: str = "text",
                     share[has], close[has] = top[has], lead[has] < margin
                 elif own is not None:
                     name[has], share[has], close[has] = own, 1.0, False
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(share), pa.array(close)], [*part.schema.names, "lang_pred", "score", "ambiguous"])
+                others = [part.column(part.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(name, pa.string()), pa.array(share), pa.array(close)], [*kept, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(lean(judge), "".join(f"{x}, " for x in kept.values()) + "lang_pred string, score double, ambiguous boolean")
 
 
 def op7_langid(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's tokens are its distinct w-word shingles, kept in one global order: the class of
-a token (how frequent it is), then its hash. Two linked documents, whose shared part is at
+a token (how frequent it is), then the frequency of its words, then its hash. Two linked documents, whose shared part is at
 least num/den of their union, differ in at most d(n) = floor(n * (den - num) / num) tokens,
 n being either's size. Hence, with both token lists sorted,
 
@@ -12,16 +12,19 @@ n being either's size. Hence, with both token lists sorted,
 
 Rare tokens of the base prefix are indexed alone. A document with a frequent token in its base
 prefix also indexes its runs of k neighbours: a shared frequent token alone never makes
-candidates. Any class function keeps this complete; the classes only decide the cost.
+candidates. Any order keeps this complete; classes and word counts only decide the cost. Tokens of
+rare words come first, as they hardly ever meet by chance.
 
 A bucket's members are first compared with the bucket's smallest id, their leader; members of
 one leader that still belong to several components are then compared across components only, by
-their sketches and in blocks. So a group of n copies costs about n verifications. Candidates that pass a bound computed from parity sketches are verified
-exactly on the whole texts. Documents with equal token sets count as one from the start.
+their sketches and in blocks. So a group of n copies costs about n verifications. Candidates that pass
+a bound computed from parity sketches, a coarse one first, are verified exactly on the whole texts.
+Documents with equal token sets count as one from the start.
 
 Nulls, empty texts and texts without words have no tokens and link with nothing. Repeated ids
 give one result row for each input row. Columns other than the id and the text are ignored,
-whatever their names. An empty table gives an empty result.
+whatever their names. An empty table gives an empty result. Texts and words are read whole, whatever
+their length. Ties don't arise: a component's name is its smallest id.
 """
 
 from __future__ import annotations
@@ -35,13 +38,14 @@ from pyspark.sql import functions as F
 
 from docengine.llm.graph import components
 from docengine.llm.sieve import sieved
-from docengine.llm.words import chunks, list_array, mixed, shingle_sets
+from docengine.llm.words import chunks, lean, list_array, mixed, shingle_hashes, shingle_sets, word_hashes
 from docengine.session import cut
 
-CLASS_BITS = 20
+CLASS_BITS, WORD_BITS = 20, 15
 BLOCK, FEW, TRIES = 512, 16, 4
-_HASH_BITS = np.uint64(58)
-_SHARE = "id long, n int, h1 long, h2 long, base array<long>, runs array<long>, sketch array<long>"
+# a token's place in the global order: 5 bits of class, 10 of its words' frequency, 49 of hash
+_CLASS_AT, _WORDS_AT = np.uint64(59), np.uint64(49)
+_SHARE = "id long, n int, h1 long, h2 long, keys array<long>, coarse array<long>, sketch array<long>"
 
 
 def run_length(num: int, den: int, most: int = 3) -> int:
@@ -52,100 +56,144 @@ def run_length(num: int, den: int, most: int = 3) -> int:
     return 1
 
 
-def _frequent(docs: DataFrame, size: int, chunk_tokens: int, at_least: int, total: int) -> np.ndarray:
-    """Class of each hashed token: 0, or the binary logarithm of how often heavy tokens occur.
+def _statistics(docs: DataFrame, size: int, chunk_tokens: int, at_least: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each hashed token, and four times the binary logarithm of each hashed word's count.
 
     Each task counts all tokens of its rows exactly, in chunks, and passes on those that occur
-    at_least times within a chunk; sums of total or more set the class. The table has
-    2**CLASS_BITS entries whatever the input.
+    at_least times within a chunk; sums of total or more set the class (0, or the logarithm of
+    the sum). Words are counted by their slot. The tables have 2**CLASS_BITS and 2**WORD_BITS
+    entries whatever the input.
     """
+    slots = np.uint64((1 << WORD_BITS) - 1)
 
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
+        words = np.zeros(1 << WORD_BITS, np.int64)
+
+        def rows(keys: np.ndarray, counts: np.ndarray, word: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), word)), pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "token", "n"])
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts >= at_least
-            return pa.RecordBatch.from_arrays([pa.array(values[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
+            return rows(values[keep], counts[keep], False)
 
         for batch in batches:
             for part in chunks(batch, "text"):
-                held += shingle_sets(part.column("text"), size)
-                n = sum(map(len, held)) if len(held) < 64 else n + sum(map(len, held[-len(part) :]))
+                hashes, starts = word_hashes(part.column("text"))
+                words += np.bincount((hashes & slots).astype(np.int64), minlength=1 << WORD_BITS)
+                values, bounds = shingle_hashes(hashes, starts, size)
+                held += [np.unique(values[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+                n += len(values)
                 if n >= chunk_tokens:
                     yield flush()
                     held, n = [], 0
         if held:
             yield flush()
+        seen = np.flatnonzero(words)
+        yield rows(seen, words[seen], True)
+
+    found = docs.select("text").mapInArrow(lean(count), "word boolean, token long, n long").groupBy("word", "token").agg(F.sum("n").alias("n")).filter(F.col("word") | (F.col("n") >= total))
+    slot = F.when(F.col("word"), F.col("token")).otherwise(F.expr(f"pmod(token, {1 << CLASS_BITS})"))
+    top = found.groupBy("word", slot.cast("int").alias("slot")).agg(F.max(F.log2("n")).alias("c"))
+    classes, rarity = np.zeros(1 << CLASS_BITS, np.uint8), np.zeros(1 << WORD_BITS, np.uint64)
+    for row in top.toLocalIterator():  # at most as many rows as the tables have entries
+        if row.word:
+            rarity[row.slot] = int(4 * row.c)
+        else:
+            classes[row.slot] = min(int(row.c), 31)
+    return classes, rarity
+
 
-    found = docs.select("text").mapInArrow(heavy, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= total)
-    top = found.groupBy(F.expr(f"pmod(token, {1 << CLASS_BITS})").cast("int").alias("slot")).agg(F.max(F.log2("n")).cast("int").alias("c"))
-    table = np.zeros(1 << CLASS_BITS, np.uint8)
-    for row in top.toLocalIterator():  # at most 2**CLASS_BITS rows
-        table[row.slot] = min(row.c, 31)
-    return table
+def _half(x: np.ndarray) -> np.ndarray:
+    return x[: len(x) // 2] ^ x[len(x) // 2 :]
 
 
-def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+def parity_sketch(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One bit per slot: whether it holds an odd number of tokens; a power of two of slots, four or more for each token.
 
     With so many, few tokens share a slot, and sets just below the threshold are told apart. Two
     sets' sketches differ in at most as many bits as the sets differ in tokens, also after
-    folding the longer onto the shorter.
+    folding the longer onto the shorter. The first of the two results is such a folded one, with
+    an eighth of the slots, which is enough to tell sets of little in common apart.
     """
     slots = 64
     while slots < 4 * len(tokens):
         slots *= 2
     odd = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    sketch = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    coarse = sketch
+    while len(coarse) > max(1, len(sketch) // 8):
+        coarse = _half(coarse)
+    return coarse, sketch
 
 
-def _indexed(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray) -> DataFrame:
+def _indexed(docs: DataFrame, size: int, num: int, den: int, classes: np.ndarray, rarity: np.ndarray) -> DataFrame:
+    """Per row: size and digests of its token set, keys (single tokens and runs), sketches."""
     k = run_length(num, den)
-    held = docs.sparkSession.sparkContext.broadcast(classes)
-    mask = np.uint64((1 << CLASS_BITS) - 1)
+    held = docs.sparkSession.sparkContext.broadcast((classes, rarity))
+    mask, slots = np.uint64((1 << CLASS_BITS) - 1), np.uint64((1 << WORD_BITS) - 1)
+    fields = ("id", "n", "h1", "h2", "keys", "coarse", "sketch")
+
+    def places(values: np.ndarray, common: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Distinct tokens' places in the global order, ascending; equal tokens have equal words."""
+        tokens, at = np.unique(values, return_index=True)
+        kind = table[tokens & mask].astype(np.uint64)
+        return tokens, np.sort((kind << _CLASS_AT) | (common[at] << _WORDS_AT) | (mixed(tokens) >> np.uint64(15)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
+        table, often = held.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                counts, h1, h2, base, runs, sketches = [], [], [], [], [], []
-                for tokens in shingle_sets(part.column("text"), size):
+                counts, h1, h2, keys, coarse, sketches = [], [], [], [], [], []
+                words, rows = word_hashes(part.column("text"))
+                values, bounds = shingle_hashes(words, rows, size)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(often[words & slots], dtype=np.uint64)])
+                first = np.repeat(rows[:-1] - bounds[:-1], np.diff(bounds)) + np.arange(len(values))
+                last = np.minimum(first + size, np.repeat(rows[1:], np.diff(bounds)))
+                common = np.minimum(sums[last] - sums[first], np.uint64(1023))
+                for x, y in zip(bounds, bounds[1:], strict=False):
+                    tokens, order = places(values[x:y], common[x:y], table)
                     n = len(tokens)
                     counts.append(n)
                     spread = mixed(tokens)
                     h1.append(int(np.bitwise_xor.reduce(spread)) if n else 0)
                     h2.append(int(spread.sum()) if n else 0)
-                    sketches.append(parity_sketch(spread))
-                    kind = table[tokens & mask].astype(np.uint64)
-                    order = np.sort((kind << _HASH_BITS) | (spread >> np.uint64(6)))
+                    for to, sketch in zip((coarse, sketches), parity_sketch(spread), strict=True):
+                        to.append(sketch)
                     p = n + (-n * num // den) + 1 if n else 0
-                    base.append(order[:p])
-                    if p and order[p - 1] >> _HASH_BITS:
+                    base = order[:p]
+                    single = base[base >> _CLASS_AT == 0]
+                    if len(single) < p:
                         ext = order[: k * (n * (den - num) // num) + k]
                         run = np.zeros(max(0, len(ext) - k + 1), np.uint64)
                         for j in range(k):
                             run = mixed(run + ext[j : j + len(run)])
-                        runs.append(run | np.uint64(1 << 63))
-                    else:
-                        runs.append(order[:0])
+                        single = np.concatenate([single, run | np.uint64(1 << 63)])
+                    keys.append(single)
                 signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h1, h2)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int32()), *signed, list_array(base), list_array(runs), list_array(sketches)], ["id", "n", "h1", "h2", "base", "runs", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int32()), *signed, *map(list_array, (keys, coarse, sketches))], fields)
+
+    return docs.select("id", "text").mapInArrow(lean(index), _SHARE)
 
-    return docs.select("id", "text").mapInArrow(index, _SHARE)
+
+def _apart(x: str, y: str) -> str:
+    """SQL for the number of bits in which two sketches differ; the longer is folded onto the shorter."""
+    # linked sizes differ by less than a factor of two, and so do their sketches
+    folded = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    return f"aggregate(zip_with({folded(x, y)}, {folded(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)"
 
 
 def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the sizes and the parity sketches don't rule out."""
-    sizes = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    """Pairs that the sizes and the parity sketches don't rule out, the coarse ones first."""
+    sizes = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("coarse").alias(f"c{x}"))
+    within = f"{{}} * {num} <= least(na, nb) * {den - num}"
     pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
+    pairs = pairs.filter(within.format(_apart("ca", "cb"))).select("a", "b", "na", "nb")
     side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    # linked sizes differ by less than a factor of two, and so do their sketches
-    folded = lambda x, y: f"if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
-    apart = F.expr(f"aggregate(zip_with({folded('sa', 'sb')}, {folded('sb', 'sa')}, (p, q) -> bit_count(p ^ q)), 0, (t, c) -> t + c)")
-    return both.withColumn("apart", apart.cast("int")).filter(F.col("apart") * num <= F.least("na", "nb") * (den - num)).select("a", "b", "apart")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(f"cast({_apart('sa', 'sb')} as int)"))
+    return both.filter(within.format("apart")).select("a", "b", "apart")
 
 
 def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -163,12 +211,12 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
 
     many = rows.filter(F.col("m") > FEW).join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
     many = many.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "sketch")
+    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "coarse")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, c, n, blk = (table.column(x).to_numpy() for x in ("id", "c", "n", "blk"))
         same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        lists = table.column("sketch").combine_chunks()
+        lists = table.column("coarse").combine_chunks()
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         flat, edges = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
         length = np.diff(edges)
@@ -188,12 +236,12 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
                 if not same:
                     fine &= blk[i][:, None] != blk[other][None, :]
                 r, k = np.nonzero(fine)
-                found.append((ids[i[r]], ids[other[k]], apart[r, k].astype(np.int32)))
-        a, b, d = (np.concatenate([f[j] for f in found]) for j in (0, 1, 2))
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "apart": d})
+                found.append((ids[i[r]], ids[other[k]]))
+        a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long, apart int")
-    return small.unionByName(large).distinct()
+    large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
+    return small.unionByName(_close(large.distinct(), reps, num, den)).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -212,10 +260,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
                     keep.append(den * shared >= num * (len(x) + len(y) - shared))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(verify), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, chunk_tokens: int = 1 << 21, at_least: int = 16, total: int = 64) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 4, den: int = 5, chunk_tokens: int = 1 << 20, at_least: int = 16, total: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) for every row; see the module's docstring.
 
     size: words a shingle; num/den: least Jaccard similarity. chunk_tokens, at_least and total
@@ -224,12 +272,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not den < 2 * num < 2 * den:
         raise ValueError("the similarity must lie between one half and 1")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    classes = _frequent(docs, size, chunk_tokens, at_least, total)
-    indexed = cut(_indexed(docs, size, num, den, classes))
-    sets = indexed.filter("n > 0 and id is not null").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    indexed = cut(_indexed(docs, size, num, den, *_statistics(docs, size, chunk_tokens, at_least, total)))
+    known = indexed.filter("n > 0 and id is not null")
+    sets = cut(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("m")))
     # of equal sets, the smallest id stands for all; it is also the smallest in any bucket of theirs
-    reps = cut(indexed.filter("n > 0 and id is not null").join(sets.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch")))
-    keys = indexed.filter("id is not null").select("id", F.explode(F.concat(F.filter("base", lambda t: F.shiftrightunsigned(t, 58) == 0), "runs")).alias("key"))
+    reps = cut(known.join(sets.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.min("coarse").alias("coarse"), F.min("sketch").alias("sketch")))
+    keys = indexed.filter("id is not null").select("id", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
     buckets = sieved(keys, shared, "key", 24).join(shared, "key").join(reps.select("id"), "id")
     stars = cut(buckets.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
@@ -253,11 +301,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = cut(_verified(cut(rest.filter("ca <> cb").select("a", "b")), docs, size, num, den))
     groups = components(links.unionByName(more))
 
-    same = sets.filter("rep < last").select("n", "h1", "h2", "rep")
-    out = indexed.select("id", "n", "h1", "h2").join(same, ["n", "h1", "h2"], "left")
-    out = out.withColumn("rep", F.when((F.col("n") > 0), F.coalesce("rep", "id")).otherwise(F.col("id")))
-    out = out.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+    # rows of a set that holds over a 1024th of all rows, of which there are fewer than 1024, are answered where they are
+    limit = (sets.agg(F.sum("m")).first()[0] or 0) // 1024
+    named = sets.select("n", "h1", "h2", "rep", "last", "m").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("n", "h1", "h2", F.coalesce("component", "rep").alias("c"), "rep", "last", "m")
+    hot = named.filter(F.col("m") > limit).select("n", "h1", "h2", F.col("c").alias("hot"))
+    some = indexed.filter("n > 0").select("id", "n", "h1", "h2").join(F.broadcast(hot), ["n", "h1", "h2"], "left")
+    cold = named.filter((F.col("m") <= limit) & ((F.col("rep") < F.col("last")) | (F.col("c") < F.col("rep"))))
+    rest = some.filter("hot is null").join(cold.select("n", "h1", "h2", "c"), ["n", "h1", "h2"], "left").select("id", "n", F.coalesce("c", "id").alias("c"))
+    out = rest.unionByName(some.filter("hot is not null").select("id", "n", F.col("hot").alias("c"))).unionByName(indexed.filter("n = 0").select("id", "n", F.col("id").alias("c")))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

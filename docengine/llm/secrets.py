@@ -12,7 +12,8 @@ touches (a weak part also under those within reach), and parts of one block are
 
 Positions are code points, ends exclusive. A null text counts as empty and has no spans.
 Repeated rows get equal results; rows with one id and different texts are told apart by the
-texts' hashes. Texts are scanned whole. Columns that are not named are ignored.
+texts' hashes. Texts are scanned whole. Columns that are not named are ignored, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.llm.sieve import whole
+from docengine.session import cut
+
 # The kinds, in order, and their patterns.
 KINDS = ["assign", "access", "hex", "weak_secret", "account", "endpoint"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 WEAK_SECRET = r"[A-Za-z0-9+/_-]{32,}"
-ACCOUNT = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}\.[A-Za-z0-9.-]{1,190}"
-ENDPOINT = r"[a-z][a-z0-9+]{1,10}://[A-Za-z0-9._:/?#%&=-]{3,}"
+ACCOUNT = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
+ENDPOINT = r"[a-z][a-z0-9+]+://[A-Za-z0-9._:/?#%&=-]{3,}"
+# the same matches in time linear in a run: they begin where a run does or where the last match ended
+ACCOUNT_ONCE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
+ENDPOINT_ONCE = r"(?:\G|(?<![a-z]))[a-z][a-z0-9+]++://[A-Za-z0-9._:/?#%&=-]{3,}+"
 
 _SPAN = "struct<start:int,kind:int,end:int>"
 _BLOCK = 4096
@@ -63,7 +70,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             _found("t", ACCESS, 1, t.contains("AKIA") & t.rlike(ACCESS)),
             _found("t", HEX, 2, t.rlike(HEX)),
         ).alias("base"),
-        F.concat(_found("t", ACCOUNT, 4, t.contains("@")), _found("t", ENDPOINT, 5, t.contains("://"))).alias("near"),
+        F.concat(_found("t", ACCOUNT_ONCE, 4, t.contains("@")), _found("t", ENDPOINT_ONCE, 5, t.contains("://"))).alias("near"),
     )
     # a run is weak if it mixes letters and digits and no base span overlaps it
     runs = _found("t", WEAK_SECRET, 3, (F.size("near") > 0) | F.exists("base", lambda b: b["kind"] == 1), "x.m rlike '[0-9]' and x.m rlike '[A-Za-z]'")
@@ -90,7 +97,7 @@ def linked(found: DataFrame, reach: int = 200) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
     """(id, h, base, spans) for each row: the base spans and all reported spans, by start and kind."""
-    found = parts(docs, id_col, text_col)
+    found = cut(parts(docs, id_col, text_col))  # narrow rows without the texts, which are so matched once
     extra = linked(found, reach).groupBy("id", "h").agg(F.collect_list("span").alias("extra"))  # bounded by one text
     out = found.alias("f").join(extra.alias("x"), F.expr("f.id <=> x.id and f.h = x.h"), "left")
     spans = F.sort_array(F.concat("base", F.coalesce("extra", F.expr(f"cast(array() as array<{_SPAN}>)"))))
@@ -99,17 +106,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", reach: int = 200) -> DataFrame:
     """The documents, each reported span of the text replaced by the mark; overlapping spans by one."""
-    found = scan(docs, id_col, text_col, reach).filter("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).distinct()
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    both = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")), "left")
-    t = f"`{text_col}`"
+    found = scan(docs, id_col, text_col, reach).filter("size(spans) > 0").select(F.col(id_col).alias("found_id"), F.col("h").alias("found_h"), "spans").distinct()
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = docs.select(whole(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
+    both = keyed.join(found, F.expr("id <=> found_id and h = found_h"), "left")
     clean = F.expr(
-        f"""aggregate(_spans, struct('' as out, 0 as at),
+        f"""aggregate(spans, struct(cast(array() as array<string>) as out, 0 as at),
             (a, x) -> if(x.start < a.at, struct(a.out as out, greatest(a.at, x.end) as at),
-                struct(concat(a.out, substring({t}, a.at + 1, x.start - a.at), '{mark}') as out, x.end as at)),
-            a -> concat(a.out, substring({t}, a.at + 1)))"""
+                struct(concat(a.out, array(substring(t, a.at + 1, x.start - a.at), '{mark}')) as out, x.end as at)),
+            a -> concat(array_join(a.out, ''), substring(t, a.at + 1)))"""
     )
-    return both.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    at = F.col(f"row.`{text_col}`")
+    return both.select(*[F.when(F.size("spans") > 0, clean).otherwise(at).alias(c) if c == text_col else F.col("row.`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns])
 
 
 def _joined(spans: str) -> Column:

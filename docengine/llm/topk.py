@@ -11,8 +11,10 @@ rules out all rings, and within a visited ring all distances, whose bound lies b
 left is computed in integers, so the result is exact; ties go to the smaller id.
 
 The pivots come from at most ``sample`` vectors (smallest hashes of their ids); every vector is
-indexed. At most n_pivots * n_rings rings are described on the driver. Large rings are dealt out
-in blocks, so that equal vectors in any number never meet in one task.
+indexed. There is a pivot for every 16 of the square root of the number of vectors, 16 at least and
+``most_pivots`` at most, so at most most_pivots * n_rings rings are described on the driver. Large
+rings are dealt out in blocks, and so are the queries that visit a ring, so that neither equal
+vectors nor queries in any number meet in one task.
 
 Vectors that are null or hold null or non-finite components take no part, neither as queries nor
 as candidates; shorter vectors count as padded with zeros. Repeated rows of one id are
@@ -22,6 +24,7 @@ of its own id is its candidate. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.words import list_array
+from docengine.llm.words import lean, list_array
 from docengine.session import cut
 
 
@@ -99,7 +102,7 @@ class Rings:
         return np.minimum((square + self.norm - apart**2) / 2, np.sqrt(square * self.norm)) * (1 + 1e-9) + 1
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = 16, n_rings: int = 8, sample: int = 1024, first: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most_pivots: int = 512, n_rings: int = 8, sample: int = 4096, first: int = 512, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` for which is_query holds."""
     spark = vectors.sparkSession
     out_type = "query_id long, vec_id long, score long"
@@ -107,9 +110,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     seen = every.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()  # bounded by sample
     if not seen.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = every.agg(F.max(F.size("v"))).first()[0]
+    width, total = every.agg(F.max(F.size("v")), F.count("*")).first()
     known = _matrix(seen.column("v"), width)
-    pivots = choose_pivots(known, n_pivots)
+    pivots = choose_pivots(known, min(most_pivots, max(16, math.isqrt(total) // 16)))
     rings = Rings(pivots, max(1.0, float(np.quantile(_far(known, pivots).min(axis=1), 0.98)) / n_rings), n_rings)
     plain = spark.sparkContext.broadcast(rings)
 
@@ -119,14 +122,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             cell, d = plain.value.key(v)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), list_array(list(v)), pa.array(cell), pa.array(d), pa.array((v.astype(np.float64) ** 2).sum(axis=1))], ["vec_id", "v", "cell", "d", "norm"])
 
-    indexed = cut(every.mapInArrow(index, "vec_id long, v array<long>, cell long, d double, norm double"))
+    indexed = cut(every.mapInArrow(lean(index), "vec_id long, v array<long>, cell long, d double, norm double"))
     described = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("norm").alias("norm")).collect()  # one row a ring
-    total = sum(r.n for r in described)
     rings = Rings(rings.pivots, rings.width, n_rings)
     rings.describe(described, min(max(256, total // 256), 16384))
     full = spark.sparkContext.broadcast(rings)
-    sizes = F.create_map(*[F.lit(x) for c, n in zip(rings.cells.tolist(), rings.blocks.tolist(), strict=True) for x in (c, n)])
-    placed = indexed.withColumn("blk", F.pmod(F.xxhash64("vec_id"), sizes[F.col("cell")]))
+    sizes = spark.createDataFrame(list(zip(rings.cells.tolist(), rings.blocks.tolist(), strict=True)), "cell long, blocks long")  # one row a ring
+    placed = indexed.join(F.broadcast(sizes), "cell").withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).drop("blocks")
     queries = scaled(vectors.filter(is_query), id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("q")).withColumnRenamed("vec_id", "query_id")
 
     def route(later: bool):
@@ -166,9 +168,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             square = (asked.astype(np.float64) ** 2).sum(axis=1)
             reach = np.where(np.isfinite(tau), np.sqrt(np.maximum(0, square + norm - 2 * np.where(np.isfinite(tau), tau, 0) + 2)) + 1e-2, np.inf)
             lows, highs = np.searchsorted(d, to - reach), np.searchsorted(d, to + reach, side="right")
-            for name, x, low, high in zip(names.tolist(), asked, lows.tolist(), highs.tolist(), strict=True):
+            for name, x, low, high, least in zip(names.tolist(), asked, lows.tolist(), highs.tolist(), tau.tolist(), strict=True):
                 s, near = v[low:high] @ x, ids[low:high]
-                s, near = s[near != name], near[near != name]
+                fine = (near != name) & (s >= least)
+                s, near = s[fine], near[fine]
                 if len(s) > k:
                     keep = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
                     s, near = s[keep], near[keep]
@@ -177,8 +180,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         return pa.table({n: pa.array([f[j] for f in found], pa.int64()) for j, n in enumerate(("query_id", "vec_id", "score"))})
 
     def visit(asked: DataFrame, later: bool) -> DataFrame:
-        sent = asked.mapInArrow(route(later), "cell long, blk long, query_id long, q array<long>, tau double")
-        return sent.groupBy("cell", "blk").cogroup(placed.groupBy("cell", "blk")).applyInArrow(search, out_type)
+        sent = cut(asked.mapInArrow(lean(route(later)), "cell long, blk long, query_id long, q array<long>, tau double"))
+        visits = sent.filter("blk = 0").groupBy("cell").count().collect()  # one row a ring
+        parts = lambda: F.broadcast(spark.createDataFrame([(r.cell, -(-r[1] // query_rows)) for r in visits], "cell long, parts long"))
+        asked = sent.join(parts(), "cell").withColumn("part", F.pmod(F.xxhash64("query_id", F.lit("part")), F.col("parts")))
+        found = placed.join(parts(), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        return asked.groupBy("cell", "blk", "part").cogroup(found.groupBy("cell", "blk", "part")).applyInArrow(search, out_type)
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     start = cut(visit(queries.withColumn("tau", F.lit(None).cast("double")), False))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.session import cut
+
 # Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.in", "co.nz", "co.za", "com.cn", "com.mx", "com.tr", "co.kr"]
 
@@ -61,14 +63,14 @@ def _strength(groups: DataFrame, parent: Column) -> float:
     return float(min(max(1 / min(rho, 0.5) - 1, 1.0), 1000.0))
 
 
-def reputation(outcomes: DataFrame, prior_good: float = 0.5, z: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+def reputation(outcomes: DataFrame, prior_good: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """Tables (key, mean, strength) of hosts, domains and suffixes, and the root's.
 
     outcomes: host, good (0 or 1). Counting by host comes first, so a host with any share of the
     rows is added up within the tasks that read it.
     """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good")).withColumn("domain", domain).withColumn("suffix", suffix)
+    hosts = cut(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good")).withColumn("domain", domain).withColumn("suffix", suffix))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()

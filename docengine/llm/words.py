@@ -2,29 +2,92 @@
 
 A text's words are the runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased.
 UTF-8 never uses those byte values inside a longer sequence, so working on bytes gives the
-same words as working on characters. Hashes are 64 bits wide.
+same words as working on characters.
+
+Words are hashed by two polynomials modulo the prime 2**31 - 1 (62 bits, mixed into 64), which
+tell apart what polynomials modulo 2**64 can't, such as a Thue-Morse string and its complement.
+The faster hash modulo 2**64 serves where a collision only costs time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += np.uint64(32)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += np.uint8(32)
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
 
+_PRIME = (1 << 31) - 1
+_PRIME_BASES = (1103515245, 69069069)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function, which at a task's end also gives unused memory back to the system.
+
+    Workers are reused by later stages, so what one task leaves behind would count for all. What
+    ``forget`` names is called first, to drop a worker's caches.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for drop in (_Powers.drop, *forget):
+                drop()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+            if trim is not None:
+                trim(0)
+
+    return tidy
+
+
+def appended(df: DataFrame, *out: str) -> dict[str, str]:
+    """The columns of df that keep their place beside new columns ``out``, with their DDL.
+
+    Columns whose names clash with ``out`` (as Spark compares names, without regard to case) give way.
+    """
+    taken = {x.lower() for x in out}
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    return {f.name: f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields if f.name.lower() not in taken}
+
+
 class _Powers:
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
+    prime: tuple = tuple((np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in _PRIME_BASES)
+
+    @classmethod
+    def drop(cls) -> None:
+        cls.up = cls.down = np.ones(1, np.uint64)
+        cls.prime = tuple((cls.up, cls.up) for _ in _PRIME_BASES)
+
+    @classmethod
+    def modulo(cls, n: int) -> tuple:
+        """For each base its powers modulo the prime and their inverses, by doubling."""
+        if len(cls.prime[0][0]) <= n:
+            out = []
+            for base in _PRIME_BASES:
+                pair = []
+                for b in (base, pow(base, -1, _PRIME)):
+                    x = np.ones(1, np.uint64)
+                    while len(x) <= n:
+                        x = np.concatenate([x, _reduced(x * np.uint64(pow(b, len(x), _PRIME)))])
+                    pair.append(x)
+                out.append(tuple(pair))
+            cls.prime = tuple(out)
+        return cls.prime
 
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +100,14 @@ class _Powers:
         return cls.up, cls.down
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**63."""
+    p, s = np.uint64(_PRIME), np.uint64(31)
+    x = (x & p) + (x >> s)
+    x = (x & p) + (x >> s)
+    return np.where(x >= p, x - p, x)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser: every bit of the result depends on every bit of x."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,7 +155,7 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def word_spans(column: pa.Array, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The prefix hash of the lower-cased bytes, the words' starts and ends, each row's first word."""
+    """The lower-cased bytes, the words' starts and ends, each row's first word."""
     data, offsets = raw_bytes(column)
     inside = in_word[data]
     first = inside.copy()
@@ -96,13 +167,20 @@ def word_spans(column: pa.Array, in_word: np.ndarray = _IN_WORD) -> tuple[np.nda
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return prefix_hash(_LOWER[data]), starts, ends, np.searchsorted(starts, offsets)
+    return _LOWER[data], starts, ends, np.searchsorted(starts, offsets)
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all rows in order, and the index of each row's first word."""
-    h, starts, ends, rows = word_spans(column)
-    return span_hash(h, starts, ends), rows
+    data, starts, ends, rows = word_spans(column)
+    symbols = data.astype(np.uint64) + np.uint64(1)
+    value = np.zeros(len(starts), np.uint64)
+    for up, down in _Powers.modulo(len(data)):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        terms = symbols * up[: len(data)]  # below 2**40, so that 2**23 of them can be summed
+        np.cumsum(terms if len(data) < 1 << 23 else _reduced(terms), out=sums[1:])
+        value = (value << np.uint64(31)) | _reduced(_reduced(sums[ends] - sums[starts]) * down[starts])
+    return mixed(value), rows
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
