@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    All executors share that folder, so the rows survive a lost executor. Only where the
-    setting is absent (tests on one machine) is a temporary folder used.
+    All executors share that folder, so the rows survive a lost executor. Only on one machine, where
+    the setting may be absent (tests), is a temporary folder used; elsewhere its absence is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docengine-"))
     return df.checkpoint(eager=True)
