@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.graph import components
-from docengine.llm.sieve import sieved
+from docengine.llm.sieve import parted, sieved
 from docengine.llm.words import chunks, lean, list_array, mixed, shingle_hashes, shingle_sets, word_hashes
 from docengine.session import cut
 
@@ -186,12 +186,18 @@ def _apart(x: str, y: str) -> str:
 
 
 def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the sizes and the parity sketches don't rule out, the coarse ones first."""
-    sizes = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("coarse").alias(f"c{x}"))
+    """Pairs (checkpointed ones) that the sizes and the parity sketches don't rule out, the coarse ones first.
+
+    Only the rows that pairs name leave their tasks.
+    """
+    ids = lambda df: df.select(F.explode(F.array("a", "b")).alias("id"))
+    few = sieved(reps.select("id", "n", "coarse"), ids(pairs), "id")
+    sizes = lambda x: few.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("coarse").alias(f"c{x}"))
     within = f"{{}} * {num} <= least(na, nb) * {den - num}"
     pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(f"least(na, nb) * {den}L >= greatest(na, nb) * {num}L")
-    pairs = pairs.filter(within.format(_apart("ca", "cb"))).select("a", "b", "na", "nb")
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
+    pairs = cut(pairs.filter(within.format(_apart("ca", "cb"))).select("a", "b", "na", "nb"))
+    fewer = sieved(reps.select("id", "sketch"), ids(pairs), "id")
+    side = lambda x: fewer.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(f"cast({_apart('sa', 'sb')} as int)"))
     return both.filter(within.format("apart")).select("a", "b", "apart")
 
@@ -207,7 +213,7 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     rows = cut(placed.join(size, "leader"))
     few = rows.filter(F.col("m") <= FEW)
     left, right = (few.select("leader", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    small = _close(left.join(right, "leader").filter("a > b and ca <> cb").select("a", "b").distinct(), reps, num, den)
+    small = _close(cut(left.join(right, "leader").filter("a > b and ca <> cb").select("a", "b").distinct()), reps, num, den)
 
     many = rows.filter(F.col("m") > FEW).join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
     many = many.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
@@ -241,7 +247,7 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
-    return small.unionByName(_close(large.distinct(), reps, num, den)).distinct()
+    return small.unionByName(_close(cut(large.distinct()), reps, num, den)).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -276,7 +282,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = indexed.filter("n > 0 and id is not null")
     sets = cut(known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("m")))
     # of equal sets, the smallest id stands for all; it is also the smallest in any bucket of theirs
-    reps = cut(known.join(sets.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.min("coarse").alias("coarse"), F.min("sketch").alias("sketch")))
+    firsts = sets.select(F.col("rep").alias("id")).distinct()
+    odd = cut(known.groupBy("id").count().join(firsts.withColumn("first", F.lit(True)), "id", "left").filter("count > 1 or first is null").select("id"))
+    sure, maybe = parted(known.select("id", "n", "coarse", "sketch"), odd, "id", 24)
+    maybe = maybe.join(firsts, "id", "left_semi").groupBy("id").agg(F.min("n").alias("n"), F.min("coarse").alias("coarse"), F.min("sketch").alias("sketch"))
+    reps = cut(sure.unionByName(maybe))
     keys = indexed.filter("id is not null").select("id", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key", "low"))
     buckets = sieved(keys, shared, "key", 24).join(shared, "key").join(reps.select("id"), "id")

@@ -27,13 +27,24 @@ def sieved(df: DataFrame, keys: DataFrame, name: str, bits: int = 22) -> DataFra
     return marked.join(F.broadcast(_words(keys, name, slot)), "word").filter("(bits & shiftleft(1L, cast(slot % 64 as int))) != 0L").select("row.*")
 
 
-def without(df: DataFrame, keys: DataFrame, name: str, bits: int = 22) -> DataFrame:
-    """The rows of df whose key isn't in keys. Only rows that the bitmap can't clear are shuffled."""
+def _maybe(df: DataFrame, keys: DataFrame, name: str, bits: int) -> DataFrame:
+    """(row, key, maybe): whether the bitmap of keys has the row's key."""
     slot = f"pmod(xxhash64({{}}), {1 << bits})"
     marked = df.select(whole(df).alias("row"), F.col(f"`{name}`").alias("key"), F.expr(slot.format(f"`{name}`")).alias("slot")).withColumn("word", F.expr("slot div 64"))
     marked = marked.join(F.broadcast(_words(keys, name, slot)), "word", "left")
-    marked = marked.withColumn("maybe", F.expr("coalesce((bits & shiftleft(1L, cast(slot % 64 as int))) != 0L, false)"))
+    return marked.select("row", "key", F.expr("coalesce((bits & shiftleft(1L, cast(slot % 64 as int))) != 0L, false)").alias("maybe"))
+
+
+def parted(df: DataFrame, keys: DataFrame, name: str, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key isn't in keys for sure, and all others, which an exact join must tell apart."""
+    marked = _maybe(df, keys, name, bits)
+    return marked.filter("not maybe").select("row.*"), marked.filter("maybe").select("row.*")
+
+
+def without(df: DataFrame, keys: DataFrame, name: str, bits: int = 22) -> DataFrame:
+    """The rows of df whose key isn't in keys. Only rows that the bitmap can't clear are shuffled."""
+    marked = _maybe(df, keys, name, bits)
     gone = keys.select(F.col(f"`{name}`").alias("key"), F.lit(True).alias("gone")).distinct()
     # an outer join: an anti join would be moved below the sieve
-    rest = marked.filter("maybe").select("row", "key").join(gone, "key", "left").filter("gone is null").select("row.*")
+    rest = marked.filter("maybe").join(gone, "key", "left").filter("gone is null").select("row.*")
     return marked.filter("not maybe").select("row.*").unionByName(rest)

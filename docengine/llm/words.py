@@ -12,11 +12,12 @@ The faster hash modulo 2**64 serves where a collision only costs time.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -28,24 +29,30 @@ _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PRIME = (1 << 31) - 1
 _PRIME_BASES = (1103515245, 69069069)
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The same function, which at a task's end also gives unused memory back to the system.
+    """The same function for mapInArrow, which at a task's end also gives unused memory back to the system.
 
     Workers are reused by later stages, so what one task leaves behind would count for all. What
-    ``forget`` names is called first, to drop a worker's caches.
+    ``forget`` names is called first, to drop a worker's caches. Texts may be long, so batches are
+    made smaller than by default, unless the session has a limit of its own.
     """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH_BYTES, None) in ("67108864b", "64MB"):
+        spark.conf.set(_BATCH_BYTES, "8MB")
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # which the trimming below covers
         try:
             yield from run(batches)
         finally:
             for drop in (_Powers.drop, *forget):
                 drop()
-            pa.default_memory_pool().release_unused()
+            gc.collect()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
             if trim is not None:
                 trim(0)
@@ -154,6 +161,26 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((h[end] - h[start]) * down[start])
 
 
+def prime_sums(data: np.ndarray) -> list[np.ndarray]:
+    """For each base, the sums behind the hashes of prime_spans."""
+    symbols = data.astype(np.uint64) + np.uint64(1)
+    out = []
+    for up, _ in _Powers.modulo(len(data)):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        terms = symbols * up[: len(data)]  # below 2**40, so that 2**23 of them can be summed
+        np.cumsum(terms if len(data) < 1 << 23 else _reduced(terms), out=sums[1:])
+        out.append(sums)
+    return out
+
+
+def prime_spans(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans by two polynomials modulo the prime."""
+    value = np.zeros(len(starts), np.uint64)
+    for own, (_, down) in zip(sums, _Powers.modulo(len(sums[0]) - 1), strict=True):
+        value = (value << np.uint64(31)) | _reduced(_reduced(own[ends] - own[starts]) * down[starts])
+    return mixed(value)
+
+
 def word_spans(column: pa.Array, in_word: np.ndarray = _IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lower-cased bytes, the words' starts and ends, each row's first word."""
     data, offsets = raw_bytes(column)
@@ -173,14 +200,7 @@ def word_spans(column: pa.Array, in_word: np.ndarray = _IN_WORD) -> tuple[np.nda
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all rows in order, and the index of each row's first word."""
     data, starts, ends, rows = word_spans(column)
-    symbols = data.astype(np.uint64) + np.uint64(1)
-    value = np.zeros(len(starts), np.uint64)
-    for up, down in _Powers.modulo(len(data)):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        terms = symbols * up[: len(data)]  # below 2**40, so that 2**23 of them can be summed
-        np.cumsum(terms if len(data) < 1 << 23 else _reduced(terms), out=sums[1:])
-        value = (value << np.uint64(31)) | _reduced(_reduced(sums[ends] - sums[starts]) * down[starts])
-    return mixed(value), rows
+    return prime_spans(prime_sums(data), starts, ends), rows
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,8 +39,9 @@ def test_toxicity_without_labels(spark):
     for labels in ([], [(1, 0)]):
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert model is None and not toxicity.severity(docs, model).first().toxic
-    with pytest.raises(ValueError):
-        toxicity.severity(docs.withColumn("grade", F.lit(1)), None)
+    clash = docs.withColumn("grade", F.lit(7)).withColumn("Toxic", F.lit("x"))
+    assert toxicity.severity(clash, None).first().grade == 0
+    assert toxicity.without_toxic(clash, None).first().grade == 7
 
 
 def test_langid(spark):
