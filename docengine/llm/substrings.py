@@ -37,6 +37,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -147,16 +148,10 @@ def _marked(table: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 def _repeats(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
     """Whether each key occurs again or on a flagged row."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    known = np.zeros(len(size), bool)
-    known[group[flags[order]]] = True
-    out = np.empty(len(keys), bool)
-    out[order] = (size > 1)[group] | known[group]
-    return out
+    codes, different = pd.factorize(keys)
+    known = np.bincount(codes, minlength=len(different)) > 1
+    known[codes[flags]] = True
+    return known[codes]
 
 
 def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,11 +323,10 @@ def _spans(ids, th, start, stop) -> pa.Table:
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
     """Equal ranks for equal keys, from 0 on, in ascending order."""
-    order = np.argsort(keys, axis=None)
-    flat = keys.ravel()[order]
-    out = np.empty(len(flat), np.uint64)
-    out[order] = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]])).astype(np.uint64) if len(flat) else flat
-    return out.reshape(keys.shape)
+    codes, different = pd.factorize(keys.ravel())
+    place = np.empty(len(different), np.uint64)
+    place[np.argsort(different)] = np.arange(len(different), dtype=np.uint64)
+    return place[codes].reshape(keys.shape)
 
 
 def _text_at(slots: np.ndarray, column: int, n: int) -> np.ndarray:
@@ -357,6 +351,8 @@ class CoverRanks:
         self.next = np.array([min(c + k for k in range(PERIOD) if (c + k) % PERIOD in COVER) for c in range(width)])
         self.last = np.array([max((c - k for k in range(PERIOD) if (c - k) % PERIOD in COVER), default=-1) for c in range(width)])
         self.slots, self.depth = slots, PERIOD
+        if self.columns.size * len(slots) >= 1 << 24:
+            raise ValueError("too many contexts for ranks of 24 bits")
         head = np.stack([_text_at(slots, c, 8) for c in self.columns], axis=1)
         rest = np.stack([_text_at(slots, c + 8, PERIOD - 8) for c in self.columns], axis=1)
         self.rank = _ranks((_ranks(head) << np.uint64(40)) | rest)
@@ -370,22 +366,16 @@ class CoverRanks:
 
     def block(self, column: int, length: int, which: np.ndarray) -> np.ndarray:
         """Equal ranks for equal strings of ``length`` bytes that begin in one column of the slots ``which``."""
-        slots, key, at = self.slots[which], None, column
-        while at < column + length:
-            first = self.next[at]
-            if first > at:  # up to the next sample position
-                part = _text_at(slots, at, min(first - at, column + length - at))
-                at = first
-            elif at + self.depth <= column + length:
-                part = self.rank[which, self.at[at]]
-                at += self.depth
-            else:  # the last sample position from which the rank's bytes fit, then the bytes that remain
-                back = self.last[column + length - self.depth]
-                rest = column + length - back - self.depth
-                part = (self.rank[which, self.at[back]] << np.uint64(40)) | _text_at(slots, column + length - rest, rest)
-                at = column + length
-            key = _ranks(part) if key is None else _ranks((key << np.uint64(32)) | _ranks(part))
-        return key
+        head = self.next[column] - column  # bytes up to the next sample position
+        key = (_text_at(self.slots, column, head) << np.uint64(24)) | self.rank[:, self.at[column + head]]
+        at = column + head + self.depth
+        while at + self.depth < column + length:
+            key = (_ranks(key) << np.uint64(24)) | self.rank[:, self.at[at]]
+            at += self.depth
+        back = self.last[column + length - self.depth]  # the last sample position from which a rank's bytes fit
+        rest = column + length - back - self.depth
+        tail = (self.rank[:, self.at[back]] << np.uint64(40)) | _text_at(self.slots, back + self.depth, rest)
+        return _ranks((_ranks(key[which]) << np.uint64(32)) | _ranks(tail[which]))
 
 
 def _settle_contexts(table: pa.Table, length: int, block: int, most: int) -> Iterator[pa.Table]:
@@ -456,9 +446,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"the block must be shorter than the string, and the string have {2 * PERIOD} bytes at least")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     keyed = source.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
+    # a join by sorting at every size, so that small runs show what large ones cost
     found = cut(repeated_spans(keyed, length, block, hot, chunk, bucket_rows).groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))  # bounded by one text
     clear, maybe = parted(source, found.select("th"), "th", 24)
-    rest = maybe.alias("d").join(found.alias("f"), F.expr(f"coalesce(d.id, {-(1 << 63) + 1}L - 1L) = f.id and d.th = f.th"), "left").select("d.id", "text", F.expr("transform(spans, s -> s.start)").alias("starts"), F.expr("transform(spans, s -> s.stop)").alias("stops"))
+    rest = maybe.alias("d").join(found.hint("merge").alias("f"), F.expr(f"coalesce(d.id, {-(1 << 63) + 1}L - 1L) = f.id and d.th = f.th"), "left").select("d.id", "text", F.expr("transform(spans, s -> s.start)").alias("starts"), F.expr("transform(spans, s -> s.stop)").alias("stops"))
     none = F.lit(None).cast("array<int>")
     both = rest.unionByName(clear.select("id", "text", none.alias("starts"), none.alias("stops")))
 
