@@ -13,7 +13,6 @@ from docengine.operators.search import regex_values
 
 # Limits of a plan.
 MAX_ANCHORS, MAX_PATTERN, MAX_STEPS, MAX_WINDOW = 16, 400, 6, 12
-NUMBER = r"(?U)(?<![\p{L}\p{N}_.,])[+−-]?(?:\d{1,3}(?:[   ]\d{3})+|\d+)(?:[.,]\d+)?(?![\p{L}\p{N}_.,])"
 
 
 @dataclass(frozen=True)
@@ -38,10 +37,17 @@ class RegexPlan:
 
 
 def strict_number(x: Column, single: bool = False) -> Column:
-    """The first separate number in canonical form; with ``single`` null unless it is the only one. List markers don't count."""
-    tokens = F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0))
-    fine = (F.size(tokens) == 1) if single else (F.size(tokens) >= 1)
-    return F.when(fine & ~x.rlike(r"^\s*\d+[.)](?:\s|$)"), decimal_input(F.regexp_replace(F.get(tokens, F.lit(0)), "−", "-")))
+    """The first separate number in canonical form; with ``single`` null unless it is the only one.
+
+    Spaces between groups of three digits are taken out first; then a number is a word of digits, with a
+    sign or decimals, between spaces, brackets, quotes or closing punctuation. So "m2" and "1.2.3" hold
+    none. Texts that begin with a list marker ("3) ...") give null.
+    """
+    joined = F.regexp_replace(x, r"(?<=(?<!\d)\d{1,3})[ \u00a0\u202f](?=\d{3}(?!\d))", "")
+    bare = F.transform(F.split(joined, r"[\s\u00a0\u202f]+"), lambda w: F.regexp_replace(w, "^[(\\[\"«]+|[)\\]\"»;:,.!?]+$", ""))
+    numbers = F.filter(bare, lambda w: w.rlike(r"^[+\u2212-]?\d+(?:[.,]\d+)?$"))
+    fine = (F.size(numbers) == 1) if single else (F.size(numbers) >= 1)
+    return F.when(fine & ~x.rlike(r"^\s*\d+[.)](?:\s|$)"), decimal_input(F.regexp_replace(F.get(numbers, F.lit(0)), "\u2212", "-")))
 
 
 def typed(x: Column, plan: RegexPlan) -> Column:
@@ -88,15 +94,22 @@ def missing_anchors(blocks: DataFrame, terms: Sequence[str]) -> DataFrame:
     return hits.select(pairs).filter(~F.col("p.hit")).select("p.term")
 
 
-def table_lookup(cells: DataFrame, table: str, any_of: Sequence[str], row_term: str, min_score: int = 1) -> DataFrame:
-    """(table, score, row, value): in tables that name enough of the terms, the rightmost number of the rows that name row_term.
+def table_lookup(cells: DataFrame, table: str, any_of: Sequence[str], row_term: str, min_score: int = 1, all_of: Sequence[str] = (), header: str | None = None, column: int | None = None) -> DataFrame:
+    """(table, score, row, value): in tables that name enough of the terms, a number of the rows that name row_term.
 
-    cells: table, row, col, text.
+    cells: table, row, col, text. A table must name all of all_of and min_score of any_of. A row names the
+    term anywhere in its joined text. The number is the rightmost separate one of the row, or of the
+    columns whose first row names ``header``, or of the given column.
     """
     text = normalised(F.col("text"))
-    score = sum(F.max(F.when(text.contains(normalised(F.lit(t))), 1).otherwise(0)) for t in any_of)
-    tables = cells.groupBy(table).agg(score.alias("score")).filter(F.col("score") >= min_score)
-    rows = cells.filter(text.contains(normalised(F.lit(row_term)))).select(table, "row").distinct()
-    w = Window.partitionBy(table, "row").orderBy(F.desc("col"))
-    numbers = cells.withColumn("value", first_number(F.col("text"))).filter("value is not null").withColumn("_rank", F.row_number().over(w)).filter("_rank = 1")
+    named = lambda t: F.max(F.when(text.contains(normalised(F.lit(t))), 1).otherwise(0))
+    tables = cells.groupBy(table).agg(sum(map(named, any_of)).alias("score"), F.least(F.lit(1), F.lit(1), *map(named, all_of)).alias("all"))
+    tables = tables.filter((F.col("score") >= min_score) & (F.col("all") == 1)).select(table, "score")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " ")  # bounded by one row of a table
+    rows = cells.groupBy(table, "row").agg(joined.alias("line")).filter(normalised(F.col("line")).contains(normalised(F.lit(row_term)))).select(table, "row")
+    asked = cells if column is None else cells.filter(F.col("col") == column)
+    if header is not None:
+        asked = asked.join(cells.filter((F.col("row") == 0) & text.contains(normalised(F.lit(header)))).select(table, "col").distinct(), [table, "col"], "left_semi")
+    right = Window.partitionBy(table, "row").orderBy(F.desc("col"))
+    numbers = asked.withColumn("value", strict_number(F.col("text")).cast("double")).filter("value is not null").withColumn("rank", F.row_number().over(right)).filter("rank = 1")
     return numbers.join(rows, [table, "row"], "left_semi").join(tables, table).select(table, "score", "row", "value")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.text import normalised
@@ -36,8 +37,10 @@ def around(blocks: DataFrame, hits: DataFrame, n: int) -> DataFrame:
 
 
 def regex_values(blocks: DataFrame, anchors: Sequence[str], pattern: str, window: int, group: int = 1) -> DataFrame:
-    """(doc_id, block_order, value): the pattern's first match in the window behind each anchor."""
-    hits = following(blocks, window).join(anchor_hits(blocks, anchors).select("doc_id", "block_order"), ["doc_id", "block_order"])
+    """(doc_id, block_order, value): the pattern's first match in the window behind each anchor, found in one pass."""
+    text = normalised(F.col("raw_text"))
+    anchored = reduce(Column.__or__, [text.contains(normalised(F.lit(t))) for t in anchors])
+    hits = following(blocks.withColumn("anchored", anchored), window).filter("anchored")
     return hits.withColumn("value", F.regexp_extract("window", pattern, group)).filter("value <> ''").select("doc_id", "block_order", "value")
 
 

@@ -116,20 +116,12 @@ def p1(s, d):
 add("P1_eligible_blocks", p1, f"WITH {_I}, {_R} SELECT i.page, id FROM i LEFT JOIN (SELECT page, min(region) AS skipped FROM r GROUP BY 1) k ON k.page = i.page WHERE id % 7 <> 0 AND (id % 5 <> 0 OR line = skipped)")
 
 
-def a18(s, d):
-    o = table(s, d, "orders")
-    return o.groupBy("o_custkey", "o_orderstatus").agg(F.array_join(F.slice(F.sort_array(F.collect_set("o_orderpriority")), 1, 3), ",").alias("reasons"))
-
-
-add("A18_candidate_merge", a18, "SELECT o_custkey, o_orderstatus, array_to_string(list_sort(list(DISTINCT o_orderpriority))[1:3], ',') AS reasons FROM orders GROUP BY ALL")
-
-
 def a18_all(s, d):
     o = table(s, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("reasons"), F.sort_array(F.collect_set("o_orderkey")).alias("evidence"))
     return o.select("o_custkey", "o_orderstatus", F.array_join("reasons", ",").alias("reasons"), F.array_join(F.slice("evidence", 1, 6), ",").alias("evidence"))
 
 
-add("A18_all_reasons", a18_all, "SELECT o_custkey, o_orderstatus, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS reasons, array_to_string(list_sort(list(DISTINCT o_orderkey))[1:6], ',') AS evidence FROM orders GROUP BY ALL")
+add("A18_candidate_merge", a18_all, "SELECT o_custkey, o_orderstatus, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS reasons, array_to_string(list_sort(list(DISTINCT o_orderkey))[1:6], ',') AS evidence FROM orders GROUP BY ALL")
 
 
 def d41(s, d):

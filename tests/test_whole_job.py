@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 
 
 def test_tables_of_all_orders(spark):
-    got = QUERIES["S8_all_orders"](spark, DIR).agg({"key": "count", "n": "sum"}).first()
+    got = QUERIES["S8_generated_tables"](spark, DIR).agg({"key": "count", "n": "sum"}).first()
     lines = table(spark, DIR, "lineitem")
     assert tuple(got) == (lines.select("l_orderkey").distinct().count(), lines.count())
 
@@ -69,23 +69,23 @@ def test_whole_items_are_cited(spark, tmp_path):
     docs = [(1, "x\ny one two three four five\nsix sevenfold"), (2, "one two three four five\nsix"), (3, "za b c d e"), (4, "so tinyish"), (5, None), (6, "a b c d e")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in QUERIES["J36_whole_items"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 4), (3, 6)}
+    assert {tuple(r) for r in QUERIES["J36_cited_quotes"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 4), (3, 6)}
 
 
 def test_windows_hold_whole_lines(spark, tmp_path):
     lines = ["a first line of more than twelve characters", "a second line, rather long as well", "the third"]
     spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     column = lambda q, c: [r[c] for r in QUERIES[q](spark, str(tmp_path)).orderBy("block_order").collect()]
-    assert column("W2_whole_lines", "context") == ["", lines[0], " ".join(lines[:2])]
-    assert column("W3_whole_lines", "joined") == [" ".join(lines[:2]), " ".join(lines[1:]), lines[2]]
-    assert column("W5_whole_lines", "window") == ["\n".join(lines[k:]) for k in range(3)]
+    assert column("W2_preceding", "context") == ["", lines[0], " ".join(lines[:2])]
+    assert column("W3_joined_title", "joined") == [" ".join(lines[:2]), " ".join(lines[1:]), lines[2]]
+    assert column("W5_following", "window") == ["\n".join(lines[k:]) for k in range(3)]
 
 
 def test_all_reasons_and_ends(spark, tmp_path):
     orders = [(k, 1, "F", f"{k % 5 + 1}-P") for k in range(8)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(1, "\n".join("abc" for _ in range(71)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = QUERIES["A18_all_reasons"](spark, str(tmp_path)).first()
+    got = QUERIES["A18_candidate_merge"](spark, str(tmp_path)).first()
     assert (got.reasons, got.evidence) == ("1-P,2-P,3-P,4-P,5-P", "0,1,2,3,4,5")
-    ends = QUERIES["W12_all_ends"](spark, str(tmp_path)).filter("block_order in (1, 70, 71)").collect()
+    ends = QUERIES["W12_look_ahead"](spark, str(tmp_path)).filter("block_order in (1, 70, 71)").collect()
     assert sorted((r.block_order, r.end) for r in ends) == [*[(1, e) for e in (1, 2, 3, 5, 9, 17, 33, 65, 71)], (70, 70), (70, 71), (71, 71)]
