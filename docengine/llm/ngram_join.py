@@ -213,7 +213,7 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     rows = cut(placed.join(size, "leader"))
     few = rows.filter(F.col("m") <= FEW)
     left, right = (few.select("leader", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-    small = _close(cut(left.join(right, "leader").filter("a > b and ca <> cb").select("a", "b").distinct()), reps, num, den)
+    small = left.join(right, "leader").filter("a > b and ca <> cb").select("a", "b")
 
     many = rows.filter(F.col("m") > FEW).join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
     many = many.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
@@ -247,7 +247,7 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
-    return small.unionByName(_close(cut(large.distinct()), reps, num, den)).distinct()
+    return _close(cut(small.unionByName(large).distinct()), reps, num, den)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
