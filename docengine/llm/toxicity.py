@@ -9,7 +9,7 @@ weight vector is shared by the thresholds: P(grade > k) = 1 / (1 + exp(theta_k -
 The model is fitted on at most ``sample`` labelled rows (those with the smallest hashes of their
 ids; of several rows of one id, the text with the smallest hash), on the driver, with the features
 that tell the grades apart; all other work covers all rows. With
-no labelled rows, or labels of one kind only, every severity is 0 and nothing is toxic. Null and
+no labelled rows, labels of one kind only or no telling feature, every severity is 0 and nothing is toxic. Null and
 empty texts have no features: their severity is 0. Whole texts are read; repeated rows get
 equal results; other columns are ignored, and those with the result's names are replaced. An empty
 table gives an empty result. A tie between grades goes to the lower one.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import appended, chunks, lean, list_array, prefix_hash, span_hash, word_spans
+from docengine.llm.words import appended, chunks, give_back, lean, list_array, prefix_hash, span_hash, word_spans
 
 _LETTER = np.zeros(256, dtype=bool)
 for _low, _high in ((48, 57), (65, 90), (97, 122), (128, 255)):
@@ -110,39 +110,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def list_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), list_array(list(features(part.column("text"))))], ["id", "y", "f"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), list_array([f.astype(np.uint32).view(np.int32) for f in features(part.column("text"))], pa.int32())], ["id", "y", "f"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna()
     kind = source.schema["id"].dataType.simpleString()
     # the sample has a fixed bound, and so has its broadcast
     chosen = source.join(F.broadcast(known), "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = chosen.mapInArrow(lean(list_features), f"id {kind}, y int, f array<long>").toArrow()
+    rows = chosen.mapInArrow(lean(list_features), f"id {kind}, y int, f array<int>").toArrow()
     rows = rows.sort_by("id")
     y = rows.column("y").to_numpy()
     lists = rows.column("f").combine_chunks()
+    del rows
     if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
     if not 0 < y.sum() < len(y):
         return None
-    flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    names, slot = np.unique(flat, return_inverse=True)
-    bad = np.bincount(slot, weights=(y[owner] > 0), minlength=len(names))
-    good = np.bincount(slot, minlength=len(names)) - bad
+    flat, owner = lists.flatten().to_numpy().view(np.uint32), np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    names, every = np.unique(flat, return_counts=True)
+    of_toxic, n_toxic = np.unique(flat[(y > 0)[owner]], return_counts=True)
+    bad = np.zeros(len(names))
+    bad[np.searchsorted(names, of_toxic)] = n_toxic
+    good = every - bad
     n1, n0 = (y > 0).sum(), (y <= 0).sum()
     p1, p0 = (bad + 0.5) / (n1 + 1), (good + 0.5) / (n0 + 1)
     z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
     chosen = np.flatnonzero((bad + good >= 3) & (np.abs(z) >= 2.5))
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    have = column[slot] >= 0
-    owner, column = owner[have], column[slot[have]]
+    if not len(chosen):
+        return None
+    column = np.minimum(np.searchsorted(names[chosen], flat), len(chosen) - 1)
+    have = names[chosen][column] == flat
+    owner, column = owner[have], column[have]
     terms = (bad[chosen] > 0) & (good[chosen] == 0) & (names[chosen] % 2 == 0)
     n_terms = np.bincount(owner, weights=terms[column], minlength=len(y))
     toxic = y > 0
     grade = np.where(toxic, 1 + ((n_terms >= max(2, np.median(n_terms[toxic]))).astype(int)), 0)
     grade = np.unique(grade, return_inverse=True)[1]
     weights, thetas = fit_ordinal(owner, column, len(chosen), grade)
-    return Ordinal(names[chosen].astype(np.uint64), weights, thetas)
+    own = Ordinal(names[chosen].astype(np.uint64), weights, thetas)
+    del flat, names, lists
+    give_back()
+    return own
 
 
 SCORES = "severity double, p_toxic double, grade int, toxic boolean"

@@ -52,14 +52,20 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *f
         finally:
             for drop in (_Powers.drop, *forget):
                 drop()
-            gc.collect()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return tidy
 
 
+def give_back() -> None:
+    """Returns memory that is no longer used to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def appended(df: DataFrame, *out: str) -> dict[str, str]:
     """The columns of df that keep their place beside new columns ``out``, with their DDL.
 
