@@ -8,11 +8,13 @@ that it belongs to the article; blocks of at least one half are the main text.
 
 The network is trained here, on the driver, from a fixed number of generated pages of many
 layouts, whose blocks are known, and at most ``sample`` pages of the table (those with the
-smallest hashes of their ids) labelled by their own markup; all pages are then extracted with
+smallest hashes of their ids, among those of under ``longest`` characters; of several rows of one
+id, the one with the smallest hash) labelled by their own markup; all pages are then extracted with
 it. Scripts, styles and comments in the markup are no text. Character references are decoded,
 white space inside a block becomes one space, and blocks are joined in page order by an empty
 line. Null and empty pages, and pages without article text, have the empty text. Whole pages are
-read, whatever their length. Repeated rows get equal results; other columns are ignored.
+read, whatever their length. Repeated rows get equal results; other columns are ignored, and those
+with the result's names are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.words import word_hashes
+from docengine.llm.words import appended, lean, word_hashes
 
 # Elements by their role in HTML.
 BLOCK_TAGS = frozenset("html head body title address article aside blockquote canvas dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul button label legend option select textarea center".split())
@@ -345,7 +347,7 @@ def _generated(seed: int) -> tuple[str, set[str]]:
     return head + "".join(parts[0]) + a + "".join(body) + b + "".join(parts[1]) + "</body></html>", main
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 256, generated: int = 900) -> Labeller:
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 256, generated: int = 900, longest: int = 40000) -> Labeller:
     """The labeller, from generated pages and at most ``sample`` pages of the table."""
     data = []
     for seed in range(generated):
@@ -354,8 +356,9 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
         if found:
             data.append((vectors(found), np.array([b.text in main for b in found], np.float32)))
     chosen = pages.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    # the sample has a fixed bound, and so has its broadcast; its longest pages stay out
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("h")).filter(F.length("h") < 40000).join(F.broadcast(chosen), "id").limit(2 * sample)
+    # the sample has a fixed bound, and so has its broadcast
+    every = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("h")).filter(F.length("h") < longest)
+    rows = every.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("h", F.xxhash64("h")).alias("h"))
     for row in sorted(rows.collect(), key=lambda x: (str(x.id), x.h)):
         found = blocks(row.h)
         labels = by_markup(found) if found else None
@@ -369,9 +372,7 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
 def extract(pages: DataFrame, labeller: Labeller, html_col: str = "html") -> DataFrame:
     """The pages with text (the article) and n_blocks (blocks judged); html itself is left out."""
     held = pages.sparkSession.sparkContext.broadcast(labeller)
-    kept = [f for f in pages.schema.fields if f.name != html_col]
-    if {"text", "n_blocks"} & {f.name for f in kept}:
-        raise ValueError("the table has a column text or n_blocks")
+    kept = appended(pages, "text", "n_blocks", html_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,11 +381,10 @@ def extract(pages: DataFrame, labeller: Labeller, html_col: str = "html") -> Dat
                 found = [blocks(h or "") for h in part.column(part.schema.get_field_index(html_col)).to_pylist()]
                 scores = held.value.judge([vectors(b) for b in found])
                 texts = ["\n\n".join(b.text for b, p in zip(bs, ps, strict=True) if p >= 0.5) for bs, ps in zip(found, scores, strict=True)]
-                columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(b) for b in found], pa.int32())], [*(f.name for f in kept), "text", "n_blocks"])
+                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(b) for b in found], pa.int32())], [*kept, "text", "n_blocks"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return pages.mapInArrow(run, f"{fields}text string, n_blocks int")
+    return pages.mapInArrow(lean(run), "".join(f"{x}, " for x in kept.values()) + "text string, n_blocks int")
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:

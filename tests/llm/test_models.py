@@ -112,3 +112,12 @@ def test_html(spark):
     assert good / total > 0.97
     out = {r.page_id: r for r in html.extract(df, own).collect()}
     assert len(out) == 33 and out[100].text == "" and out[101].text == "" and "html" not in out[100].asDict()
+
+
+def test_html_keeps_clashing_tables(spark):
+    own = html.Labeller(hidden=2)
+    own.start(1)
+    df = spark.createDataFrame([(1, "<p>a</p>", "x", 3), (2, None, "y", 4)], "page_id long, html string, Text string, n_blocks int")
+    out = {r.page_id: r for r in html.extract(df, own).collect()}
+    assert out[1].n_blocks == 1 and out[2].text == "" and html.extract(df, own).columns == ["page_id", "text", "n_blocks"]
+    assert html.extract(df.limit(0), own).count() == 0
