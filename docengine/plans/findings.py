@@ -127,10 +127,10 @@ add("D3_table_lookup", d3, "SELECT l_orderkey, 1 AS score, 3 AS row, CAST(max(l_
 
 
 def d4(s, d):
-    return x.regex_values(a.blocks(s, d), ["password"], r"password\s*[:=]\s*(\S+)", 1)
+    return x.regex_values(a.blocks(s, d), ["license"], r"under (?:the )?([A-Za-z0-9 .-]+)", 1)
 
 
-add("D4_regex_plan", d4, """SELECT doc_id, block_order, v AS value FROM (SELECT doc_id, block_order, regexp_extract(raw_text || coalesce(chr(10) || lead(raw_text) OVER (PARTITION BY doc_id ORDER BY block_order), ''), 'password\\s*[:=]\\s*(\\S+)', 1) AS v, raw_text FROM blocks) WHERE contains(lower(raw_text), 'password') AND v <> ''""")
+add("D4_regex_plan", d4, """SELECT doc_id, block_order, v AS value FROM (SELECT doc_id, block_order, regexp_extract(raw_text || coalesce(chr(10) || lead(raw_text) OVER (PARTITION BY doc_id ORDER BY block_order), ''), 'under (?:the )?([A-Za-z0-9 .-]+)', 1) AS v, raw_text FROM blocks) WHERE contains(lower(raw_text), 'license') AND v <> ''""")
 
 
 def d5(s, d):
