@@ -115,7 +115,7 @@ class Vocabulary:
             i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
             i = i[rank[i] == k]
             if self.doubled[k] and len(i) > 1:  # of neighbours in a row, the first, third, ... merge
-                i = np.sort(i)
+                i = np.unique(i)  # a position may be listed twice
                 new = np.concatenate([[True], after[i[:-1]] != i[1:]])
                 start = np.flatnonzero(new)
                 i = i[(np.arange(len(i)) - start[np.cumsum(new) - 1]) % 2 == 0]

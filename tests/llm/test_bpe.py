@@ -56,3 +56,14 @@ def test_query_on_fixture(spark, tmp_path):
         back = library.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+
+
+def test_runs_of_one_symbol():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = Vocabulary(path), Tokenizer.from_file(path)
+    texts = ["Thananan the", "anananan ananan", "eeeeeee lalalala", "thethethe ininin"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
