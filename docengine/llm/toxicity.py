@@ -137,9 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = np.flatnonzero((bad + good >= 3) & (np.abs(z) >= 2.5))
     if not len(chosen):
         return None
-    column = np.minimum(np.searchsorted(names[chosen], flat), len(chosen) - 1)
-    have = names[chosen][column] == flat
-    owner, column = owner[have], column[have]
+    telling, found = names[chosen], []
+    for i in range(0, len(flat), 1 << 18):  # in pieces, as few of the features tell
+        piece = flat[i : i + (1 << 18)]
+        at = np.minimum(np.searchsorted(telling, piece), len(chosen) - 1)
+        have = np.flatnonzero(telling[at] == piece)
+        found.append((owner[i + have], at[have]))
+    owner, column = (np.concatenate(x) for x in zip(*found, strict=True))
     terms = (bad[chosen] > 0) & (good[chosen] == 0) & (names[chosen] % 2 == 0)
     n_terms = np.bincount(owner, weights=terms[column], minlength=len(y))
     toxic = y > 0
