@@ -162,15 +162,21 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
+    """Keys and ids (as a column and one by one) of the rows of id and text."""
+    own = vocabulary(path)
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            ids = [np.frombuffer(x, np.int32) for x in own.encode([x or "" for x in part.column("text").to_pylist()])]
+            yield part.column("id"), list_array(ids, pa.int32()), ids
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for each row; no special tokens are added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(path)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                ids = own.encode([x or "" for x in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("id"), list_array([np.frombuffer(x, np.int32) for x in ids], pa.int32())], ["id", "ids"])
+        for key, ids, _ in _encoded(batches, path):
+            yield pa.RecordBatch.from_arrays([key, ids], ["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -178,6 +184,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return source.mapInArrow(lean(run, lambda: vocabulary(path).known.clear()), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", out: str = "decoded") -> DataFrame:
+    """(id, ids, the text that the ids decode to) for each row, as decode(encode(docs)) gives them.
+
+    Both steps run in one Python worker a core, where the two functions in a row take two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = vocabulary(path).bytes_of.__getitem__
+        for key, ids, lists in _encoded(batches, path):
+            texts = [b"".join(map(get, x.tolist())).decode("utf-8", "replace") for x in lists]
+            yield pa.RecordBatch.from_arrays([key, ids, pa.array(texts, pa.string())], ["id", "ids", out])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(lean(run, lambda: vocabulary(path).known.clear()), f"id {kind}, ids array<int>, `{out}` string").withColumnRenamed("id", id_col)
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids; bytes that are no UTF-8 become U+FFFD. Null decodes to ''.
 
@@ -208,7 +231,7 @@ def op3_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = decode(encode(docs, path), path)
+    both = encode_decode(docs, path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

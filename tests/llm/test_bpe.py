@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from docengine.llm.bpe import Vocabulary, decode, encode, op3_bpe
+from docengine.llm.bpe import Vocabulary, decode, encode, encode_decode, op3_bpe
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
@@ -40,10 +40,14 @@ def test_round_trip_on_spark(spark):
     out = decode(encode(df, PATH), PATH).collect()
     assert len(out) == len(rows)
     assert all(r.decoded == (TEXTS[r.doc_id] or "") for r in out)
+    both = encode_decode(df.withColumn("decoded", df.text), PATH)
+    assert both.columns == ["doc_id", "ids", "decoded"]
+    assert sorted((r.doc_id, r.ids, r.decoded) for r in both.collect()) == sorted((r.doc_id, r.ids, r.decoded) for r in out)
 
 
 def test_empty_table(spark):
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+    assert encode_decode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
 def test_query_on_fixture(spark, tmp_path):
