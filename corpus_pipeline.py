@@ -71,7 +71,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     wanted = docs.select(F.struct("doc_id", "lang", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).alias("key"), "text")
-    both = bpe.decode(bpe.encode(wanted, path, id_col="key"), path)
+    both = bpe.encode_decode(wanted, path, id_col="key")
     same = F.xxhash64("decoded") == F.col("key.h")
     return both.select("key.doc_id", "key.lang", "key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
