@@ -1,9 +1,9 @@
 """Registry of the engine's own queries: name -> function, and their DuckDB equivalents."""
 
-from docengine.plans import basic, compare, findings, flow, geometry, package, sheets
+from docengine.plans import basic, compare, findings, flow, geometry, package, sheets, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (basic, compare, package, findings, flow, geometry, sheets):
+for _plan in (basic, compare, package, findings, flow, geometry, sheets, tables):
     QUERIES |= _plan.Q
     ORACLES |= _plan.SQL
