@@ -47,25 +47,31 @@ def resolved(actual: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("actual_id", status.alias("status"), F.when(F.col("n") == 1, F.col("only")).alias("reference_id"))
 
 
-def chains(links: DataFrame, limit: int = 64) -> DataFrame:
+def chains(links: DataFrame, limit: int | None = None) -> DataFrame:
     """(id, root, depth, error) for each (id, predecessor_id): error is cycle, too_long or null.
 
     Pointer jumping: every round doubles the stretch that a row knows, so a chain of n links
-    takes log2(n) joins and no row carries its path. A row that still has a predecessor once
-    more than all ids lie behind it is on or behind a cycle.
+    takes log2(n) joins and no row carries its path; rounds end once no row moves. A row that still has a
+    predecessor once more than all ids lie behind it is on or behind a cycle, and so is one whose chain
+    ends at an unknown id. Chains have any length unless ``limit`` names the most links.
     """
     state = cut(links.select("id", F.col("predecessor_id").alias("jump"), F.when(F.col("predecessor_id").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     total = state.count()
+    most = total if limit is None else min(total, 2 * limit)
     reach = 1
-    while reach <= min(total, 2 * limit):
+    while reach <= most:
         far = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
-        joined = state.join(far, "jump", "left")
+        joined = state.select("id", "jump", "depth").join(far, "jump", "left")
         known = F.col("more").isNotNull() & F.col("next").isNotNull()
-        state = cut(joined.select("id", F.when(known, F.col("next")).otherwise(F.col("jump")).alias("jump"), F.when(known, F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth")))
+        state = cut(joined.select("id", F.when(known, F.col("next")).otherwise(F.col("jump")).alias("jump"), F.when(known, F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth"), known.alias("moved")))
+        if state.filter("moved").isEmpty():
+            break
         reach *= 2
     ends = links.filter("predecessor_id is null").select(F.col("id").alias("jump"), F.lit(True).alias("ends"))
     done = state.join(ends, "jump", "left")
-    error = F.when(F.col("jump").isNotNull() & F.col("ends").isNull(), "cycle").when(F.col("depth") > limit, "too_long")
+    error = F.when(F.col("jump").isNotNull() & F.col("ends").isNull(), "cycle")
+    if limit is not None:
+        error = F.coalesce(error, F.when(F.col("depth") > limit, "too_long"))
     return done.select("id", F.coalesce("jump", "id").alias("root"), F.when(error.isNull(), F.col("depth")).alias("depth"), error.alias("error"))
 
 
