@@ -1,6 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
+from docengine.llm.align import op13_align
 from docengine.llm.bpe import op3_bpe
+from docengine.llm.codes import OP11_SQL, op11_codes
 from docengine.llm.decontaminate import op1_decontaminate
 from docengine.llm.html import op5_html
 from docengine.llm.langid import op7_langid
@@ -22,5 +24,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_topk": op9_topk,
     "op10_secrets": op10_secrets,
+    "op11_codes": op11_codes,
+    "op13_align": op13_align,
 }
-ORACLES = {"op6_ngram_join": OP6_SQL, "op9_topk": OP9_SQL, "op10_secrets": OP10_SQL}
+ORACLES = {"op6_ngram_join": OP6_SQL, "op9_topk": OP9_SQL, "op10_secrets": OP10_SQL, "op11_codes": OP11_SQL}
