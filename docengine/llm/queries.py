@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB equivalents."""
 
 from docengine.llm.align import op13_align
+from docengine.llm.archives import op12_archives
 from docengine.llm.bpe import op3_bpe
 from docengine.llm.codes import OP11_SQL, op11_codes
 from docengine.llm.decontaminate import op1_decontaminate
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_secrets": op10_secrets,
     "op11_codes": op11_codes,
+    "op12_archives": op12_archives,
     "op13_align": op13_align,
 }
 ORACLES = {"op6_ngram_join": OP6_SQL, "op9_topk": OP9_SQL, "op10_secrets": OP10_SQL, "op11_codes": OP11_SQL}
