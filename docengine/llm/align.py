@@ -22,21 +22,23 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.bpe import Vocabulary
+from docengine.llm.bpe import PATTERN, Vocabulary
 from docengine.llm.stored import stored
 from docengine.llm.words import lean
 
 SPACE = "▁"  # fixed value: what stands for a space in a piece of B
-KNOWN_PIECES = 1 << 18
+KNOWN_PIECES = 1 << 17
 #: Groups of more pairs of tokens than this are counted by distinct ids first.
 WIDE = 64
 _ODD = re.compile(r"\A | \Z|\s | \s")  # spaces that don't stand between two other characters
@@ -44,13 +46,27 @@ _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Plain(Vocabulary):
-    """A, which takes the strings of added tokens as plain text."""
+    """A, which takes the strings of added tokens as plain text.
+
+    If ids ascend with the merges' ranks (and every token's own bytes give that token, as in any trained
+    vocabulary), two neighbours whose bytes make a token are always those of its merge: no earlier merge went over the
+    ends of their span, so within it all went as in the token alone. A merge by the bytes' ranks is the same then.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.added, self.split = {}, None
+        added, self.added, self.split = set(self.added.values()), {}, None
         self.length = np.zeros(max(self.bytes_of) + 1, np.int32)
         self.length[list(self.bytes_of)] = [len(x) for x in self.bytes_of.values()]
+        ranks = {x: i for i, x in self.bytes_of.items() if i not in added}
+        ascending = (np.diff(self.made) > 0).all() and len(ranks) == 256 + len(self.made)
+        self.by_bytes = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ascending else None
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if self.by_bytes is None:
+            return self.encode(texts)
+        run = self.by_bytes.encode_ordinary
+        return [array("i", run(x)).tobytes() for x in texts]
 
 
 class Both:
@@ -63,7 +79,7 @@ class Both:
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int32)
         self.piecewise = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in names)
-        self.known: dict[str, tuple[bytes, np.ndarray]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # the ids of A and B, as int32 bytes
         self.bad: set[str] = set()  # pieces that B doesn't give back
 
     def pieces(self, text: str) -> list[str]:
@@ -76,13 +92,20 @@ class Both:
         return text.split(" ")
 
     def learn(self, pieces: list[str]) -> None:
-        get = self.bytes_b.__getitem__
         new = [x for x in pieces if x not in self.known]
-        for x, a, b in zip(new, self.a.encode([f" {x}" for x in new]), self.b.encode(new, num_threads=1), strict=True):
-            self.known[x] = (a, np.array(b, np.int32))
-            if b"".join(map(get, b)) != b" " + x.encode():
+        two = self.b.encode(new, num_threads=1)
+        self.known.update(zip(new, zip(self.a.encode_all([f" {x}" for x in new]), (array("i", b).tobytes() for b in two), strict=True), strict=True))
+        for x, b in zip(new, two, strict=True):
+            if self.given_back(b) != f" {x}":
                 self.bad.add(x)
 
+    def given_back(self, ids: list[int]) -> str | None:
+        """The text of B's ids, null if it is none."""
+        try:
+            return b"".join(map(self.bytes_b.__getitem__, ids)).decode()
+        except UnicodeDecodeError:
+            return None
+
     def forget(self) -> None:
         self.known.clear()
         self.bad.clear()
@@ -98,14 +121,14 @@ class Both:
         if self.bad:
             for i, own in enumerate(cut):
                 if not self.bad.isdisjoint(own):  # no tokens, unless what differs in one piece is made up for by another
-                    whole = b"".join(self.bytes_b[t] for x in own for t in self.known[x][1])
-                    cut[i] = [texts[i]] if whole == b" " + texts[i].encode() else []
+                    whole = [t for x in own for t in array("i", self.known[x][1])]
+                    cut[i] = [texts[i]] if self.given_back(whole) == f" {texts[i]}" else []
             self.learn(list({own[0] for own in cut if len(own) == 1}))
         index: dict[str, int] = {}
         orders = [[index.setdefault(x, len(index)) for x in own] for own in cut]
         tokens = [self.known[x] for x in index]
         a = np.frombuffer(b"".join(x for x, _ in tokens), np.int32)
-        b = np.concatenate([x for _, x in tokens]) if tokens else np.zeros(0, np.int32)
+        b = np.frombuffer(b"".join(x for _, x in tokens), np.int32)
         ends = [np.concatenate([[0], np.cumsum(n[ids], dtype=np.int64)]).astype(np.int32) for n, ids in ((self.a.length, a), (self.length_b, b))]
         last = np.cumsum([0, *(len(x) // 4 for x, _ in tokens)])
         return [a, ends[0], b, ends[1], ends[0][last]], orders
@@ -116,7 +139,7 @@ def both(path_a: str, path_b: str) -> Both:
     return Both(path_a, path_b)
 
 
-def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """A row a block: ids, orders (the documents' pieces), and the dictionary as a, ea, b, eb, eu."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -163,7 +186,7 @@ def _runs(ids: str) -> str:
         s -> transform(s, (k, i) -> struct(m[k] as id, coalesce(get(s, i + 1), size(m)) - k as n)))[0])[0]"""
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """For each row: id, n_a, n_b, n_groups, n_links, the groups as text and the links.
 
     ``groups`` is `a1,a2|b1;a3|b2,b3`, ids in order; ``links`` has a struct (pair, n) for each pair of

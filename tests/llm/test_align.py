@@ -92,3 +92,12 @@ def test_query_over_the_smallest_table(spark):
     want = brute([x.text for x in docs])
     assert [x.doc_id for x in got] == [x.doc_id for x in docs]
     assert [(r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got] == [(*w[:6], hashlib.sha256(w[6].encode()).hexdigest() if w[2] else "") for w in want]
+
+
+def test_all_tokens_by_bytes():
+    own = align.Plain(A)
+    assert own.by_bytes is not None
+    names = [x for i, x in own.bytes_of.items() if i != 50256]
+    assert all(own.by_bytes.encode_single_token(x) == i and own.by_bytes._encode_single_piece(x) == [i] for i, x in own.bytes_of.items() if i != 50256) and len(names) == 50256
+    plain = [x.decode() for x in names if x.isascii()]
+    assert own.encode_all(plain) == own.encode(plain)
