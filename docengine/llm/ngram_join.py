@@ -17,7 +17,9 @@ rare words come first, as they hardly ever meet by chance.
 
 A bucket's members are first compared with the bucket's smallest id, their leader; members of
 one leader that still belong to several components are then compared across components only, by
-their sketches and in blocks. So a group of n copies costs about n verifications. Candidates that pass
+their sketches and in blocks. A first comparison names, of each pair of blocks, the lightest forest
+(by the sketches' distances) that holds its components together; once these pairs are verified, a second one names all candidates
+between the components that are left. So a group of n copies costs about n verifications. Candidates that pass
 a bound computed from parity sketches, a coarse one first, are verified exactly on the whole texts.
 Documents with equal token sets count as one from the start.
 
@@ -202,10 +204,37 @@ def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(within.format("apart")).select("a", "b", "apart")
 
 
-def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+def lightest_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The edges (their places) of a minimum spanning forest of the graph of edges (x, y), by rounds of all trees' lightest edges."""
+    names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    order = np.argsort(weight, kind="stable")  # from here on an edge's place is its rank, so that no two weigh the same
+    u, v = ends[: len(x)][order], ends[len(x) :][order]
+    alive, chosen = np.arange(len(u)), [np.zeros(0, np.int64)]
+    root = np.arange(len(names))
+    while len(alive):
+        a, b = root[u[alive]], root[v[alive]]
+        alive, a, b = (z[a != b] for z in (alive, a, b))
+        best = np.full(len(names), len(alive))
+        at = np.arange(len(alive))
+        np.minimum.at(best, a, at)
+        np.minimum.at(best, b, at)
+        tree = np.flatnonzero(best < len(alive))
+        edge = best[tree]
+        chosen.append(alive[np.unique(edge)])
+        parent = np.arange(len(names))
+        parent[tree] = np.where(a[edge] == tree, b[edge], a[edge])
+        mutual = (parent[parent] == np.arange(len(names))) & (np.arange(len(names)) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+    return order[np.concatenate(chosen)]
+
+
+def _across(placed: DataFrame, reps: DataFrame, num: int, den: int, forest: bool = False) -> DataFrame:
     """Pairs of one leader from different components that sizes and sketches don't rule out.
 
-    Leaders with few members are joined; the members of others are dealt into blocks of about
+    With ``forest``, of each pair of blocks only those of the lightest forest. Leaders with few members are joined; the members of others are dealt into blocks of about
     BLOCK rows, and each pair of blocks is compared by one vectorised call, so neither pairs nor
     whole groups are ever rows of one task.
     """
@@ -226,7 +255,7 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         flat, edges = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
         length = np.diff(edges)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         for s in np.unique(length):
             own = np.flatnonzero(length == s)
             twice = np.flatnonzero(length == 2 * s)
@@ -242,8 +271,12 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
                 if not same:
                     fine &= blk[i][:, None] != blk[other][None, :]
                 r, k = np.nonzero(fine)
-                found.append((ids[i[r]], ids[other[k]]))
-        a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+                found.append((i[r], other[k], apart[r, k]))
+        a, b, weight = (np.concatenate([f[j] for f in found]) for j in range(3))
+        if forest:
+            few = lightest_forest(c[a], c[b], weight)
+            a, b = a[few], b[few]
+        a, b = ids[a], ids[b]
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
@@ -295,8 +328,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(components(links))
 
     # members of one bucket have its smallest id as their leader, so pairs of one leader include all candidates
-    placed = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("c"))
-    cross = cut(_across(placed, reps, num, den))
+    def placed(groups: DataFrame) -> DataFrame:
+        own = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left")
+        return own.select("leader", "id", F.coalesce("component", "id").alias("c"))
+
+    near = cut(_across(placed(groups), reps, num, den, forest=True).select("a", "b"))
+    links = cut(links.unionByName(_verified(near, docs, size, num, den)))
+    groups = cut(components(links))
+    cross = cut(_across(placed(groups), reps, num, den))
     # one link joins two components: each component first tries its nearest candidates, then what still lies between components is verified
     named = cross
     for x in "ab":

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from docengine.llm.graph import components
-from docengine.llm.ngram_join import ngram_join, run_length
+from docengine.llm.ngram_join import lightest_forest, ngram_join, run_length
 
 
 def words(text):
@@ -74,3 +75,43 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 100), (7, 7), (60, 61)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 100: 50, 60: 60, 61: 60}
+
+
+def test_lightest_forest():
+    r = np.random.default_rng(2)
+    for n, m in ((2, 1), (5, 4), (40, 300), (200, 150), (1, 0)):
+        x, y = r.integers(0, n, m) * 7, r.integers(0, n, m) * 7
+        weight = r.integers(0, 9, m)
+        root = {int(i): int(i) for i in [*x, *y]}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        want = 0
+        for e in np.argsort(weight, kind="stable"):
+            p, q = find(int(x[e])), find(int(y[e]))
+            if p != q:
+                root[p] = q
+                want += int(weight[e])
+        got = lightest_forest(x, y, weight)
+        assert weight[got].sum() == want and len(set(got.tolist())) == len(got) == len(root) - sum(root[i] == i for i in root)
+
+
+def test_a_group_whose_members_are_far_from_its_smallest_id(spark):
+    r = random.Random(8)
+    base = [f"v{r.randrange(400)}" for _ in range(200)]
+    far = list(base)
+    for at in range(0, 200, 25):
+        far[at] = "other"
+    docs = [(0, " ".join(far))]
+    for i in range(1, 1400):  # each with one word changed, linked with most others but not with 0
+        w = list(base)
+        w[r.randrange(200)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join(df, size=5, num=4, den=5).collect()}
+    sets = [shingles(t, 5) for _, t in docs[:40]]
+    assert all(5 * len(sets[0] & x) < 4 * len(sets[0] | x) for x in sets[1:])
+    assert got == {0: 0, **{i: 1 for i in range(1, 1400)}}
