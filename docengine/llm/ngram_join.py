@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.graph import components
@@ -44,7 +44,7 @@ from docengine.llm.words import chunks, lean, list_array, mixed, shingle_hashes,
 from docengine.session import cut
 
 CLASS_BITS, WORD_BITS = 20, 15
-BLOCK, FEW, TRIES = 512, 16, 4
+BLOCK, FEW = 512, 16
 # a token's place in the global order: 5 bits of class, 10 of its words' frequency, 49 of hash
 _CLASS_AT, _WORDS_AT = np.uint64(59), np.uint64(49)
 _SHARE = "id long, n int, h1 long, h2 long, keys array<long>, coarse array<long>, sketch array<long>"
@@ -335,19 +335,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = cut(_across(placed(groups), reps, num, den, forest=True).select("a", "b"))
     links = cut(links.unionByName(_verified(near, docs, size, num, den)))
     groups = cut(components(links))
-    cross = cut(_across(placed(groups), reps, num, den))
-    # one link joins two components: each component first tries its nearest candidates, then what still lies between components is verified
-    named = cross
-    for x in "ab":
-        named = named.join(groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    nearest = Window.partitionBy(F.greatest("ca", "cb")).orderBy("apart", "a", "b")
-    ranked = cut(named.withColumn("rank", F.row_number().over(nearest)).select("a", "b", "rank"))
-    links = cut(links.unionByName(_verified(ranked.filter(F.col("rank") <= TRIES).select("a", "b"), docs, size, num, den)))
-    groups = cut(components(links))
-    rest = ranked.filter(F.col("rank") > TRIES).select("a", "b")
-    for x in "ab":
-        rest = rest.join(groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    more = cut(_verified(cut(rest.filter("ca <> cb").select("a", "b")), docs, size, num, den))
+    more = cut(_verified(cut(_across(placed(groups), reps, num, den).select("a", "b")), docs, size, num, den))
     groups = components(links.unionByName(more))
 
     # rows of a set that holds over a 1024th of all rows, of which there are fewer than 1024, are answered where they are
