@@ -38,7 +38,7 @@ from docengine.llm.stored import stored
 from docengine.llm.words import lean
 
 SPACE = "▁"  # fixed value: what stands for a space in a piece of B
-KNOWN_PIECES = 1 << 17
+KNOWN_PIECES = 1 << 18
 #: Groups of more pairs of tokens than this are counted by distinct ids first.
 WIDE = 64
 _ODD = re.compile(r"\A | \Z|\s | \s")  # spaces that don't stand between two other characters
@@ -111,8 +111,8 @@ class Both:
         self.bad.clear()
         self.a.known.clear()
 
-    def block(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
-        """The dictionary (ids and ends of A and B, ends of pieces; ends begin with 0) and each text's pieces in it."""
+    def block(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[np.ndarray]]:
+        """The dictionary (ids and ends of A and B, ends of pieces; ends begin with 0), each text's pieces in it, and its numbers of tokens."""
         cut = [self.pieces(x) if x else [] for x in texts]
         distinct = set().union(*cut)
         if len(self.known) + len(distinct) > KNOWN_PIECES:
@@ -130,8 +130,9 @@ class Both:
         a = np.frombuffer(b"".join(x for x, _ in tokens), np.int32)
         b = np.frombuffer(b"".join(x for _, x in tokens), np.int32)
         ends = [np.concatenate([[0], np.cumsum(n[ids], dtype=np.int64)]).astype(np.int32) for n, ids in ((self.a.length, a), (self.length_b, b))]
-        last = np.cumsum([0, *(len(x) // 4 for x, _ in tokens)])
-        return [a, ends[0], b, ends[1], ends[0][last]], orders
+        sizes = [np.array([len(x[i]) // 4 for x in tokens], np.int64) for i in (0, 1)]
+        last = np.concatenate([[0], np.cumsum(sizes[0])])
+        return [a, ends[0], b, ends[1], ends[0][last]], orders, [np.array([n[o].sum() for o in orders], np.int64) for n in sizes]
 
 
 @cache
@@ -139,8 +140,8 @@ def both(path_a: str, path_b: str) -> Both:
     return Both(path_a, path_b)
 
 
-def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """A row a block: ids, orders (the documents' pieces), and the dictionary as a, ea, b, eb, eu."""
+def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
+    """A row a block: ids, orders (the documents' pieces), na and nb (their numbers of tokens), and the dictionary as a, ea, b, eb, eu."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -148,12 +149,12 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
         own = both(path_a, path_b)
 
         def made(keys: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
-            dictionary, orders = own.block(texts)
+            dictionary, orders, counts = own.block(texts)
             ids = pa.concat_arrays(keys)
             offsets = np.cumsum([0, *map(len, orders)]).astype(np.int32)
             flat = np.fromiter((x for o in orders for x in o), np.int32, int(offsets[-1]))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([one(ids), one(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))), *(one(pa.array(x)) for x in dictionary)], ["ids", "orders", "a", "ea", "b", "eb", "eu"])
+            return pa.RecordBatch.from_arrays([one(ids), one(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))), *(one(pa.array(x)) for x in (*counts, *dictionary))], ["ids", "orders", "na", "nb", "a", "ea", "b", "eb", "eu"])
 
         keys, texts, held = [], [], 0
         for batch in batches:
@@ -170,7 +171,7 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             yield made(keys, texts)
 
     lists = ", ".join(f"{x} array<int>" for x in ("a", "ea", "b", "eb", "eu"))
-    return source.mapInArrow(lean(run, lambda: both(path_a, path_b).forget()), f"ids array<{kind}>, orders array<array<int>>, {lists}")
+    return source.mapInArrow(lean(run, lambda: both(path_a, path_b).forget()), f"ids array<{kind}>, orders array<array<int>>, na array<bigint>, nb array<bigint>, {lists}")
 
 
 def _places(some: str, every: str) -> Column:
@@ -186,7 +187,7 @@ def _runs(ids: str) -> str:
         s -> transform(s, (k, i) -> struct(m[k] as id, coalesce(get(s, i + 1), size(m)) - k as n)))[0])[0]"""
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
     """For each row: id, n_a, n_b, n_groups, n_links, the groups as text and the links.
 
     ``groups`` is `a1,a2|b1;a3|b2,b3`, ids in order; ``links`` has a struct (pair, n) for each pair of
@@ -203,21 +204,20 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     df = df.withColumns({
         "gs": F.expr(f"transform({groups}, (e, g) -> if({na} = 1 and {nb} = 1, concat(sa[ia[g]], '|', sb[ib[g]]), concat(array_join(slice(sa, ia[g] + 1, {na}), ','), '|', array_join(slice(sb, ib[g] + 1, {nb}), ','))))"),
         "gl": F.expr(f"transform({groups}, (e, g) -> if({na} = 1 and {nb} = 1, array({pair('a[ia[g]]', 'b[ib[g]]')}), if(cast({na} as bigint) * {nb} > {WIDE}, cast(array() as array<bigint>), flatten(transform({a}, x -> transform({b}, y -> {pair('x', 'y')}))))))"),
-        "wide": F.expr(f"exists(transform({groups}, (e, g) -> cast({na} as bigint) * {nb}), n -> n > {WIDE})"),
-    })
+    }).withColumn("wide", F.expr("exists(gl, x -> size(x) = 0)"))
     none = "cast(array() as array<struct<pair:bigint,n:bigint>>)"
     product = f"flatten(transform({_runs(a)}, x -> transform({_runs(b)}, y -> struct({pair('x.id', 'y.id')} as pair, cast(x.n as bigint) * y.n as n))))"
     df = df.withColumn("gw", F.expr(f"if(wide, transform({groups}, (e, g) -> if(cast({na} as bigint) * {nb} > {WIDE}, {product}, {none})), cast(array() as array<array<struct<pair:bigint,n:bigint>>>))"))
     of = lambda x: f"slice({x}, iu[u] + 1, e - iu[u])"
     units = "slice(iu, 2, size(iu))"
     df = df.select(
-        "ids", "orders", "wide",
-        F.expr(f"transform({units}, (e, u) -> struct(array_join({of('gs')}, ';') as s, flatten({of('gl')}) as l, ia[e] - ia[iu[u]] as na, ib[e] - ib[iu[u]] as nb, e - iu[u] as ng))").alias("units"),
+        "ids", "orders", "na", "nb", "wide",
+        F.expr(f"transform({units}, (e, u) -> array_join({of('gs')}, ';'))").alias("us"),
+        F.expr(f"transform({units}, (e, u) -> flatten({of('gl')}))").alias("ul"),
         F.expr(f"if(wide, transform({units}, (e, u) -> flatten({of('gw')})), cast(array() as array<array<struct<pair:bigint,n:bigint>>>))").alias("uw"),
     )
-    total = lambda x: f"aggregate(o, 0L, (s, u) -> s + units[u].{x})"
-    own = f"""struct(ids[i] as id, {total('na')} as n_a, {total('nb')} as n_b, {total('ng')} as n_groups, array_join(transform(o, u -> units[u].s), ';') as groups,
-        flatten(transform(o, u -> units[u].l)) as l, if(wide, flatten(transform(o, u -> uw[u])), {none}) as w)"""
+    own = f"""struct(ids[i] as id, na[i] as n_a, nb[i] as n_b, array_join(transform(o, u -> us[u]), ';') as groups,
+        flatten(transform(o, u -> ul[u])) as l, if(wide, flatten(transform(o, u -> uw[u])), {none}) as w)"""
     df = df.select(F.explode(F.expr(f"transform(orders, (o, i) -> {own})")).alias("d")).select("d.*")
     df = df.withColumn("m", F.sort_array("l")).withColumn("k", F.expr("if(size(m) = 0, cast(array() as array<int>), filter(sequence(0, size(m) - 1), k -> k = 0 or m[k] <> m[k - 1]))"))
     narrow = "transform(k, (x, i) -> struct(m[x] as pair, cast(coalesce(get(k, i + 1), size(m)) - x as bigint) as n))"
@@ -225,7 +225,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         s -> transform(s, (k, i) -> struct(m[k].pair as pair, aggregate(slice(m, k + 1, coalesce(get(s, i + 1), size(m)) - k), 0L, (t, x) -> t + x.n) as n)))[0])[0]"""
     links = F.expr(f"if(size(w) = 0, {narrow}, transform(array({narrow}), r -> {merged})[0])")
     n_links = F.expr("size(m) + aggregate(w, 0L, (t, x) -> t + x.n)")
-    return df.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", n_links.alias("n_links"), "groups", links.alias("links"))
+    n_groups = F.expr("if(groups = '', 0L, cast(1 + octet_length(groups) - octet_length(replace(groups, ';', '')) as bigint))")
+    return df.select(F.col("id").alias(id_col), "n_a", "n_b", n_groups.alias("n_groups"), n_links.alias("n_links"), "groups", links.alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
