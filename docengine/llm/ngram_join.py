@@ -234,7 +234,8 @@ def lightest_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndar
 def _across(placed: DataFrame, reps: DataFrame, num: int, den: int, forest: bool = False) -> DataFrame:
     """Pairs of one leader from different components that sizes and sketches don't rule out.
 
-    With ``forest``, of each pair of blocks only those of the lightest forest. Leaders with few members are joined; the members of others are dealt into blocks of about
+    With ``forest``, of each pair of blocks of leaders with many members only those of the lightest forest, by
+    the coarse sketches alone. Leaders with few members are joined; the members of others are dealt into blocks of about
     BLOCK rows, and each pair of blocks is compared by one vectorised call, so neither pairs nor
     whole groups are ever rows of one task.
     """
@@ -280,6 +281,8 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int, forest: bool
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
+    if forest:
+        return large.distinct()
     return _close(cut(small.unionByName(large).distinct()), reps, num, den)
 
 
@@ -332,7 +335,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left")
         return own.select("leader", "id", F.coalesce("component", "id").alias("c"))
 
-    near = cut(_across(placed(groups), reps, num, den, forest=True).select("a", "b"))
+    near = cut(_across(placed(groups), reps, num, den, forest=True))
     links = cut(links.unionByName(_verified(near, docs, size, num, den)))
     groups = cut(components(links))
     more = cut(_verified(cut(_across(placed(groups), reps, num, den).select("a", "b")), docs, size, num, den))
