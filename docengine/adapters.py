@@ -25,7 +25,7 @@ VIEWS = {
     "blocks": """SELECT doc_id, CAST(i AS INTEGER) AS block_order, lines[i] AS raw_text, CAST(i AS DOUBLE) / len(lines) AS y0 FROM (
       SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))""",
     "revisions": """SELECT o_orderkey AS revision_id, o_custkey AS document_id, CASE o_orderstatus WHEN 'F' THEN 'ID' WHEN 'O' THEN 'RD' ELSE 'PD' END AS stage,
-      CAST(o_custkey % 50 AS VARCHAR) AS code, lower(o_orderpriority) AS scope, CAST(o_orderdate AS DATE) AS valid_from, CAST(o_orderdate AS DATE) + 60 AS valid_to,
+      CAST(o_custkey // 10 AS VARCHAR) AS code, lower(o_orderpriority) AS scope, CAST(o_orderdate AS DATE) AS valid_from, CAST(o_orderdate AS DATE) + 60 AS valid_to,
       lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS predecessor_id FROM orders""",
     "requirements": """SELECT n_nationkey AS requirement_id, n_name AS code, CASE n_regionkey % 3 WHEN 0 THEN 'PD' WHEN 1 THEN 'RD' ELSE 'ID' END AS stage,
       'K' || CAST(n_nationkey % 5 AS VARCHAR) AS kind_code, 'K' || CAST(n_nationkey % 7 AS VARCHAR) AS alternative, CAST(n_nationkey % 4 * 2 AS INTEGER) AS min_qty, n_nationkey % 11 = 3 AS excluded, n_regionkey AS object_id FROM nation""",
@@ -91,7 +91,7 @@ def revisions(spark: SparkSession, d: str) -> DataFrame:
     status = F.col("o_orderstatus")
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("revision_id"), F.col("o_custkey").alias("document_id"), F.when(status == "F", "ID").when(status == "O", "RD").otherwise("PD").alias("stage"),
-        (F.col("o_custkey") % 50).cast("string").alias("code"), F.lower("o_orderpriority").alias("scope"), F.to_date("o_orderdate").alias("valid_from"), F.date_add(F.to_date("o_orderdate"), 60).alias("valid_to"),
+        F.expr("cast(o_custkey div 10 as string)").alias("code"), F.lower("o_orderpriority").alias("scope"), F.to_date("o_orderdate").alias("valid_from"), F.date_add(F.to_date("o_orderdate"), 60).alias("valid_to"),
         F.lag("o_orderkey").over(w).alias("predecessor_id"),
     )
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.session import cut
+
 
 def confusion(df: DataFrame, *keys: str) -> DataFrame:
     """Counts and rates from expected, predicted and abstained; a zero denominator gives null."""
@@ -69,19 +74,36 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.try_divide(w * h, area(a) + area(b) - w * h)
 
 
-def meeting(left: DataFrame, right: DataFrame, page: str, width: float, height: float) -> DataFrame:
-    """Each box of left (id, x0, y0, x1, y1) with the boxes of right (other, ox0, oy0, ox1, oy1) on its page that it meets.
+def iou_pairs(left: DataFrame, right: DataFrame, page: str, at_least: float = 0.5) -> DataFrame:
+    """Each box of left (x0, y0, x1, y1) with the boxes of right (ox0, oy0, ox1, oy1) of its page whose IoU is at_least or more, as ``iou``.
 
-    Boxes meet in the grid cells that they cover; the cell with their common part's first corner gives the pair.
+    Such boxes' widths (and heights) differ by a factor of 1 / at_least at most, and their first corners by
+    (1 - at_least) times the wider one. Boxes are keyed by page, binary classes of width and height, and the cell
+    of their first corner in a grid of the class's size; left's boxes are listed under all keys that a
+    partner can have. So candidates are alike in size and place, however many boxes a page has.
+    Boxes without an area, and such with nulls, have no partners. Names other than the page must differ.
     """
+    if not 0 < at_least <= 1:
+        raise ValueError("at_least must lie between 0 and 1")
+    slack = 1 + 1e-9  # of rounding in what follows
+    size_class = lambda x: F.floor(F.log2(x)).cast("int")
+    cell = lambda x, k: F.floor(x / F.pow(F.lit(2.0), k + 1)).cast("long")
+
+    def keyed(df: DataFrame, low: str, high: str, to: str) -> DataFrame:
+        return df.withColumn(f"_c{to}", size_class(F.col(high) - F.col(low))).withColumn(f"_k{to}", cell(F.col(low), F.col(f"_c{to}")))
 
-    def cells(df: DataFrame, mark: str) -> DataFrame:
-        reach = lambda low, high, size: F.explode(F.sequence(F.floor(F.col(mark + low) / size), F.floor(F.col(mark + high) / size)))
-        return df.select("*", reach("x0", "x1", width).alias("_x")).select("*", reach("y0", "y1", height).alias("_y"))
+    def listed(df: DataFrame, low: str, high: str, to: str) -> DataFrame:
+        extent, at = F.col(high) - F.col(low), F.col(low)
+        df = df.withColumn(f"_c{to}", F.explode(F.sequence(size_class(extent * at_least / slack), size_class(extent / at_least * slack))))
+        widest = F.least(F.pow(F.lit(2.0), F.col(f"_c{to}") + 1), extent / at_least)
+        reach = (1 - at_least) * F.greatest(extent, widest) * slack + 1e-12
+        return df.withColumn(f"_k{to}", F.explode(F.sequence(cell(at - reach, F.col(f"_c{to}")), cell(at + reach, F.col(f"_c{to}")))))
 
-    both = cells(left, "").join(cells(right, "o"), [page, "_x", "_y"])
-    first = (F.floor(F.greatest("x0", "ox0") / width) == F.col("_x")) & (F.floor(F.greatest("y0", "oy0") / height) == F.col("_y"))
-    return both.filter(first).drop("_x", "_y")
+    own = left.filter("x1 > x0 and y1 > y0")
+    other = keyed(keyed(right.filter("ox1 > ox0 and oy1 > oy0"), "ox0", "ox1", "x"), "oy0", "oy1", "y")
+    both = listed(listed(own, "x0", "x1", "x"), "y0", "y1", "y").join(other, [page, "_cx", "_kx", "_cy", "_ky"]).drop("_cx", "_kx", "_cy", "_ky")
+    corners = ("x0", "y0", "x1", "y1")
+    return both.withColumn("iou", iou(tuple(F.col(c) for c in corners), tuple(F.col(f"o{c}") for c in corners))).filter(F.col("iou") >= at_least)
 
 
 def first_fit(pairs: DataFrame, page: str) -> DataFrame:
@@ -100,21 +122,79 @@ def first_fit(pairs: DataFrame, page: str) -> DataFrame:
     return pairs.groupBy(page).applyInPandas(take, pairs.schema)
 
 
-def bootstrap(per_object: DataFrame, value: str, weight: str, rounds: int = 2000, seed: int = 1) -> DataFrame:
-    """Percentile interval of sum(value) / sum(weight) over resampled objects.
+#: The generator's factor, increment and modulus.
+_FACTOR, _INCREMENT, _MODULUS = 1664525, 1013904223, 1 << 32
+_CHUNK = 1024
+
+
+def _steps(n: int) -> tuple[int, int]:
+    """(a, c) so that n steps of the generator take a state s to (a s + c) modulo its modulus, by squaring."""
+    a, c, fa, fc = 1, 0, _FACTOR, _INCREMENT
+    while n:
+        if n & 1:
+            a, c = fa * a % _MODULUS, (fa * c + fc) % _MODULUS
+        fa, fc = fa * fa % _MODULUS, (fa * fc + fc) % _MODULUS
+        n >>= 1
+    return a, c
 
-    Rounds are dealt over the tasks; each object's number of draws in a round is a Poisson draw
-    made from a hash of round and object, so no round needs the objects in one place.
+
+def _stepped(a: Column, c: Column, s: Column) -> Column:
+    """(a s + c) modulo 2^32 in whole numbers of 64 bits: the state goes by halves."""
+    low, high = s.bitwiseAND(F.lit(0xFFFF)), F.shiftright(s, 16)
+    return (a * low + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16) + c).bitwiseAND(F.lit(_MODULUS - 1))
+
+
+def draws(spark: SparkSession, objects: int, rounds: int, seed: int) -> DataFrame:
+    """(round, place, k): how often each round draws each of ``objects`` places; places without draws are absent.
+
+    The generator is read as if round after round took its draws one by one. A row begins with the state
+    before a chunk of draws (a jump by the binary digits of its number), and each draw in it is one step from
+    there by a table; so rounds and chunks are dealt over the tasks.
+    """
+    chunks = -(-objects // _CHUNK)
+    jumps = "array(" + ", ".join("struct({}L as a, {}L as c)".format(*_steps(1 << k)) for k in range(62)) + ")"
+    table = [_steps(j + 1) for j in range(min(_CHUNK, objects))]
+    tables = [F.expr("array(" + ", ".join(f"{t[i]}L" for t in table) + ")") for i in (0, 1)]
+    rows = spark.range(rounds * chunks, numPartitions=max(1, min(rounds * chunks, spark.sparkContext.defaultParallelism * 4)))
+    rows = rows.select(F.expr(f"id div {chunks}").alias("round"), (F.expr(f"id % {chunks}") * _CHUNK).alias("at"))
+    n = F.col("round") * objects + F.col("at")
+    bits = F.filter(F.transform(F.expr(jumps), lambda x, k: F.struct(x["a"].alias("a"), x["c"].alias("c"), F.pmod(F.floor(n / F.pow(F.lit(2.0), k)), F.lit(2)).alias("on"))), lambda x: x["on"] == 1)
+    state = F.aggregate(bits, F.lit(seed % _MODULUS).cast("long"), lambda s, x: _stepped(x["a"], x["c"], s))
+    rows = rows.withColumn("state", state).withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(_CHUNK), objects - F.col("at")).cast("int") - 1)))
+    drawn = _stepped(tables[0][F.col("j")], tables[1][F.col("j")], F.col("state"))
+    return rows.groupBy("round", F.floor(drawn / float(_MODULUS) * objects).cast("long").alias("place")).agg(F.count("*").alias("k"))
+
+
+def bootstrap(rows: DataFrame, object_id: str, measure: Callable[[Column], Column], rounds: int = 2000, seed: int = 20260927) -> DataFrame:
+    """One row (objects, valid, low, high, reason): the 95 % percentile interval of a measure over resampled objects.
+
+    Each round draws as many objects as there are, with repeats, by a seeded generator over the objects in
+    the order of their ids; an object brings all its rows as often as it is drawn. ``measure`` makes an aggregate from the
+    column of that number, such as ``lambda k: F.try_divide(F.sum(F.col("hits") * k), F.sum(F.col("n") * k))``. The interval
+    is null for fewer than two objects, or if under 95 % of the rounds have a measure. Rows without an object don't count.
     """
-    draws = per_object.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64("object_id", "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    k, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for i in range(8):
-        total += term
-        k = k + F.when(u >= total, 1).otherwise(0)
-        term /= i + 1
-    each = draws.withColumn("k", k).groupBy("round").agg(F.try_divide(F.sum(F.col(value) * F.col("k")), F.sum(F.col(weight) * F.col("k"))).alias("x"))
-    return each.agg(F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.5).alias("middle"), F.percentile("x", 0.975).alias("high"))
+    spark = rows.sparkSession
+    rows = rows.filter(F.col(object_id).isNotNull())
+    names = cut(rows.select(F.col(object_id).alias("_object")).distinct().orderBy("_object").withColumn("_row", F.monotonically_increasing_id()))
+    part = F.shiftright("_row", 33)
+    sizes = names.groupBy(part.alias("p")).count().orderBy("p").collect()  # one row a task
+    n = sum(r[1] for r in sizes)
+    if n < 2:
+        return spark.createDataFrame([(n, 0, None, None, "fewer than two independent objects")], "objects long, valid long, low double, high double, reason string")
+    before, total = {}, 0
+    for p, count in sizes:
+        before[p] = total
+        total += count
+    offset = F.create_map(*[F.lit(v) for pair in before.items() for v in pair])[part]
+    placed = names.select("_object", (offset + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+    sample = draws(spark, n, rounds, seed).join(placed, "place").join(rows.withColumnRenamed(object_id, "_object"), "_object")
+    values = sample.groupBy("round").agg(measure(F.col("k")).cast("double").alias("x")).filter("x is not null and not isnan(x) and abs(x) < double('inf')")
+    ranked = cut(values.withColumn("r", F.row_number().over(Window.orderBy("x")) - 1))  # one row a round
+    valid = ranked.count()
+    if valid / rounds < 0.95:
+        return spark.createDataFrame([(n, valid, None, None, "too many undefined-denominator resamples")], "objects long, valid long, low double, high double, reason string")
+    at = lambda r: F.max(F.when(F.col("r") == r, F.col("x")))
+    return ranked.agg(F.lit(n).cast("long").alias("objects"), F.lit(valid).cast("long").alias("valid"), at(math.floor(0.025 * (valid - 1))).alias("low"), at(math.ceil(0.975 * (valid - 1))).alias("high"), F.lit(None).cast("string").alias("reason"))
 
 
 def union_area(boxes: DataFrame, key: str) -> DataFrame:

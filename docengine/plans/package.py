@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docengine import adapters as a
 from docengine.operators import complete as c
 from docengine.operators import identify as i
+from docengine.operators import intervals as v
 from docengine.session import table
 
 Q: dict = {}
@@ -79,14 +80,19 @@ _CAND = """c AS (SELECT x.revision_id AS actual_id, r.revision_id AS reference_i
   ON r.stage = CASE x.stage WHEN 'ID' THEN 'RD' WHEN 'RD' THEN 'PD' END AND r.code = x.code AND r.scope = x.scope AND r.document_id <> x.document_id)"""
 
 
-def near(s, d):
-    """Reference periods reach 30 days to both sides of the work's here, so that some hold it."""
-    return i.candidates(a.revisions(s, d)).withColumn("valid_from", F.date_sub("valid_from", 30)).withColumn("valid_to", F.date_add("valid_to", 30))
+def by_period(s, d, join):
+    """Candidates whose period, with 30 days to both sides, holds or meets the work's."""
+    rev = a.revisions(s, d)
+    work = rev.select(F.col("revision_id").alias("actual_id"), "document_id", "code", "scope", i.reference_stage(F.col("stage")).alias("stage"), F.col("valid_from").alias("from_"), F.col("valid_to").alias("to_")).filter("stage is not null")
+    other = rev.select(F.col("revision_id").alias("reference_id"), F.col("document_id").alias("other"), "code", "scope", "stage", F.date_sub("valid_from", 30).alias("valid_from"), F.date_add("valid_to", 30).alias("valid_to"))
+    keys = ["stage", "code", "scope"]
+    found = v.holding(work, "from_", other, "valid_from", "valid_to", keys) if join == "holding" else v.overlapping(work, "from_", "to_", other, "valid_from", "valid_to", keys)
+    return found.filter("document_id <> other")
 
 
 add("J10_reference_candidates", lambda s, d: i.candidates(a.revisions(s, d)).select("actual_id", "reference_id"), f"WITH {_CAND} SELECT actual_id, reference_id FROM c, (SELECT 1 FROM revisions LIMIT 1)")
-add("J12_period_covered", lambda s, d: near(s, d).filter(i.covers(F.col("valid_from"), F.col("valid_to"), F.col("from_"), F.col("to_"))).select("actual_id", "reference_id"), f"WITH {_CAND} SELECT actual_id, reference_id FROM c, (SELECT 1 FROM revisions LIMIT 1) WHERE rf - 30 <= f AND rt + 30 >= t")
-add("J13_overlap_only", lambda s, d: near(s, d).filter(i.overlaps_only(F.col("valid_from"), F.col("valid_to"), F.col("from_"), F.col("to_"))).select("actual_id", "reference_id"), f"WITH {_CAND} SELECT actual_id, reference_id FROM c, (SELECT 1 FROM revisions LIMIT 1) WHERE rf - 30 <= t AND rt + 30 >= f AND NOT (rf - 30 <= f AND rt + 30 >= t)")
+add("J12_period_covered", lambda s, d: by_period(s, d, "holding").filter(i.covers(F.col("valid_from"), F.col("valid_to"), F.col("from_"), F.col("to_"))).select("actual_id", "reference_id"), f"WITH {_CAND} SELECT actual_id, reference_id FROM c, (SELECT 1 FROM revisions LIMIT 1) WHERE rf - 30 <= f AND rt + 30 >= t")
+add("J13_overlap_only", lambda s, d: by_period(s, d, "overlapping").filter(i.overlaps_only(F.col("valid_from"), F.col("valid_to"), F.col("from_"), F.col("to_"))).select("actual_id", "reference_id"), f"WITH {_CAND} SELECT actual_id, reference_id FROM c, (SELECT 1 FROM revisions LIMIT 1) WHERE rf - 30 <= t AND rt + 30 >= f AND NOT (rf - 30 <= f AND rt + 30 >= t)")
 _VALID = "NOT EXISTS (SELECT 1 FROM revisions n WHERE n.predecessor_id = c.reference_id AND n.valid_from <= c.t)"
 add("J14_not_succeeded", lambda s, d: i.not_succeeded(i.candidates(a.revisions(s, d)), a.revisions(s, d)).select("actual_id", "reference_id"), f"WITH {_CAND} SELECT actual_id, reference_id FROM c WHERE {_VALID}")
 
@@ -94,7 +100,7 @@ add("J14_not_succeeded", lambda s, d: i.not_succeeded(i.candidates(a.revisions(s
 def j15(s, d):
     rev = a.revisions(s, d)
     actual = rev.filter("stage <> 'PD'").select(F.col("revision_id").alias("actual_id"))
-    fine = near(s, d).filter(i.covers(F.col("valid_from"), F.col("valid_to"), F.col("from_"), F.col("to_")))
+    fine = by_period(s, d, "holding").filter(i.covers(F.col("valid_from"), F.col("valid_to"), F.col("from_"), F.col("to_")))
     return i.resolved(actual, fine)
 
 
