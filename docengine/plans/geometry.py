@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docengine.operators import layout as y
+from docengine.operators import readings
 from docengine.session import table
 
 Q: dict = {}
@@ -148,3 +150,23 @@ def d45(s, d):
 
 
 add("D45_release", d45, "SELECT (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity > 45) AS covered, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS omitted")
+
+
+def page_readings(s, d):
+    """Lines as readings of a page for each order: native ones and recognised ones, some unusable or hidden, boxes in three rows."""
+    li = table(s, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy(*sorted(li.columns))
+    low, row = F.col("l_discount") * 4, F.pmod("l_suppkey", F.lit(3))
+    li = li.withColumn("id", F.row_number().over(order).cast("long"))
+    return li.select(
+        F.col("l_orderkey").alias("page"), F.when(F.pmod("l_partkey", F.lit(2)) == 0, "native").otherwise("ocr").alias("source"), "id",
+        low.alias("x0"), (row * 0.25).alias("y0"), (low + F.col("l_quantity") / 50 + 0.1).alias("x1"), (row * 0.25 + 0.2 + F.col("l_tax")).alias("y1"),
+        F.concat(F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus")).alias("text"), (F.col("l_tax") < 0.075).alias("valid"), (F.col("l_tax") < 0.005).alias("hidden"),
+    )
+
+
+def d35(s, d):
+    return readings.reconciled(page_readings(s, d)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+Q["D35_readings"] = d35  # the order of choices is no set operation: see tests/test_readings.py
