@@ -17,9 +17,7 @@ rare words come first, as they hardly ever meet by chance.
 
 A bucket's members are first compared with the bucket's smallest id, their leader; members of
 one leader that still belong to several components are then compared across components only, by
-their sketches and in blocks. A first comparison names, of each pair of blocks, the lightest forest
-(by the sketches' distances) that holds its components together; once these pairs are verified, a second one names all candidates
-between the components that are left. So a group of n copies costs about n verifications. Candidates that pass
+their sketches, the coarse and then the dense ones, and in blocks. So a group of n copies costs about n verifications. Candidates that pass
 a bound computed from parity sketches, a coarse one first, are verified exactly on the whole texts.
 Documents with equal token sets count as one from the start.
 
@@ -35,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.graph import components
@@ -44,7 +42,7 @@ from docengine.llm.words import chunks, lean, list_array, mixed, shingle_hashes,
 from docengine.session import cut
 
 CLASS_BITS, WORD_BITS = 20, 15
-BLOCK, FEW = 512, 16
+BLOCK, FEW, TRIES = 512, 16, 4
 # a token's place in the global order: 5 bits of class, 10 of its words' frequency, 49 of hash
 _CLASS_AT, _WORDS_AT = np.uint64(59), np.uint64(49)
 _SHARE = "id long, n int, h1 long, h2 long, keys array<long>, coarse array<long>, sketch array<long>"
@@ -204,38 +202,33 @@ def _close(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(within.format("apart")).select("a", "b", "apart")
 
 
-def lightest_forest(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The edges (their places) of a minimum spanning forest of the graph of edges (x, y), by rounds of all trees' lightest edges."""
-    names, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
-    order = np.argsort(weight, kind="stable")  # from here on an edge's place is its rank, so that no two weigh the same
-    u, v = ends[: len(x)][order], ends[len(x) :][order]
-    alive, chosen = np.arange(len(u)), [np.zeros(0, np.int64)]
-    root = np.arange(len(names))
-    while len(alive):
-        a, b = root[u[alive]], root[v[alive]]
-        alive, a, b = (z[a != b] for z in (alive, a, b))
-        best = np.full(len(names), len(alive))
-        at = np.arange(len(alive))
-        np.minimum.at(best, a, at)
-        np.minimum.at(best, b, at)
-        tree = np.flatnonzero(best < len(alive))
-        edge = best[tree]
-        chosen.append(alive[np.unique(edge)])
-        parent = np.arange(len(names))
-        parent[tree] = np.where(a[edge] == tree, b[edge], a[edge])
-        mutual = (parent[parent] == np.arange(len(names))) & (np.arange(len(names)) < parent)
-        parent[mutual] = np.flatnonzero(mutual)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        root = parent[root]
-    return order[np.concatenate(chosen)]
-
-
-def _across(placed: DataFrame, reps: DataFrame, num: int, den: int, forest: bool = False) -> DataFrame:
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of sketches, and where each row's begin and the last one's end."""
+    lists = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+
+
+def _near(flat: np.ndarray, edges: np.ndarray, i: np.ndarray, k: np.ndarray, least: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs (i, k) of rows their sketches don't rule out; least is the smaller size. The longer sketch is folded onto the shorter."""
+    length = np.diff(edges)
+    fine = np.zeros(len(i), bool)
+    for s in np.unique(np.minimum(length[i], length[k])).tolist():
+        own = np.flatnonzero(np.minimum(length[i], length[k]) == s)
+        for at in range(0, len(own), step := max(1, (1 << 20) // s)):
+            part = own[at : at + step]
+            apart = np.zeros((len(part), s), np.uint64)
+            for rows in (i[part], k[part]):
+                for fold in range(int(length[rows].max()) // s):
+                    has = length[rows] > fold * s
+                    apart[has] ^= flat[edges[rows[has]][:, None] + fold * s + np.arange(s)]
+            fine[part] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) * num <= least[part] * (den - num)
+    return np.flatnonzero(fine)
+
+
+def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of one leader from different components that sizes and sketches don't rule out.
 
-    With ``forest``, of each pair of blocks of leaders with many members only those of the lightest forest, by
-    the coarse sketches alone. Leaders with few members are joined; the members of others are dealt into blocks of about
+    Leaders with few members are joined; the members of others are dealt into blocks of about
     BLOCK rows, and each pair of blocks is compared by one vectorised call, so neither pairs nor
     whole groups are ever rows of one task.
     """
@@ -247,16 +240,15 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int, forest: bool
 
     many = rows.filter(F.col("m") > FEW).join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
     many = many.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "coarse")
+    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "coarse", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, c, n, blk = (table.column(x).to_numpy() for x in ("id", "c", "n", "blk"))
         same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        lists = table.column("coarse").combine_chunks()
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, edges = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+        flat, edges = _flat(table.column("coarse"))
+        dense, at_dense = _flat(table.column("sketch"))
         length = np.diff(edges)
-        found: list[tuple[np.ndarray, ...]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s in np.unique(length):
             own = np.flatnonzero(length == s)
             twice = np.flatnonzero(length == 2 * s)
@@ -272,17 +264,12 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int, forest: bool
                 if not same:
                     fine &= blk[i][:, None] != blk[other][None, :]
                 r, k = np.nonzero(fine)
-                found.append((i[r], other[k], apart[r, k]))
-        a, b, weight = (np.concatenate([f[j] for f in found]) for j in range(3))
-        if forest:
-            few = lightest_forest(c[a], c[b], weight)
-            a, b = a[few], b[few]
-        a, b = ids[a], ids[b]
+                near = _near(dense, at_dense, i[r], other[k], np.minimum(n[i[r]], n[other[k]]), num, den)
+                found.append((ids[i[r[near]]], ids[other[k[near]]]))
+        a, b = (np.concatenate([f[j] for f in found]) for j in (0, 1))
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     large = many.groupBy("leader", "p", "q").applyInArrow(compare, "a long, b long")
-    if forest:
-        return large.distinct()
     return _close(cut(small.unionByName(large).distinct()), reps, num, den)
 
 
@@ -331,14 +318,20 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(components(links))
 
     # members of one bucket have its smallest id as their leader, so pairs of one leader include all candidates
-    def placed(groups: DataFrame) -> DataFrame:
-        own = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left")
-        return own.select("leader", "id", F.coalesce("component", "id").alias("c"))
-
-    near = cut(_across(placed(groups), reps, num, den, forest=True))
-    links = cut(links.unionByName(_verified(near, docs, size, num, den)))
+    placed = stars.select(F.col("b").alias("leader"), F.col("a").alias("id")).join(groups, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("c"))
+    cross = cut(_across(placed, reps, num, den))
+    # one link joins two components: each component first tries its nearest candidates, then what still lies between components is verified
+    named = cross
+    for x in "ab":
+        named = named.join(groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    nearest = Window.partitionBy(F.greatest("ca", "cb")).orderBy("apart", "a", "b")
+    ranked = cut(named.withColumn("rank", F.row_number().over(nearest)).select("a", "b", "rank"))
+    links = cut(links.unionByName(_verified(ranked.filter(F.col("rank") <= TRIES).select("a", "b"), docs, size, num, den)))
     groups = cut(components(links))
-    more = cut(_verified(cut(_across(placed(groups), reps, num, den).select("a", "b")), docs, size, num, den))
+    rest = ranked.filter(F.col("rank") > TRIES).select("a", "b")
+    for x in "ab":
+        rest = rest.join(groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    more = cut(_verified(cut(rest.filter("ca <> cb").select("a", "b")), docs, size, num, den))
     groups = components(links.unionByName(more))
 
     # rows of a set that holds over a 1024th of all rows, of which there are fewer than 1024, are answered where they are

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from docengine.llm.graph import components
-from docengine.llm.ngram_join import lightest_forest, ngram_join, run_length
+from docengine.llm.ngram_join import _near, ngram_join, parity_sketch, run_length
 
 
 def words(text):
@@ -77,26 +77,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 100: 50, 60: 60, 61: 60}
 
 
-def test_lightest_forest():
+def test_dense_sketches_are_compared_as_such():
     r = np.random.default_rng(2)
-    for n, m in ((2, 1), (5, 4), (40, 300), (200, 150), (1, 0)):
-        x, y = r.integers(0, n, m) * 7, r.integers(0, n, m) * 7
-        weight = r.integers(0, 9, m)
-        root = {int(i): int(i) for i in [*x, *y]}
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        want = 0
-        for e in np.argsort(weight, kind="stable"):
-            p, q = find(int(x[e])), find(int(y[e]))
-            if p != q:
-                root[p] = q
-                want += int(weight[e])
-        got = lightest_forest(x, y, weight)
-        assert weight[got].sum() == want and len(set(got.tolist())) == len(got) == len(root) - sum(root[i] == i for i in root)
+    sketches = [parity_sketch(np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)))[1] for n in r.integers(1, 700, 40)]
+    flat, edges = np.concatenate(sketches), np.concatenate([[0], np.cumsum([len(x) for x in sketches])])
+    i, k = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    least = r.integers(1, 4000, len(i))
+
+    def folded(x, s):
+        return np.bitwise_xor.reduce(x.reshape(-1, s), axis=0)
+
+    want = []
+    for at, (a, b) in enumerate(zip(i.tolist(), k.tolist(), strict=True)):
+        s = min(len(sketches[a]), len(sketches[b]))
+        apart = int(np.bitwise_count(folded(sketches[a], s) ^ folded(sketches[b], s)).sum())
+        if apart * 4 <= least[at]:
+            want.append(at)
+    assert _near(flat, edges, i, k, least, 4, 5).tolist() == want and len(want) > 100
 
 
 def test_a_group_whose_members_are_far_from_its_smallest_id(spark):
