@@ -40,7 +40,8 @@ def nodes(begin: Column, end: Column) -> Column:
             outside = lambda i: (F.floor(i / 2) * 2 * size < low) | ((F.floor(i / 2) * 2 + 2) * size - 1 > high)
             return F.transform(F.filter(ends, lambda i: (first <= last) & outside(i)), lambda i: F.shiftleft(level.cast("long"), 32) + i)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+        longest = F.floor(F.log2(F.greatest(high - low + 1, F.lit(1)) + 0.5)).cast("int")  # no longer stretch lies within
+        return F.flatten(F.transform(F.sequence(F.lit(0), longest), at))
 
     period = F.struct(a.alias("a"), b.alias("b"))
     found = F.transform(F.array(period), of_period)[0]

@@ -94,7 +94,9 @@ def iou_pairs(left: DataFrame, right: DataFrame, page: str, at_least: float = 0.
 
     def listed(df: DataFrame, low: str, high: str, to: str) -> DataFrame:
         extent, at = F.col(high) - F.col(low), F.col(low)
-        df = df.withColumn(f"_c{to}", F.explode(F.sequence(size_class(extent * at_least / slack), size_class(extent / at_least * slack))))
+        present = [r[0] for r in other.select(f"_c{to}").distinct().collect()]  # as many as there are exponents of a double, 2098 at most
+        alike = F.sequence(size_class(extent * at_least / slack), size_class(extent / at_least * slack))
+        df = df.withColumn(f"_c{to}", F.explode(F.array_intersect(alike, F.array(*map(F.lit, present)).cast("array<int>"))))
         widest = F.least(F.pow(F.lit(2.0), F.col(f"_c{to}") + 1), extent / at_least)
         reach = (1 - at_least) * F.greatest(extent, widest) * slack + 1e-12
         return df.withColumn(f"_k{to}", F.explode(F.sequence(cell(at - reach, F.col(f"_c{to}")), cell(at + reach, F.col(f"_c{to}")))))
