@@ -120,3 +120,14 @@ def rounded(x: Column, digits: int, mode: str) -> Column:
         raise ValueError(mode)
     scale = F.lit(10**digits).cast("decimal(20,0)")
     return F.signum(x).cast("int") * (F.floor(F.abs(x) * scale) / scale)
+
+
+def locale_key(x: Column) -> Column:
+    """The text for sorting and comparing as readers do: letters before case and accents, alphabets one after the other (root order of ICU)."""
+    return F.collate(x, "UNICODE")
+
+
+def locale_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a comes before, with or after b in that order; null if one is null."""
+    x, y = locale_key(a), locale_key(b)
+    return F.when(x < y, -1).when(x > y, 1).when(a.isNotNull() & b.isNotNull(), 0)

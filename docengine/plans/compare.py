@@ -163,6 +163,15 @@ _blocks_query("P4_term", lambda b: b.filter(t.contains_term(F.col("raw_text"), F
 _blocks_query("F27_excerpt", lambda b: b.select("doc_id", "block_order", t.excerpt(F.col("raw_text"), "License", 20).alias("x")).filter("x is not null"), "SELECT doc_id, block_order, substring(raw_text, greatest(p - 20, 1), p - greatest(p - 20, 1) + 7 + 20) AS x FROM (SELECT *, strpos(lower(raw_text), 'license') AS p FROM blocks) WHERE p > 0")
 
 
+def t8(s, d):
+    b = a.blocks(s, d).withColumn("w", F.split("raw_text", " "))
+    return b.select("doc_id", "block_order", t.locale_compare(F.element_at("w", 1), F.element_at("w", -1)).alias("x"))
+
+
+Q["T8_locale_order"] = t8
+SQL["T8_locale_order"] = a.with_views("SELECT doc_id, block_order, CAST(CASE WHEN x COLLATE en < y COLLATE en THEN -1 WHEN x COLLATE en > y COLLATE en THEN 1 ELSE 0 END AS INTEGER) AS x FROM (SELECT doc_id, block_order, string_split(raw_text, ' ')[1] AS x, string_split(raw_text, ' ')[-1] AS y FROM blocks)")
+
+
 def f9(s, d):
     o = table(s, d, "orders")
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd.MM.yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.concat(F.lit("31.02."), F.date_format("o_orderdate", "yyyy")))
