@@ -198,8 +198,8 @@ def a27(s, d):
     return m.bootstrap(per, "object_id", lambda k: F.try_divide(F.sum(F.col("hits") * k), F.sum(F.col("n") * k)))
 
 
-_A27 = """WITH RECURSIVE per AS (SELECT section, count(*) FILTER (expected_violation = predicted_violation) AS hits, count(*) AS n, row_number() OVER (ORDER BY section) - 1 AS place FROM truth GROUP BY 1),
-  c AS (SELECT count(*) AS objects FROM per),
+_A27 = """WITH RECURSIVE per AS MATERIALIZED (SELECT section, count(*) FILTER (expected_violation = predicted_violation) AS hits, count(*) AS n, row_number() OVER (ORDER BY section) - 1 AS place FROM truth GROUP BY 1),
+  c AS MATERIALIZED (SELECT count(*) AS objects FROM per),
   g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(20260927 AS BIGINT) AS state UNION ALL SELECT i + 1, (1664525 * state + 1013904223) % 4294967296 FROM g, c WHERE i < 2000 * objects),
   x AS (SELECT (i - 1) // objects AS round, sum(hits) / sum(n) AS x FROM g, c JOIN per ON place = CAST(floor(state / 4294967296.0 * objects) AS BIGINT) WHERE i > 0 GROUP BY 1),
   r AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r FROM x)
