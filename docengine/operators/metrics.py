@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from bisect import bisect_left, insort
+from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +24,73 @@ def confusion(df: DataFrame, *keys: str) -> DataFrame:
     return n.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(fp, fp + tn).alias("fpr"), ratio(F.col("n") - F.col("abstained"), F.col("n")).alias("coverage"))
 
 
-def character_distance(a: str, b: str) -> Column:
-    """Edit distance in characters; bands that widen until the distance lies inside spare long texts that are alike the whole table."""
-    inside = [F.when(F.levenshtein(a, b, k) >= 0, F.levenshtein(a, b, k)) for k in (8, 128, 2048)]
-    return F.coalesce(*inside, F.levenshtein(a, b))
+def _distance(x: Sequence, y: Sequence) -> int:
+    """Edit distance of two sequences, a column of the table at a time as the bits of integers (Myers, Hyyrö)."""
+    if not x:
+        return len(y)
+    places: dict = {}
+    for i, u in enumerate(x):
+        places[u] = places.get(u, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, len(x) - 1
+    up, down, n = full, 0, len(x)
+    for v in y:
+        same = places.get(v, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        n += (more >> top & 1) - (less >> top & 1)
+        more, less = more << 1 | 1, less << 1
+        up, down = full & (less | ~(level | more)), full & more & level
+    return n
+
+
+def _near_distance(x: str, y: str, most: int) -> int | None:
+    """Edit distance of two texts if it is at most ``most``: how far each diagonal is reached with 0, 1, 2, ... edits (Ukkonen)."""
+    n, m = len(x), len(y)
+
+    def same(i: int, j: int) -> int:
+        """x's place after the characters from i on that are those of y from j on, by pieces of growing and shrinking size."""
+        left = min(n - i, m - j)
+        if left <= 0 or x[i] != y[j]:
+            return i
+        size = 16
+        while size <= left and x[i : i + size] == y[j : j + size]:
+            i, j, left, size = i + size, j + size, left - size, size * 2
+        while size > 1:
+            size //= 2
+            if size <= left and x[i : i + size] == y[j : j + size]:
+                i, j, left = i + size, j + size, left - size
+        return i
+
+    low, reached = 0, [same(0, 0)]
+    for edits in range(most + 1):
+        if low <= m - n < low + len(reached) and reached[m - n - low] == n:
+            return edits
+        before, first = [-1, -1, *reached, -1, -1], max(low - 1, -n)
+        last = min(low + len(reached), m)
+        now = []
+        for k in range(first, last + 1):
+            at = k - low + 2
+            i = min(max(before[at] + 1, before[at - 1], before[at + 1] + 1), n, m - k)
+            now.append(same(i, i + k))
+        low, reached = first, now
+    return None
+
+
+@F.pandas_udf(T.LongType())
+def character_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two texts in characters (code points), null if one is null.
+
+    Texts that are alike cost the square of their distance; others, after as many steps as characters, go by bits.
+    """
+
+    def one(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None:
+            return None
+        near = _near_distance(x, y, math.isqrt(2 * max(len(x), len(y))) + 4)
+        return _distance(x, y) if near is None else near
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def word_errors(df: DataFrame, expected: str, actual: str, *keys: str) -> DataFrame:
@@ -36,34 +101,16 @@ def word_errors(df: DataFrame, expected: str, actual: str, *keys: str) -> DataFr
 
 
 def character_errors(df: DataFrame, expected: str, actual: str, *keys: str) -> DataFrame:
-    """Micro-averaged character error rate."""
-    return df.groupBy(*keys).agg(F.sum(character_distance(expected, actual)).cast("long").alias("errors"), F.sum(F.length(expected)).cast("long").alias("chars")).withColumn("cer", F.try_divide(F.col("errors").cast("double"), F.col("chars")))
+    """Micro-averaged character error rate; equal pairs of texts are compared once."""
+    each = df.groupBy(*keys, expected, actual).agg(F.count("*").alias("_n")).withColumn("_e", character_distance(expected, actual))
+    total = each.groupBy(*keys).agg(F.sum(F.col("_e") * F.col("_n")).alias("errors"), F.sum(F.length(expected) * F.col("_n")).cast("long").alias("chars"))
+    return total.withColumn("cer", F.try_divide(F.col("errors").cast("double"), F.col("chars")))
 
 
 @F.pandas_udf(T.LongType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Edit distance of two texts in words, a column of the table at a time as the bits of integers (Myers, Hyyrö)."""
-
-    def one(x: str, y: str) -> int:
-        x, y = (x or "").split(), (y or "").split()
-        if not x:
-            return len(y)
-        places: dict[str, int] = {}
-        for i, u in enumerate(x):
-            places[u] = places.get(u, 0) | 1 << i
-        full, top = (1 << len(x)) - 1, len(x) - 1
-        up, down, n = full, 0, len(x)
-        for v in y:
-            same = places.get(v, 0)
-            level = same | down
-            across = (((same & up) + up) ^ up) | same
-            more, less = down | (full & ~(across | up)), up & across
-            n += (more >> top & 1) - (less >> top & 1)
-            more, less = more << 1 | 1, less << 1
-            up, down = full & (less | ~(level | more)), full & more & level
-        return n
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    """Edit distance of two texts in words."""
+    return pd.Series([_distance((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)])
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -199,25 +246,56 @@ def bootstrap(rows: DataFrame, object_id: str, measure: Callable[[Column], Colum
     return ranked.agg(F.lit(n).cast("long").alias("objects"), F.lit(valid).cast("long").alias("valid"), at(math.floor(0.025 * (valid - 1))).alias("low"), at(math.ceil(0.975 * (valid - 1))).alias("high"), F.lit(None).cast("string").alias("reason"))
 
 
+def _covered(boxes: list[tuple]) -> float:
+    """The area that boxes (x0, y0, x1, y1) cover together: strips between neighbouring x, with the boxes over a strip kept in order of y."""
+    begins, ends = sorted(boxes), sorted((b[2], b[1], b[3]) for b in boxes)
+    xs = sorted({x for b in boxes for x in (b[0], b[2])})
+    area, held, i, j = 0.0, [], 0, 0
+    for left, right in zip(xs, xs[1:], strict=False):
+        while j < len(ends) and ends[j][0] <= left:
+            at = bisect_left(held, ends[j][1:])
+            if at < len(held) and held[at] == ends[j][1:]:
+                del held[at]
+            j += 1
+        while i < len(begins) and begins[i][0] <= left:
+            if begins[i][2] > left:
+                insort(held, (begins[i][1], begins[i][3]))
+            i += 1
+        low = high = None
+        for y0, y1 in held:
+            if high is None or y0 > high:
+                area += (high - low) * (right - left) if high is not None else 0.0
+                low, high = y0, y1
+            else:
+                high = max(high, y1)
+        area += (high - low) * (right - left) if high is not None else 0.0
+    return area
+
+
 def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    """(key, area): the area that each key's boxes cover together; swept per key."""
-
-    def sweep(batch: pd.DataFrame) -> pd.DataFrame:
-        xs = sorted(set(batch.x0) | set(batch.x1))
-        area = 0.0
-        for left, right in zip(xs, xs[1:], strict=False):
-            held = sorted((b.y0, b.y1) for b in batch.itertuples() if b.x0 <= left and b.x1 >= right)
-            low = high = None
-            for y0, y1 in held:
-                if high is None or y0 > high:
-                    area += (high - low) * (right - left) if high is not None else 0.0
-                    low, high = y0, y1
-                else:
-                    high = max(high, y1)
-            area += (high - low) * (right - left) if high is not None else 0.0
-        return pd.DataFrame({key: [batch[key].iloc[0]], "area": [area]})
-
-    return boxes.groupBy(key).applyInPandas(sweep, f"{key} {dict(boxes.dtypes)[key]}, area double")
+    """(key, area): the area that each key's boxes cover together, swept key by key over sorted partitions.
+
+    A task goes over all its keys in one pass and holds one key's boxes. Boxes with a missing coordinate cover nothing.
+    """
+
+    def swept(batches):
+        now, held, seen = None, [], False
+        for batch in batches:
+            keys, areas = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not seen or row[0] != now:
+                    if seen:
+                        keys.append(now)
+                        areas.append(_covered(held))
+                    now, held, seen = row[0], [], True
+                if not any(v is None or v != v for v in row[1:]) and row[1] <= row[3]:
+                    held.append(row[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(areas, pa.float64())], [key, "area"])
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([now], batch.schema.field(0).type), pa.array([_covered(held)], pa.float64())], [key, "area"])
+
+    rows = boxes.select(key, *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(swept, f"{key} {dict(boxes.dtypes)[key]}, area double")
 
 
 def packed(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
