@@ -248,18 +248,16 @@ def bootstrap(rows: DataFrame, object_id: str, measure: Callable[[Column], Colum
 
 def _covered(boxes: list[tuple]) -> float:
     """The area that boxes (x0, y0, x1, y1) cover together: strips between neighbouring x, with the boxes over a strip kept in order of y."""
+    boxes = [b for b in boxes if b[0] < b[2] and b[1] < b[3]]
     begins, ends = sorted(boxes), sorted((b[2], b[1], b[3]) for b in boxes)
     xs = sorted({x for b in boxes for x in (b[0], b[2])})
     area, held, i, j = 0.0, [], 0, 0
     for left, right in zip(xs, xs[1:], strict=False):
         while j < len(ends) and ends[j][0] <= left:
-            at = bisect_left(held, ends[j][1:])
-            if at < len(held) and held[at] == ends[j][1:]:
-                del held[at]
+            del held[bisect_left(held, ends[j][1:])]
             j += 1
         while i < len(begins) and begins[i][0] <= left:
-            if begins[i][2] > left:
-                insort(held, (begins[i][1], begins[i][3]))
+            insort(held, (begins[i][1], begins[i][3]))
             i += 1
         low = high = None
         for y0, y1 in held:
@@ -288,7 +286,7 @@ def union_area(boxes: DataFrame, key: str) -> DataFrame:
                         keys.append(now)
                         areas.append(_covered(held))
                     now, held, seen = row[0], [], True
-                if not any(v is None or v != v for v in row[1:]) and row[1] <= row[3]:
+                if not any(v is None or v != v for v in row[1:]):
                     held.append(row[1:])
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(areas, pa.float64())], [key, "area"])
         if seen:
