@@ -1,11 +1,9 @@
 """Exact decimal numbers of up to 171 digits before the point and 90 after it as column expressions.
 
-A number is an array of 29 limbs of base 10^9, the most significant first; the last ten are the
-fraction, so that all numbers have 90 decimal places. All limbs but the first lie between 0 and 10^9 - 1;
-the first has the sign (the number is the sum of limbs times powers, so -1 is [-1, 0, ...] at its limb and
-what the carries make of it). Arrays are therefore in the numbers' order: <, least and greatest compare
-numbers. Every operation is one pass over the limbs and one carry from right to left, in Spark's own
-higher-order functions; nothing is a binary float and nothing leaves the JVM.
+A number is 112 bytes: the integer number * 10^90 plus 2^895, the highest byte first. Bytes are compared
+from the left and unsigned, so they are in the numbers' order: <, least and greatest compare numbers.
+Operations are small functions of integers over Arrow batches; conditions on texts and exponents stay
+in Spark's own expressions. Nothing is a binary float.
 
 Texts have at most 80 digits, 30 of them after the point; anything else is null. Null goes through all
 operations. What has more than 90 places or 171 digits before the point can't be held: ``product`` says
@@ -14,41 +12,59 @@ so by null, the others can't reach it from such texts by adding up and shifting
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Limits of a text, and the names of the rounding modes.
 DIGITS, PLACES, WORK_PLACES = 80, 30, 90
 ROUNDINGS = ("half_up", "half_even", "toward_zero")
-_BASE, _WHOLE, _FRACTION = 10**9, 19, 10
-_SIZE = _WHOLE + _FRACTION
+_WHOLE = 171
+_BYTES = 112
+_ZERO = 1 << (8 * _BYTES - 1)
+_LIMIT = 10 ** (_WHOLE + WORK_PLACES)
+_TENS = [10**k for k in range(WORK_PLACES + 1)]
+
+
+def _read(number: bytes) -> int:
+    return int.from_bytes(number, "big") - _ZERO
+
+
+def _held(v: int | None) -> bytes | None:
+    return (v + _ZERO).to_bytes(_BYTES, "big") if v is not None and -_LIMIT < v < _LIMIT else None
+
+
+_KINDS = {"binary": (T.BinaryType(), pa.binary()), "string": (T.StringType(), pa.string()), "int": (T.IntegerType(), pa.int32())}
+
+
+def _each(kind: str, f: Callable) -> Callable:
+    """A column function that gives f of each row's value, null for null."""
+    spark_type, out = _KINDS[kind]
 
+    @F.arrow_udf(spark_type)
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(v) for v in x.to_pylist()], out)
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+    return run
 
 
-def _carried(limbs: Column) -> Column:
-    """The limbs with all but the first between 0 and 10^9 - 1."""
-    step = lambda s, x: F.struct(
-        F.floor((s["c"] + x) / F.lit(_BASE).cast("decimal(10,0)")).cast("long").alias("c"),
-        F.concat(F.array(F.pmod(s["c"] + x, F.lit(_BASE))), s["out"]).alias("out"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<bigint>").alias("out"))
-    # what goes over the first limb is its sign
-    return F.aggregate(F.reverse(limbs), start, step, lambda s: F.concat(F.array(s["c"] * _BASE + s["out"][0]), F.slice(s["out"], 2, _SIZE * 2)))
+def _both(f: Callable) -> Callable:
+    """A column function that gives the number f of each row's two values, null if one is null."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if v is None or w is None else f(v, w) for v, w in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.binary())
+
+    return run
 
 
 def literal(text: str) -> Column:
     """A number of the program; raises ValueError if the text is none."""
     digits, places = coefficient(text)
-    x = digits * 10 ** (WORK_PLACES - places)
-    limbs = []
-    for _ in range(_SIZE - 1):
-        x, low = divmod(x, _BASE)
-        limbs.append(low)
-    return F.expr("array(" + ", ".join(f"{v}L" for v in [x, *reversed(limbs)]) + ")")
+    return F.lit(_held(digits * _TENS[WORK_PLACES - places]))
 
 
 def coefficient(text: str) -> tuple[int, int]:
@@ -69,129 +85,99 @@ def coefficient(text: str) -> tuple[int, int]:
     return (-digits if sign == "-" else digits), places if digits else 0
 
 
+def _parsed(text: str) -> bytes:
+    whole, _, fraction = text.partition(".")
+    return _held(int(whole + fraction) * _TENS[WORK_PLACES - len(fraction)])
+
+
+def _shown(number: bytes) -> str:
+    v = _read(number)
+    whole, rest = divmod(abs(v), _TENS[WORK_PLACES])
+    shown = f"{whole}.{rest:0{WORK_PLACES}d}".rstrip("0") if rest else str(whole)
+    return "-" + shown if v < 0 else shown
+
+
+def _moved(number: bytes, places: int) -> bytes | None:
+    v = _read(number)
+    if places >= 0:
+        return _held(v * _TENS[places])
+    moved = abs(v) // _TENS[-places]
+    return _held(-moved if v < 0 else moved)
+
+
+_number, _text = _each("binary", _parsed), _each("string", _shown)
+_negated, _absolute = _each("binary", lambda x: _held(-_read(x))), _each("binary", lambda x: _held(abs(_read(x))))
+_sum, _difference, _shift = _both(lambda x, y: _held(_read(x) + _read(y))), _both(lambda x, y: _held(_read(x) - _read(y))), _both(_moved)
+_places = _each("int", lambda x: len(_shown(x).partition(".")[2]))
+
+
 def number(text: Column) -> Column:
     """The number of a text of digits with an optional sign and point; null for any other text or one beyond the limits."""
     whole, fraction = F.regexp_extract(text, r"^[+-]?([0-9]+)", 1), F.regexp_extract(text, r"[.]([0-9]+)$", 1)
-    padded = F.concat(F.lpad(whole, 9 * _WHOLE, "0"), F.rpad(fraction, 9 * _FRACTION, "0"))
-    limbs = _let(padded, lambda p: F.transform(F.sequence(F.lit(0), F.lit(_SIZE - 1)), lambda i: F.substring(p, i * 9 + 1, F.lit(9)).cast("long")))
     fine = text.rlike(r"\A[+-]?[0-9]+(?:[.][0-9]+)?\z") & (F.length(text) <= DIGITS + 3) & (F.length(whole) + F.length(fraction) <= DIGITS) & (F.length(fraction) <= PLACES)
-    return F.when(fine, F.when(F.startswith(text, F.lit("-")), negated(limbs)).otherwise(limbs))
+    return _number(F.when(fine, text))
 
 
 def text(x: Column) -> Column:
     """The shortest text: no leading or trailing zeros, no point without places, no sign of zero."""
-
-    def plain(limbs: Column) -> Column:
-        digits = F.array_join(F.transform(limbs, lambda v: F.lpad(v.cast("string"), 9, "0")), "")
-        return _let(digits, lambda d: F.concat(F.regexp_replace(F.substring(d, 1, 9 * _WHOLE), r"^0+(?=\d)", ""), F.regexp_replace(F.concat(F.lit("."), F.substring(d, 9 * _WHOLE + 1, 9 * _FRACTION)), r"\.?0+$", "")))
-
-    return _let(x, lambda v: F.concat(F.when(v[0] < 0, "-").otherwise(""), plain(absolute(v))))
+    return _text(x)
 
 
 def negated(x: Column) -> Column:
-    return _carried(F.transform(x, lambda v: -v))
+    return _negated(x)
 
 
 def add(x: Column, y: Column) -> Column:
-    return _carried(F.zip_with(x, y, lambda a, b: a + b))
+    return _sum(x, y)
 
 
 def subtract(x: Column, y: Column) -> Column:
-    return _carried(F.zip_with(x, y, lambda a, b: a - b))
+    return _difference(x, y)
 
 
 def absolute(x: Column) -> Column:
-    return F.when(x[0] < 0, negated(x)).otherwise(x)
-
-
-def _signed(x: Column, body) -> Column:
-    """body of the absolute number, with the number's sign."""
-    return _let(x, lambda v: _let(body(absolute(v)), lambda r: F.when(v[0] < 0, negated(r)).otherwise(r)))
+    return _absolute(x)
 
 
 def scientific(text: Column) -> Column:
     """The number of a text that may have an exponent of at most 30 either way; null for any other text."""
     exponent = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1)
     plain = number(F.regexp_replace(text, r"[eE][+-]?[0-9]+$", ""))
-    return F.when(F.length(exponent) <= 3, shifted(plain, F.when(exponent == "", 0).otherwise(exponent.try_cast("int"))))
-
-
-def _moved(limbs: Column, places: Column) -> Column:
-    """Limbs (none negative) times 10^places: by whole limbs, and by at most eight places within them."""
-
-    def within(p: Column) -> Column:
-        q, r = F.floor(p / 9).cast("int"), F.pmod(p, F.lit(9)).cast("int")
-        grown = _carried(F.concat(F.array_repeat(F.lit(0).cast("long"), 2), F.transform(limbs, lambda v: v * F.element_at(_TENS(), r + 1))))
-        # two limbs more on the left: q limbs to the left drop zeros there, to the right places that are zeros
-        return F.when(q >= 0, F.concat(F.slice(grown, q + 3, F.greatest(_SIZE - q, F.lit(1))), F.array_repeat(F.lit(0).cast("long"), q))).otherwise(
-            F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), -q), grown), F.lit(3), F.lit(_SIZE))
-        )
-
-    return _let(places.cast("int"), within)
-
-
-def _TENS() -> Column:
-    return F.expr("array(" + ", ".join(f"{10**k}L" for k in range(9)) + ")")
+    return shifted(plain, F.when(F.length(exponent) <= 3, F.when(exponent == "", 0).otherwise(exponent.try_cast("int"))))
 
 
 def shifted(x: Column, exponent: Column) -> Column:
     """x times 10^exponent, for exponents from -30 to 30 (others: null) and numbers of at most 60 places."""
-    return F.when(F.abs(exponent) <= 30, _signed(x, lambda v: _moved(v, exponent)))
+    return _shift(x, F.when(F.abs(exponent) <= 30, exponent.cast("int")))
 
 
 def places(x: Column) -> Column:
     """The number of decimal places without trailing zeros."""
-    shown = text(x)
-    return _let(shown, lambda s: F.when(s.contains("."), F.length(s) - F.instr(s, ".")).otherwise(0))
-
-
-def _times(n: int):
-    return lambda a: a * n
+    return _places(x)
 
 
 def product(x: Column, factor: str) -> Column:
     """x times a number of the program; null if the result has more than 90 places."""
     digits, point = coefficient(factor)
-    parts, n = [], abs(digits)
-    while n:
-        n, low = divmod(n, _BASE)
-        parts.insert(0, low)
-    parts = parts or [0]
-
-    def body(v: Column) -> Column:
-        # long multiplication from the left, with room for the factor's limbs
-        zeros = lambda k: F.array_repeat(F.lit(0).cast("long"), k)
-        room = len(parts)
-        wide = F.concat(zeros(room), v) if room else v
-        out = _carried(F.transform(wide, lambda a: a * parts[0]))
-        for part in parts[1:]:
-            moved = F.concat(F.slice(out, 2, _SIZE + room), zeros(1))
-            out = _carried(F.zip_with(moved, F.transform(wide, _times(part)), lambda a, b: a + b))
-        q = -(-point // 9)
-        grown = out if point == 9 * q else _carried(F.transform(out, lambda a: a * 10 ** (9 * q - point)))
-        return F.slice(F.concat(zeros(q), grown), room + 1, _SIZE) if q else F.slice(grown, room + 1, _SIZE)
-
-    result = _signed(x, body)
-    return F.when(places(x) + point <= WORK_PLACES, negated(result) if digits < 0 else result)
+
+    def times(number: bytes) -> bytes | None:
+        v, rest = divmod(_read(number), _TENS[point])
+        return None if rest else _held(v * digits)
+
+    return _each("binary", times)(x)
 
 
 def rounded(x: Column, scale: int, mode: str) -> Column:
     """x with at most ``scale`` places (0 to 30): half_up and half_even by the absolute number, or toward_zero."""
     if mode not in ROUNDINGS or not 0 <= scale <= PLACES:
         raise ValueError(f"rounding to {scale} places, {mode}")
-    at, keep = _WHOLE + scale // 9, scale % 9  # the limb in which the kept places end
-    unit = 10 ** (9 - keep)
-
-    def body(v: Column) -> Column:
-        limb = v[at]
-        rest = F.pmod(limb, F.lit(unit))
-        cut = F.concat(F.slice(v, 1, at), F.array(limb - rest), F.array_repeat(F.lit(0).cast("long"), _SIZE - at - 1))
-        if mode == "toward_zero":
-            return cut
-        half, behind = F.lit(unit // 2), F.exists(F.slice(v, at + 2, _SIZE), lambda y: y != 0)
-        tie = (rest == half) & ~behind
-        odd = (F.pmod(F.floor(limb / unit), F.lit(2)) if keep else F.pmod(v[at - 1], F.lit(2))) == 1
-        up = (rest > half) | ((rest == half) & behind) | (tie if mode == "half_up" else tie & odd)
-        return F.when(up, _carried(F.concat(F.slice(cut, 1, at), F.array(cut[at] + unit), F.slice(cut, at + 2, _SIZE)))).otherwise(cut)
-
-    return _signed(x, body)
+    unit = _TENS[WORK_PLACES - scale]
+
+    def to_unit(number: bytes) -> bytes | None:
+        v = _read(number)
+        kept, rest = divmod(abs(v), unit)
+        if mode != "toward_zero" and (2 * rest > unit or (2 * rest == unit and (mode == "half_up" or kept % 2))):
+            kept += 1
+        return _held(-kept * unit if v < 0 else kept * unit)
+
+    return _each("binary", to_unit)(x)
