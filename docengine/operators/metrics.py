@@ -296,35 +296,58 @@ def union_area(boxes: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(swept, f"{key} {dict(boxes.dtypes)[key]}, area double")
 
 
+def _in_order(rows: DataFrame, key: str, order: str, size: str, begun: Callable) -> DataFrame:
+    """rows with ``_made``: what the function that begun() gives for a key says to each of its sizes in order; null for a null size.
+
+    A task goes over its sorted keys in one pass and holds one batch, whatever the keys' number or length.
+    """
+
+    def run(batches):
+        now, step, seen = None, None, False
+        for batch in batches:
+            made = []
+            for k, n in zip(batch.column(key).to_pylist(), batch.column(size).to_pylist(), strict=True):
+                if not seen or k != now:
+                    now, step, seen = k, begun(), True
+                made.append(None if n is None else step(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int32())], [*batch.schema.names, "_made"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.repartition(key).sortWithinPartitions(F.col(key), F.asc_nulls_last(order)).mapInArrow(run, f"{fields}, _made int")
+
+
 def packed(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """Greedy chunks of each key's rows in order, at most ``budget`` bytes each; larger rows are dropped whole (chunk null)."""
 
-    def fill(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(order)
-        chunk, used, out = 0, 0, []
-        for n in batch[size]:
+    def begun():
+        chunk, used = 0, 0
+
+        def step(n):
+            nonlocal chunk, used
             if n > budget:
-                out.append(None)
-                continue
+                return None
             if used + n > budget:
                 chunk, used = chunk + 1, 0
             used += n
-            out.append(chunk)
-        return batch.assign(chunk=pd.array(out, dtype="Int32"))
+            return chunk
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.groupBy(key).applyInPandas(fill, f"{fields}, chunk int")
+        return step
+
+    return _in_order(rows, key, order, size, begun).withColumnRenamed("_made", "chunk")
 
 
 def admitted(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
     """The rows of each key admitted in order while they fit; one that doesn't is skipped and later ones may still fit."""
 
-    def choose(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(order)
-        left, keep = budget, []
-        for n in batch[size]:
-            keep.append(n <= left)
-            left -= n if n <= left else 0
-        return batch[keep]
+    def begun():
+        left = budget
+
+        def step(n):
+            nonlocal left
+            fits = n <= left
+            left -= n if fits else 0
+            return int(fits)
+
+        return step
 
-    return rows.groupBy(key).applyInPandas(choose, rows.schema)
+    return _in_order(rows, key, order, size, begun).filter("_made = 1").drop("_made")
