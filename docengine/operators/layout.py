@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.session import dealt
+
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
@@ -53,18 +55,25 @@ def owners(items: DataFrame, regions: DataFrame, page: str, key: str, share: flo
     return items.join(best.select(page, key, F.col("r_region").alias("region")), [page, key], "left")
 
 
+def _with_cells(items: DataFrame, cells: DataFrame, page: str) -> DataFrame:
+    """Each item with the cells (c_...) of its page; cells without a page are one form, a few rows, that all pages share."""
+    cells = _prefixed(cells, "c_", page)
+    return items.join(cells, page) if page in cells.columns else items.crossJoin(F.broadcast(cells))
+
+
 def cells_of(items: DataFrame, cells: DataFrame, page: str, key: str) -> DataFrame:
-    """(page, key, cell): the first cell that holds an item's centre; every item is used once."""
+    """(page, key, cell): the first cell that holds an item's centre; repeated items count once."""
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    both = items.join(_prefixed(cells, "c_", page), page).filter((x >= F.col("c_x0")) & (x < F.col("c_x1")) & (y >= F.col("c_y0")) & (y < F.col("c_y1")))
-    return both.groupBy(page, key).agg(F.min("c_cell").alias("cell"))
+    both = _with_cells(items, cells, page).filter((x >= F.col("c_x0")) & (x < F.col("c_x1")) & (y >= F.col("c_y0")) & (y < F.col("c_y1")))
+    return dealt(both.select(page, key, "c_cell"), page, key).groupBy(page, key).agg(F.min("c_cell").alias("cell"))
 
 
 def association(items: DataFrame, cells: DataFrame, page: str, key: str) -> DataFrame:
-    """How an item's box relates to the cells it touches (a tenth at least): cell, row or ambiguous, else none."""
-    both = items.join(_prefixed(cells, "c_", page), page).withColumn("part", F.try_divide(intersection(box(), box("c_")), area(box()))).filter("part >= 0.1")
-    g = both.groupBy(page, key).agg(F.count("*").alias("n"), F.max("part").alias("best"), F.sum("part").alias("total"), F.countDistinct("c_row").alias("rows"))
-    kind = F.when((F.col("n") == 1) & (F.col("best") >= 0.8), "cell").when((F.col("n") > 1) & (F.col("rows") == 1) & (F.col("total") >= 0.8), "row").otherwise("ambiguous")
+    """How an item's box relates to the cells it touches (a tenth at least): cell, row or ambiguous, else none; repeated items count once."""
+    items = dealt(items, page, key).distinct()
+    both = _with_cells(items, cells, page).withColumn("part", F.try_divide(intersection(box(), box("c_")), area(box()))).filter("part >= 0.1")
+    g = both.groupBy(page, key).agg(F.count("*").alias("n"), F.max("part").alias("best"), F.sum("part").alias("total"), F.min("c_row").alias("first"), F.max("c_row").alias("last"))
+    kind = F.when((F.col("n") == 1) & (F.col("best") >= 0.8), "cell").when((F.col("n") > 1) & (F.col("first") == F.col("last")) & (F.col("total") >= 0.8), "row").otherwise("ambiguous")
     return items.select(page, key).join(g.select(page, key, kind.alias("link")), [page, key], "left").fillna("none", ["link"])
 
 

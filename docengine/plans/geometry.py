@@ -20,10 +20,15 @@ _X = "(greatest(least({0}.x1, {1}.x1) - greatest({0}.x0, {1}.x0), 0) * greatest(
 _AREA = "(({0}.x1 - {0}.x0) * ({0}.y1 - {0}.y0))"
 
 
-def items(s, d):
+def lines(s, d):
+    """Lines as items of a page for each order, repeated ones too."""
     li = table(s, d, "lineitem")
     x, v = F.col("l_discount") * 5, F.col("l_tax") * 10
-    return li.select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("id"), x.alias("x0"), v.alias("y0"), (x + 0.3).alias("x1"), (v + 0.2).alias("y1"), F.col("l_linenumber").alias("line")).distinct()
+    return li.select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("id"), x.alias("x0"), v.alias("y0"), (x + 0.3).alias("x1"), (v + 0.2).alias("y1"), F.col("l_linenumber").alias("line"))
+
+
+def items(s, d):
+    return lines(s, d).distinct()
 
 
 def regions(s, d):
@@ -33,10 +38,9 @@ def regions(s, d):
 
 
 def cells(s, d):
-    pages = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page")).distinct()
-    grid = pages.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    """The form of 16 cells that all pages share."""
     c, r = F.col("cell") % 4 * 0.25, F.expr("cell div 4") * 0.25
-    return grid.select("page", "cell", F.expr("cell div 4").alias("row"), c.alias("x0"), r.alias("y0"), (c + 0.25).alias("x1"), (r + 0.25).alias("y1"))
+    return s.range(16).select(F.col("id").alias("cell"), F.expr("id div 4").alias("row")).select("cell", "row", c.alias("x0"), r.alias("y0"), (c + 0.25).alias("x1"), (r + 0.25).alias("y1"))
 
 
 def add(name: str, run, sql: str) -> None:
@@ -48,8 +52,8 @@ add("J24_same_ink", lambda s, d: y.same_ink(items(s, d), "page", "id", 0.51), f"
 add("D36_layout_conflicts", lambda s, d: y.conflicting(items(s, d), "page", "id", 0.51).select("page", "id", "line"), f"WITH {_I} SELECT page, id, line FROM i WHERE EXISTS (SELECT 1 FROM i a JOIN i o ON o.page = a.page AND o.id <> a.id WHERE a.page = i.page AND a.id = i.id AND {_X.format('a', 'o')} / least({_AREA.format('a')}, {_AREA.format('o')}) >= 0.51)")
 add("J26_owners", lambda s, d: y.owners(items(s, d), regions(s, d), "page", "id", 0.66).select("page", "id", "line", "region"), f"""WITH {_I}, {_R}, b AS (SELECT i.page, i.id, region, row_number() OVER (PARTITION BY i.page, i.id ORDER BY abstains DESC, round({_X.format('i', 'r')} / {_AREA.format('i')}, 9) DESC, region) AS k FROM i JOIN r ON r.page = i.page WHERE {_X.format('i', 'r')} / {_AREA.format('i')} >= 0.66)
   SELECT i.page, i.id, line, region FROM i LEFT JOIN b ON b.page = i.page AND b.id = i.id AND k = 1""")
-add("J27_cells", lambda s, d: y.cells_of(items(s, d), cells(s, d), "page", "id"), f"WITH {_I}, {_C} SELECT i.page, id, min(cell) AS cell FROM i JOIN c ON c.page = i.page AND (i.x0 + i.x1) / 2 >= c.x0 AND (i.x0 + i.x1) / 2 < c.x1 AND (i.y0 + i.y1) / 2 >= c.y0 AND (i.y0 + i.y1) / 2 < c.y1 GROUP BY ALL")
-add("J25_association", lambda s, d: y.association(items(s, d), cells(s, d), "page", "id"), f"""WITH {_I}, {_C}, b AS (SELECT i.page, i.id, {_X.format('i', 'c')} / {_AREA.format('i')} AS part, c."row" AS rw FROM i JOIN c ON c.page = i.page), g AS (SELECT page, id, count(*) AS n, max(part) AS best, sum(part) AS total, count(DISTINCT rw) AS nr FROM b WHERE part >= 0.1 GROUP BY ALL)
+add("J27_cells", lambda s, d: y.cells_of(lines(s, d), cells(s, d), "page", "id"), f"WITH {_I}, {_C} SELECT i.page, id, min(cell) AS cell FROM i JOIN c ON c.page = i.page AND (i.x0 + i.x1) / 2 >= c.x0 AND (i.x0 + i.x1) / 2 < c.x1 AND (i.y0 + i.y1) / 2 >= c.y0 AND (i.y0 + i.y1) / 2 < c.y1 GROUP BY ALL")
+add("J25_association", lambda s, d: y.association(lines(s, d), cells(s, d), "page", "id"), f"""WITH {_I}, {_C}, b AS (SELECT i.page, i.id, {_X.format('i', 'c')} / {_AREA.format('i')} AS part, c."row" AS rw FROM i JOIN c ON c.page = i.page), g AS (SELECT page, id, count(*) AS n, max(part) AS best, sum(part) AS total, count(DISTINCT rw) AS nr FROM b WHERE part >= 0.1 GROUP BY ALL)
   SELECT i.page, i.id, coalesce(CASE WHEN n = 1 AND best >= 0.8 THEN 'cell' WHEN n > 1 AND nr = 1 AND total >= 0.8 THEN 'row' WHEN n IS NOT NULL THEN 'ambiguous' END, 'none') AS link FROM i LEFT JOIN g USING (page, id)""")
 
 
