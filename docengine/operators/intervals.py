@@ -25,6 +25,9 @@ def _day(date: Column) -> Column:
     return F.when(date.isNotNull(), F.least(F.greatest(F.unix_date(date) + _ZERO, F.lit(0)), F.lit(LAST)))
 
 
+_DAY = f"least(greatest(unix_date(`{{}}`) + {_ZERO}, 0), {LAST})"
+
+
 def nodes(begin: Column, end: Column) -> Column:
     """The nodes of the period from begin to end (both included; no end: for ever), empty for no period."""
     a, b = _day(begin), F.coalesce(_day(end), F.lit(LAST))
@@ -56,16 +59,34 @@ def path(day: Column, longest: int = LEVELS) -> Column:
     return F.when(day.isNotNull(), found).otherwise(F.array().cast("array<bigint>"))
 
 
+def _listed(periods: DataFrame, begin: str, end: str, low: int, high: int) -> DataFrame:
+    """Each period's row once for each of its nodes (_node) as ``nodes`` names them, of the period's part between the days low and high.
+
+    The same as exploding ``nodes``, as plain columns that Spark compiles.
+    """
+    proper = F.col(begin).isNotNull() & F.coalesce(F.col(begin) <= F.col(end), F.lit(True))
+    df = periods.filter(proper).withColumns({"_a": F.greatest(_day(F.col(begin)), F.lit(low)), "_b": F.least(F.coalesce(_day(F.col(end)), F.lit(LAST)), F.lit(high))}).filter("_a <= _b")
+    df = df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("_b") - F.col("_a") + 1.5)).cast("int"))))
+    df = df.withColumn("_size", F.expr("shiftleft(1, _level)"))
+    df = df.withColumns({"_first": F.expr("(_a + _size - 1) div _size"), "_last": F.expr("(_b + 1) div _size - 1")}).filter("_first <= _last")
+    df = df.withColumn("_at", F.explode(F.expr("if(_first = _last, array(_first), array(_first, _last))")))
+    df = df.filter("_at div 2 * 2 * _size < _a or (_at div 2 * 2 + 2) * _size - 1 > _b")
+    return df.withColumn("_node", F.expr("shiftleft(cast(_level as bigint), 32) + _at")).drop("_a", "_b", "_level", "_size", "_first", "_last", "_at")
+
+
 def holding(days: DataFrame, day: str, periods: DataFrame, begin: str, end: str, keys: list[str]) -> DataFrame:
     """Each row of days with each row of periods of equal keys whose period holds its day.
 
-    Names other than the keys must differ. One aggregate finds the longest period, which bounds the path.
+    Names other than the keys must differ. One aggregate finds the first and the last day that is asked for;
+    what lies outside has no nodes, and an open period ends there.
     """
-    listed = periods.withColumn("_node", F.explode(nodes(F.col(begin), F.col(end))))
-    longest = listed.agg(F.max(F.shiftright("_node", 32))).first()[0]
-    if longest is None:
-        longest = 0
-    return days.withColumn("_node", F.explode(path(F.col(day), longest))).join(listed, [*keys, "_node"]).drop("_node")
+    low, high = days.agg(F.min(_day(F.col(day))), F.max(_day(F.col(day)))).first()
+    if low is None:
+        low, high = 0, -1
+    longest = max(high - low + 1, 1).bit_length() - 1
+    asked = days.filter(F.col(day).isNotNull()).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(longest))))
+    asked = asked.withColumn("_node", F.shiftleft(F.col("_level").cast("long"), 32) + F.expr(f"shiftright({_DAY.format(day)}, _level)")).drop("_level")
+    return asked.join(_listed(periods, begin, end, low, high), [*keys, "_node"]).drop("_node")
 
 
 def overlapping(left: DataFrame, begin: str, end: str, right: DataFrame, other_begin: str, other_end: str, keys: list[str]) -> DataFrame:
