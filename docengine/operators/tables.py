@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.session import cut
+
 BOX = ["x0", "y0", "x1", "y1"]
 
 
@@ -71,9 +73,13 @@ def revision_tables(blocks: DataFrame, most_blocks: int = 200, most_marks: int =
     """
     middle = {x: (F.col(f"b.{x}0") + F.col(f"b.{x}1")) / 2 for x in "xy"}
     word = F.lower(F.col("b.text"))
-    n = F.count("*").over(Window.partitionBy("page"))
-    every = blocks.withColumn("n", n).filter(F.col("n") <= most_blocks).filter("usable and length(trim(text)) between 1 and 600")
-    every = every.select("page", F.struct("id", F.trim("text").alias("text"), *BOX).alias("b"))
+    fine = F.col("usable") & F.length(F.trim("text")).between(1, 600)
+    # few pages have each header and a mark, the first two once; only they go on
+    plain = F.lower(F.trim("text"))
+    counts = {k: F.count_if(fine & (plain == w)) for k, w in (HEADERS | {"mark": REPLACED}).items()}
+    pages = blocks.groupBy("page").agg(F.count("*").alias("n"), *[c.alias(f"n_{k}") for k, c in counts.items()])
+    pages = pages.filter((F.col("n") <= most_blocks) & (F.col("n_permission") == 1) & (F.col("n_change") == 1) & (F.col("n_sheet") > 0) & (F.col("n_content") > 0) & (F.col("n_mark") > 0))
+    every = cut(blocks.filter(fine).join(pages.select("page"), "page", "left_semi").select("page", F.struct("id", F.trim("text").alias("text"), *BOX).alias("b")))
 
     def only(source: DataFrame, found: dict[str, Column]) -> DataFrame:
         """The pages where each condition holds for one block, and these blocks."""

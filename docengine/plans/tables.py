@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docengine import adapters as a
 from docengine.operators import tables as t
-from docengine.session import table
+from docengine.session import dealt, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -73,7 +73,7 @@ _COL = "{0}.x0 >= {1}.x0 - 0.015 AND {0}.x1 <= {1}.x1 + 0.015"
   UNION ALL SELECT DISTINCT body.page, 'revision_label', body.id FROM body JOIN ch USING (page) JOIN re USING (page) WHERE regexp_full_match(body.w, '[0-9]{{1,4}}') AND {_COL.format('body', 'ch')} AND {_ROW.format('body', 're')}
   UNION ALL SELECT page, 'number', id FROM nu WHERE page IN (SELECT page FROM re)""")
 def d21(s, d):
-    return t.revision_tables(s.sql(_STAMP.replace("FROM lineitem", "FROM {lines}"), lines=table(s, d, "lineitem")))
+    return t.revision_tables(s.sql(_STAMP.replace("FROM lineitem", "FROM {lines}"), lines=dealt(table(s, d, "lineitem"), "l_orderkey")))
 
 
 _TURN = {"x0": "CASE k WHEN 0 THEN a WHEN 1 THEN 600.0 - f WHEN 2 THEN 600.0 - e ELSE b END / 600.0", "y0": "CASE k WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN 800.0 - f ELSE 800.0 - e END / 800.0",
