@@ -6,6 +6,7 @@ import math
 from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -158,17 +159,18 @@ def iou_pairs(left: DataFrame, right: DataFrame, page: str, at_least: float = 0.
 def first_fit(pairs: DataFrame, page: str) -> DataFrame:
     """One-to-one pairs (n, m) of each page: every n in order takes its first m that is still free."""
 
-    def take(batch: pd.DataFrame) -> pd.DataFrame:
-        used, done, keep = set(), set(), []
-        batch = batch.sort_values(["n", "m"])
-        for i, o in zip(batch["n"], batch["m"], strict=True):
-            keep.append(i not in done and o not in used)
-            if keep[-1]:
-                done.add(i)
+    def take(batch: pa.Table) -> pa.Table:
+        n, m = (batch[c].to_numpy() for c in ("n", "m"))
+        order = np.lexsort((m, n))
+        used, last, keep = set(), None, []
+        for k, i, o in zip(order.tolist(), n[order].tolist(), m[order].tolist(), strict=True):
+            if i != last and o not in used:  # the n come in order
+                last = i
                 used.add(o)
-        return batch[keep]
+                keep.append(k)
+        return batch.take(pa.array(keep, pa.int64()))
 
-    return pairs.groupBy(page).applyInPandas(take, pairs.schema)
+    return pairs.groupBy(page).applyInArrow(take, pairs.schema)
 
 
 #: The generator's factor, increment and modulus.

@@ -250,10 +250,13 @@ def boxes(s, d):
     return li.select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("status"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") / 100).alias("x1"), (y0 + 0.2).alias("y1"))
 
 
-def _near(s, d):
-    """Pairs of an expected and an actual box of a page with an IoU of 0.5."""
-    all_ = boxes(s, d).select("page", "status", "id", "x0", "y0", "x1", "y1")
-    actual = all_.filter("status = 'O'").select("page", F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
+def _near(s, d, numbered: bool = False):
+    """Pairs of an expected and an actual box of a page with an IoU of 0.5; numbered ones have their places on the page as n and m."""
+    corners = ("x0", "y0", "x1", "y1")
+    all_ = boxes(s, d).select("page", "status", "id", *corners)
+    if numbered:
+        all_ = all_.withColumn("n", F.dense_rank().over(Window.partitionBy("page").orderBy("id", *corners)))
+    actual = all_.filter("status = 'O'").select("page", F.col("id").alias("other"), *[F.col(c).alias(f"o{c}") for c in corners], *([F.col("n").alias("m")] if numbered else []))
     return m.iou_pairs(all_.filter("status = 'F'").drop("status"), actual, "page", 0.5)
 
 
@@ -263,8 +266,8 @@ def j23(s, d):
 
 def j23_matched(s, d):
     """The pairs of _near, matched one to one."""
-    # ids repeat, so the boxes that have partners are numbered
-    pairs = _near(s, d).withColumn("n", F.dense_rank().over(Window.partitionBy("page").orderBy("id", "x0", "y0", "x1", "y1"))).withColumn("m", F.dense_rank().over(Window.partitionBy("page").orderBy("other", "ox0", "oy0", "ox1", "oy1")))
+    # ids repeat, so boxes are numbered; before they are paired, as there are more pairs
+    pairs = _near(s, d, numbered=True)
     return m.first_fit(pairs.select("page", "id", "other", "n", "m", "iou"), "page").select("page", "id", "other", F.round("iou", 6).alias("iou"))
 
 
