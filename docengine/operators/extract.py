@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions.text import decimal_input, enum_value, first_number, found_unit, normalised
 from docengine.operators.search import regex_values
+from docengine.session import dealt
 
 # Limits of a plan.
 MAX_ANCHORS, MAX_PATTERN, MAX_STEPS, MAX_WINDOW = 16, 400, 6, 12
@@ -101,15 +102,23 @@ def table_lookup(cells: DataFrame, table: str, any_of: Sequence[str], row_term:
     term anywhere in its joined text. The number is the rightmost separate one of the row, or of the
     columns whose first row names ``header``, or of the given column.
     """
-    text = normalised(F.col("text"))
-    named = lambda t: F.max(F.when(text.contains(normalised(F.lit(t))), 1).otherwise(0))
-    tables = cells.groupBy(table).agg(sum(map(named, any_of)).alias("score"), F.least(F.lit(1), F.lit(1), *map(named, all_of)).alias("all"))
-    tables = tables.filter((F.col("score") >= min_score) & (F.col("all") == 1)).select(table, "score")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " ")  # bounded by one row of a table
-    rows = cells.groupBy(table, "row").agg(joined.alias("line")).filter(normalised(F.col("line")).contains(normalised(F.lit(row_term)))).select(table, "row")
-    asked = cells if column is None else cells.filter(F.col("col") == column)
+    names = [*any_of, *all_of, *([] if header is None else [header])]
+    named = [F.coalesce(F.col("norm").contains(normalised(F.lit(x))), F.lit(False)).alias(f"f{i}") for i, x in enumerate(names)]
+    flagged = cells.filter(F.col(table).isNotNull() & F.col("row").isNotNull()).select(table, "row", "col", "text", normalised(F.col("text")).alias("norm")).select(table, "row", "col", "text", *named)
+    # dealt once by table; what follows is a row of a table, and what its table names in a window over its rows
+    heads = F.collect_set(F.when((F.col("row") == 0) & F.col(f"f{len(names) - 1}"), F.col("col"))) if header is not None else F.array()
+    found = [F.max(f"f{i}").alias(f"f{i}") for i in range(len(names))]
+    rows = dealt(flagged, table).groupBy(table, "row").agg(F.sort_array(F.collect_list(F.struct("col", "text"))).alias("cells"), heads.alias("heads"), *found)  # bounded by one row of a table
+    w = Window.partitionBy(table)
+    has = [F.max(f"f{i}").over(w).cast("int") for i in range(len(any_of) + len(all_of))]
+    score, every = sum(has[: len(any_of)], F.lit(0)), F.least(F.lit(1), F.lit(1), *has[len(any_of) :])
+    rows = rows.select(table, "row", "cells", score.alias("score"), every.alias("all"), F.flatten(F.collect_list("heads").over(w)).alias("heads") if header is not None else "heads")
+    rows = rows.filter((F.col("score") >= min_score) & (F.col("all") == 1)).filter(normalised(F.array_join("cells.text", " ")).contains(normalised(F.lit(row_term))))
+    asked = rows.select(table, "score", "row", "heads", F.explode("cells").alias("c")).select(table, "score", "row", "heads", "c.*")
+    if column is not None:
+        asked = asked.filter(F.col("col") == column)
     if header is not None:
-        asked = asked.join(cells.filter((F.col("row") == 0) & text.contains(normalised(F.lit(header)))).select(table, "col").distinct(), [table, "col"], "left_semi")
+        asked = asked.filter(F.array_contains("heads", F.col("col")))
     right = Window.partitionBy(table, "row").orderBy(F.desc("col"))
     numbers = asked.withColumn("value", strict_number(F.col("text")).cast("double")).filter("value is not null").withColumn("rank", F.row_number().over(right)).filter("rank = 1")
-    return numbers.join(rows, [table, "row"], "left_semi").join(tables, table).select(table, "score", "row", "value")
+    return numbers.select(table, "score", "row", "value")
