@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docengine.operators.identify import chains
 from docengine.session import cut
 
 SPAN = 32
 
 
+def _ancestors(links: DataFrame, limit: int) -> DataFrame:
+    """(id, path): the predecessors of each row, nearest first, where the chain ends within ``limit`` rows at a known id.
+
+    Every round joins each open path with that of its last row, so paths double; rows on a cycle, behind an unknown
+    id or behind more rows are left out.
+    """
+    p = F.col("predecessor_id")
+    state, reach = cut(links.select("id", F.when(p.isNull(), F.array().cast(T.ArrayType(links.schema["id"].dataType))).otherwise(F.array(p)).alias("path"), p.alias("jump"))), 1
+    while reach < limit:
+        far = state.select(F.col("id").alias("jump"), F.col("path").alias("more"), F.col("jump").alias("next"))
+        moved = state.filter("jump is not null").join(far, "jump").select("id", F.concat("path", "more").alias("path"), F.col("next").alias("jump"))
+        state = cut(state.filter("jump is null").unionByName(moved))
+        if state.filter("jump is not null").isEmpty():
+            break
+        reach *= 2
+    return state.filter((F.col("jump").isNull()) & (F.size("path") < limit)).select("id", "path")
+
+
 def sheet_sets(own: DataFrame, replaced: DataFrame, links: DataFrame, limit: int = 32) -> DataFrame:
     """(revision_id, label, owner): the sheets of each revision, its own and those it inherits.
 
     own and replaced hold (revision_id, label); links holds (id, predecessor_id). A revision
     inherits its predecessor's sheets but for the labels it replaces. It has no set without
     sheets of its own, if a label it replaces isn't inherited, if its predecessor has no set, on
-    a cycle, or behind ``limit`` revisions. Level k joins only the revisions with k predecessors.
+    a cycle, or behind ``limit`` revisions.
+
+    No level waits for the one before: each revision meets what all those behind it, ``limit`` at most, say of a label. A sheet
+    reaches it if no nearer revision replaces the label; a revision has a set if none of its chain is at fault.
     """
-    placed = cut(chains(links, limit - 1).filter("error is null").select("id", "depth").join(links, "id").select(F.col("id").alias("revision_id"), "predecessor_id", "depth"))
-    own = own.withColumn("owner", F.col("revision_id"))
-    deepest = placed.agg(F.max("depth")).first()[0]
-    levels = []
-    for k in range(0 if deepest is None else deepest + 1):
-        here = placed.filter(F.col("depth") == k).select("revision_id", "predecessor_id")
-        mine = own.join(here.select("revision_id"), "revision_id", "left_semi")
-        if k:
-            inherited = here.join(levels[-1].withColumnRenamed("revision_id", "predecessor_id"), "predecessor_id").select("revision_id", "label", "owner")
-            gone = replaced.join(here.select("revision_id"), "revision_id", "left_semi")
-            unknown = gone.join(inherited, ["revision_id", "label"], "left_anti").select("revision_id").distinct()
-            valid = mine.select("revision_id").distinct().join(inherited.select("revision_id").distinct(), "revision_id", "left_semi").join(unknown, "revision_id", "left_anti")
-            mine = inherited.join(gone, ["revision_id", "label"], "left_anti").unionByName(mine).join(valid, "revision_id", "left_semi")
-        levels.append(cut(mine.select("revision_id", "label", "owner")))
-    out = own.select("revision_id", "label", "owner").limit(0)
-    for level in levels:
-        out = out.unionByName(level)
-    return out
+    paths = cut(_ancestors(links, limit))
+    chain = paths.select(F.col("id").alias("revision_id"), F.posexplode(F.concat(F.array("id"), "path")).alias("distance", "from_id"))
+    said = own.select(F.col("revision_id").alias("from_id"), "label", F.lit(True).alias("has")).unionByName(replaced.select(F.col("revision_id").alias("from_id"), "label", F.lit(False).alias("has")).distinct())
+    w = Window.partitionBy("revision_id", "label")
+    at = F.col("distance")
+    met = chain.join(said, "from_id").select("revision_id", "label", "distance", "from_id", "has").withColumns({
+        "gone": F.min(F.when(~F.col("has"), at)).over(w),
+        "gone_before": F.min(F.when(~F.col("has") & (at > 0), at)).over(w),
+        "held_before": F.min(F.when(F.col("has") & (at > 0), at)).over(w),
+    })
+    met = cut(met)
+    inherited = F.col("held_before").isNotNull() & (F.col("gone_before").isNull() | (F.col("held_before") <= F.col("gone_before")))
+    unknown = met.filter((F.col("gone") == 0) & ~inherited).select("revision_id").join(paths.filter(F.size("path") > 0).select(F.col("id").alias("revision_id")), "revision_id", "left_semi")
+    bare = paths.select(F.col("id").alias("revision_id")).join(own, "revision_id", "left_anti")
+    at_fault = cut(unknown.unionByName(bare).distinct().withColumnRenamed("revision_id", "from_id"))
+    invalid = chain.join(at_fault, "from_id", "left_semi").select("revision_id").distinct()
+    sheets = met.filter(F.col("has") & (F.col("gone").isNull() | (at <= F.col("gone"))))
+    return sheets.join(invalid, "revision_id", "left_anti").select("revision_id", "label", F.col("from_id").alias("owner"))
 
 
 def confirmed_extractions(contexts: DataFrame, extractions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docengine import adapters as a
 from docengine.operators import sheets as h
 from docengine.plans.geometry import _I, items
-from docengine.session import table
+from docengine.session import cut, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -28,7 +28,7 @@ def add(name: str, sql: str):
     WHERE depth < 31 AND (n.gone IS NULL OR list_contains(list_transform(r.sheets, lambda x: x.label), n.gone)))
   SELECT revision_id, s.label AS label, s.owner AS owner FROM (SELECT id AS revision_id, unnest(sheets) AS s FROM r)""")
 def j17(s, d):
-    r = a.revisions(s, d)
+    r = cut(a.revisions(s, d).select("revision_id", "predecessor_id"))
     label = F.col("revision_id") % 4
     gone = r.filter("revision_id % 3 = 0 and predecessor_id is not null").select("revision_id", label.alias("label"))
     return h.sheet_sets(r.select("revision_id", label.alias("label")), gone, r.select(F.col("revision_id").alias("id"), "predecessor_id"))
