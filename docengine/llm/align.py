@@ -4,13 +4,13 @@ A is a byte-level BPE (a tokenizers JSON file), B a SentencePiece model. Both en
 that their tokens cover the same bytes. Offsets where a token of A and one of B both end cut the tokens
 into groups; tokens of one group are linked.
 
-Python only tokenises. Both tokenizers treat a text piece by piece: no token crosses a space between two
+Both tokenizers treat a text piece by piece: no token crosses a space between two
 characters that aren't white space (the vocabulary of B is checked for that; else texts are whole
 pieces). So the texts of a block of documents become a dictionary of distinct pieces, whose tokens are
-listed end to end, and for each document the numbers of its pieces. All that follows are higher-order
-functions: array_intersect of the two arrays of ends gives the cuts, a merge of cuts and ends by
-sort_array their places among the tokens, transform and slice the groups and links of the dictionary,
-and a document's groups and links are those of its pieces.
+listed end to end, and for each document the numbers of its pieces. Higher-order functions align the
+dictionary: array_intersect of the two arrays of ends gives the cuts, a merge of cuts and ends by
+sort_array their places among the tokens. A document's groups and links are those of its pieces; they
+are put together and summed a block at a time over Arrow arrays.
 
 Texts that are null or empty, or whose tokens of A or B don't join to space + text (such as texts with
 U+2581, which B reads as a space) have no tokens. Special tokens' strings are plain text. Texts are
@@ -25,9 +25,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -38,10 +40,13 @@ from docengine.llm.stored import stored
 from docengine.llm.words import lean
 
 SPACE = "▁"  # fixed value: what stands for a space in a piece of B
-KNOWN_PIECES = 1 << 18
+KNOWN_PIECES = 1 << 17
+BLOCK = 1 << 16  # bytes of texts; a block's arrays stay small enough for the JVM to drop them cheaply
+LEARNT = 1 << 12  # pieces tokenised at once
+ROWS = 64  # rows read as Python strings at once
 #: Groups of more pairs of tokens than this are counted by distinct ids first.
 WIDE = 64
-_ODD = re.compile(r"\A | \Z|\s | \s")  # spaces that don't stand between two other characters
+_ODD = re.compile(r" (?:(?=\s|\Z)|(?<=\s ))")  # spaces that don't stand between two other characters, but for a first one
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -68,6 +73,33 @@ class Plain(Vocabulary):
         run = self.by_bytes.encode_ordinary
         return [array("i", run(x)).tobytes() for x in texts]
 
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of space + piece, end to end, and how many each piece has."""
+        if self.by_bytes is not None and all(x and not x[0].isspace() and not x[-1].isspace() for x in pieces):
+            # no token crosses the spaces between the pieces, so they are encoded at once
+            ids = np.array(self.by_bytes.encode_ordinary(f" {' '.join(pieces)}"), np.int32)
+            ends = np.cumsum(self.length[ids], dtype=np.int64)
+            last = np.cumsum([1 + len(x.encode()) for x in pieces])
+            at = np.searchsorted(ends, last)
+            if len(pieces) and at[-1] < len(ends) and (ends[at] == last).all():
+                return ids, np.diff(at, prepend=-1)
+        own = self.encode_all([f" {x}" for x in pieces])
+        return np.frombuffer(b"".join(own), np.int32), np.array([len(x) // 4 for x in own], np.int64)
+
+
+class Numbers(dict):
+    """Numbers the keys that are asked for, in order."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _picked(first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the lists ``which`` end to end (list i lies from first[i] to first[i + 1]), and their lengths."""
+    n = first[which + 1] - first[which]
+    return np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
 
 class Both:
     """The two tokenizers, and the tokens of the pieces met so far."""
@@ -79,25 +111,43 @@ class Both:
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int32)
         self.piecewise = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in names)
-        self.known: dict[str, tuple[bytes, bytes]] = {}  # the ids of A and B, as int32 bytes
-        self.bad: set[str] = set()  # pieces that B doesn't give back
+        self.forget()
 
     def pieces(self, text: str) -> list[str]:
         """The text cut before single spaces; each piece stands for space + piece."""
         if not self.piecewise:
             return [text]
-        if _ODD.search(text):
+        if text[0] == " " or _ODD.search(text):
             first, *rest = _SPLIT.split(text)
             return [first, *(x[1:] for x in rest)]
         return text.split(" ")
 
-    def learn(self, pieces: list[str]) -> None:
-        new = [x for x in pieces if x not in self.known]
-        two = self.b.encode(new, num_threads=1)
-        self.known.update(zip(new, zip(self.a.encode_all([f" {x}" for x in new]), (array("i", b).tobytes() for b in two), strict=True), strict=True))
-        for x, b in zip(new, two, strict=True):
-            if self.given_back(b) != f" {x}":
-                self.bad.add(x)
+    def forget(self) -> None:
+        """Drops the pieces met so far: their numbers, and the ids and where each piece's begin, for A and B."""
+        self.known = Numbers()
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.first = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.bad: set[str] = set()  # pieces that B doesn't give back
+        self.a.known.clear()
+
+    def learn(self) -> None:
+        """The tokens of the pieces that have been numbered since."""
+        have = len(self.first[0]) - 1
+        new = list(islice(self.known, have, None))
+        for at in range(0, len(new), LEARNT):
+            part = new[at : at + LEARNT]
+            two = self.b.encode(part, num_threads=1)
+            flat = np.fromiter(chain.from_iterable(two), np.int32)
+            for i, (ids, sizes) in enumerate((self.a.encode_pieces(part), (flat, np.fromiter(map(len, two), np.int64, len(two))))):
+                self.ids[i] = np.concatenate([self.ids[i], ids])
+                self.first[i] = np.concatenate([self.first[i], self.first[i][-1] + np.cumsum(sizes)])
+            if b"".join(map(self.bytes_b.__getitem__, flat.tolist())) != "".join(f" {x}" for x in part).encode() or not self.same_ends(part, two):
+                self.bad.update(x for x, b in zip(part, two, strict=True) if self.given_back(b) != f" {x}")
+
+    def same_ends(self, pieces: list[str], ids: list[list[int]]) -> bool:
+        sizes = self.length_b[np.fromiter(chain.from_iterable(ids), np.int32)]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum([len(x) for x in ids])]
+        return bool((ends == np.cumsum([1 + len(x.encode()) for x in pieces])).all())
 
     def given_back(self, ids: list[int]) -> str | None:
         """The text of B's ids, null if it is none."""
@@ -106,33 +156,30 @@ class Both:
         except UnicodeDecodeError:
             return None
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.bad.clear()
-        self.a.known.clear()
+    def numbered(self, cut: list[list[str]]) -> np.ndarray:
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        self.learn()
+        return flat
 
-    def block(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[int]], list[np.ndarray]]:
-        """The dictionary (ids and ends of A and B, ends of pieces; ends begin with 0), each text's pieces in it, and its numbers of tokens."""
-        cut = [self.pieces(x) if x else [] for x in texts]
-        distinct = set().union(*cut)
-        if len(self.known) + len(distinct) > KNOWN_PIECES:
+    def block(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The dictionary (ids and ends of A and B, ends of pieces; ends begin with 0), the texts' pieces in it and where each text's end, and its numbers of tokens."""
+        if len(self.known) > KNOWN_PIECES:
             self.forget()
-        self.learn(list(distinct))
+        cut = [self.pieces(x) if x else [] for x in texts]
+        flat = self.numbered(cut)
         if self.bad:
             for i, own in enumerate(cut):
                 if not self.bad.isdisjoint(own):  # no tokens, unless what differs in one piece is made up for by another
-                    whole = [t for x in own for t in array("i", self.known[x][1])]
+                    whole = self.ids[1][_picked(self.first[1], np.array([self.known[x] for x in own]))[0]].tolist()
                     cut[i] = [texts[i]] if self.given_back(whole) == f" {texts[i]}" else []
-            self.learn(list({own[0] for own in cut if len(own) == 1}))
-        index: dict[str, int] = {}
-        orders = [[index.setdefault(x, len(index)) for x in own] for own in cut]
-        tokens = [self.known[x] for x in index]
-        a = np.frombuffer(b"".join(x for x, _ in tokens), np.int32)
-        b = np.frombuffer(b"".join(x for _, x in tokens), np.int32)
-        ends = [np.concatenate([[0], np.cumsum(n[ids], dtype=np.int64)]).astype(np.int32) for n, ids in ((self.a.length, a), (self.length_b, b))]
-        sizes = [np.array([len(x[i]) // 4 for x in tokens], np.int64) for i in (0, 1)]
-        last = np.concatenate([[0], np.cumsum(sizes[0])])
-        return [a, ends[0], b, ends[1], ends[0][last]], orders, [np.array([n[o].sum() for o in orders], np.int64) for n in sizes]
+            flat = self.numbered(cut)
+        used, order = np.unique(flat, return_inverse=True)
+        a, b = ((self.ids[i][at], n) for i in (0, 1) for at, n in [_picked(self.first[i], used)])
+        ends = [np.concatenate([[0], np.cumsum(n[ids], dtype=np.int64)]).astype(np.int32) for n, ids in ((self.a.length, a[0]), (self.length_b, b[0]))]
+        last = np.concatenate([[0], np.cumsum(a[1])])
+        offsets = np.cumsum([0, *map(len, cut)])
+        counts = [np.diff(np.concatenate([[0], np.cumsum(n[order])])[offsets]) for n in (a[1], b[1])]
+        return [a[0], ends[0], b[0], ends[1], ends[0][last]], order.astype(np.int32), offsets.astype(np.int32), counts
 
 
 @cache
@@ -140,8 +187,8 @@ def both(path_a: str, path_b: str) -> Both:
     return Both(path_a, path_b)
 
 
-def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
-    """A row a block: ids, orders (the documents' pieces), na and nb (their numbers of tokens), and the dictionary as a, ea, b, eb, eu."""
+def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+    """A row a block: ids, pieces (the documents', end to end), upto (where each document's end), na and nb (their numbers of tokens), and the dictionary as a, ea, b, eb, eu."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -149,15 +196,12 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
         own = both(path_a, path_b)
 
         def made(keys: list[pa.Array], texts: list[str]) -> pa.RecordBatch:
-            dictionary, orders, counts = own.block(texts)
-            ids = pa.concat_arrays(keys)
-            offsets = np.cumsum([0, *map(len, orders)]).astype(np.int32)
-            flat = np.fromiter((x for o in orders for x in o), np.int32, int(offsets[-1]))
+            dictionary, pieces, upto, counts = own.block(texts)
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([one(ids), one(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))), *(one(pa.array(x)) for x in (*counts, *dictionary))], ["ids", "orders", "na", "nb", "a", "ea", "b", "eb", "eu"])
+            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(keys)), *(one(pa.array(x)) for x in (pieces, upto, *counts, *dictionary))], ["ids", "pieces", "upto", "na", "nb", "a", "ea", "b", "eb", "eu"])
 
         keys, texts, held = [], [], 0
-        for batch in batches:
+        for batch in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             begin = 0
             for i, text in enumerate(batch.column("text").to_pylist()):
                 texts.append(text or "")
@@ -171,7 +215,7 @@ def tokens(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             yield made(keys, texts)
 
     lists = ", ".join(f"{x} array<int>" for x in ("a", "ea", "b", "eb", "eu"))
-    return source.mapInArrow(lean(run, lambda: both(path_a, path_b).forget()), f"ids array<{kind}>, orders array<array<int>>, na array<bigint>, nb array<bigint>, {lists}")
+    return source.mapInArrow(lean(run, lambda: both(path_a, path_b).forget()), f"ids array<{kind}>, pieces array<int>, upto array<int>, na array<bigint>, nb array<bigint>, {lists}")
 
 
 def _places(some: str, every: str) -> Column:
@@ -181,52 +225,94 @@ def _places(some: str, every: str) -> Column:
     return F.expr(f"transform(array({merged}), m -> transform(filter(sequence(0, size(m) - 2), k -> m[k] = m[k + 1]), (k, g) -> k - g))[0]")
 
 
-def _runs(ids: str) -> str:
-    """(id, n) for each distinct value of an array that isn't empty."""
-    return f"""transform(array(sort_array({ids})), m -> transform(array(filter(sequence(0, size(m) - 1), k -> k = 0 or m[k] <> m[k - 1])),
-        s -> transform(s, (k, i) -> struct(m[k] as id, coalesce(get(s, i + 1), size(m)) - k as n)))[0])[0]"""
+def _names(n: int, *ends: str) -> pa.Array:
+    """The decimal numbers below n, each with each of the ends."""
+    return pa.array([f"{i}{x}" for i in range(n) for x in ends])
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 1 << 20) -> DataFrame:
+@cache
+def _tables(n_a: int, n_b: int) -> pa.Array:
+    """How ids are written: 2 * a, plus 1 if a is the last of its group; then 3 * b, plus 1 as the last of a group, 2 as the last of a piece."""
+    return pa.concat_arrays([_names(n_a, ",", "|"), _names(n_b, ",", ";", "")])
+
+
+def _joined(values: pa.Array, offsets: np.ndarray, between: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), between)
+
+
+def _piece_texts(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, iu: np.ndarray) -> pa.Array:
+    """The groups of each piece as text."""
+    n_a, n_b = (1 << int(x.max(initial=0)).bit_length() for x in (a, b))  # so that few tables are made
+    of_a, of_b = (np.repeat(np.arange(len(x) - 1), np.diff(x)) for x in (ia, ib))
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[ia[1:] - 1] = 1
+    last_b[ib[1:] - 1] = 1
+    last_b[ib[iu[1:]] - 1] = 2
+    codes = np.empty(len(a) + len(b), np.int32)  # group by group, A's ids before B's
+    codes[np.arange(len(a)) + ib[of_a]] = 2 * a + last_a
+    codes[np.arange(len(b)) + ia[of_b + 1]] = 2 * n_a + 3 * b + last_b
+    return _joined(_tables(n_a, n_b).take(pa.array(codes)), ia[iu] + ib[iu], "")
+
+
+def _piece_links(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, iu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, n) of the linked ids, piece by piece, and where each piece's begin."""
+    ka, kb = np.diff(ia), np.diff(ib)
+    size = ka * kb
+    piece = np.repeat(np.arange(len(iu) - 1), np.diff(iu))
+    few = np.flatnonzero(size <= WIDE)
+    g = np.repeat(few, size[few])
+    at = np.arange(len(g)) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+    owner, pair, n = [piece[g]], [(a[ia[g] + at // kb[g]] << 32) + b[ib[g] + at % kb[g]]], [np.ones(len(g), np.int64)]
+    for w in np.flatnonzero(size > WIDE).tolist():
+        (x, nx), (y, ny) = (np.unique(ids[i[w] : i[w + 1]], return_counts=True) for ids, i in ((a, ia), (b, ib)))
+        pair.append(((x << 32)[:, None] + y).ravel())
+        n.append((nx[:, None] * ny).ravel())
+        owner.append(np.full(len(pair[-1]), piece[w]))
+    owner, pair, n = map(np.concatenate, (owner, pair, n))
+    order = np.argsort(owner, kind="stable")
+    return pair[order], n[order], np.searchsorted(owner[order], np.arange(len(iu)))
+
+
+def _documents(row: dict[str, pa.Array]) -> pa.RecordBatch:
+    """What ``align`` says of each document of a block."""
+    own = {c: x.to_numpy().astype(np.int64) for c, x in row.items() if c != "ids"}
+    dictionary = [own[c] for c in ("a", "b", "ia", "ib", "iu")]
+    pieces, upto, iu = own["pieces"], own["upto"], own["iu"]
+    texts = _joined(_piece_texts(*dictionary).take(row["pieces"]), upto, ";")
+    n_groups = np.diff(np.concatenate([[0], np.cumsum(np.diff(iu)[pieces])])[upto])
+    pair, n, first = _piece_links(*dictionary)
+    pair, code = np.unique(pair, return_inverse=True)
+    key, times = np.unique((np.repeat(np.arange(len(upto) - 1), np.diff(upto)) << 32) + pieces, return_counts=True)
+    at, each = _picked(first, key & 0xFFFFFFFF)  # the links of each distinct piece of each document
+    key = (np.repeat(key >> 32, each) << 32) + code[at]
+    order = np.argsort(key)
+    key, sums = key[order], np.concatenate([[0], np.cumsum((np.repeat(times, each) * n[at])[order])])
+    begin = np.flatnonzero(np.diff(key, prepend=-1))
+    edges = np.searchsorted(key[begin], np.arange(len(upto)) << 32)
+    links = pa.StructArray.from_arrays([pa.array(pair[key[begin] & 0xFFFFFFFF]), pa.array(np.diff(sums[[*begin, len(key)]]))], ["pair", "n"])
+    n_links = np.diff(sums[np.append(begin, len(key))[edges]])
+    columns = [row["ids"], row["na"], row["nb"], pa.array(n_groups), pa.array(n_links), texts, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), links)]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+
+
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """For each row: id, n_a, n_b, n_groups, n_links, the groups as text and the links.
 
     ``groups`` is `a1,a2|b1;a3|b2,b3`, ids in order; ``links`` has a struct (pair, n) for each pair of
     linked ids, pair = a * 2**32 + b, n being how often it occurs. Without tokens both are empty.
     """
-    df = tokens(docs, path_a, path_b, id_col, text_col, block_bytes)
-    df = df.withColumn("cuts", F.array_intersect("ea", "eb"))
-    df = df.withColumns({"ia": _places("cuts", "ea"), "ib": _places("cuts", "eb"), "iu": _places("eu", "cuts"), "sa": F.col("a").cast("array<string>"), "sb": F.col("b").cast("array<string>")})
-    # group g + 1 has the tokens ia[g] to ia[g + 1] of A and ib[g] to ib[g + 1] of B, ends exclusive
-    na, nb = "(e - ia[g])", "(ib[g + 1] - ib[g])"
-    pair = lambda x, y: f"shiftleft(cast({x} as bigint), 32) + {y}"
-    a, b = f"slice(a, ia[g] + 1, {na})", f"slice(b, ib[g] + 1, {nb})"
-    groups = "slice(ia, 2, size(ia))"
-    df = df.withColumns({
-        "gs": F.expr(f"transform({groups}, (e, g) -> if({na} = 1 and {nb} = 1, concat(sa[ia[g]], '|', sb[ib[g]]), concat(array_join(slice(sa, ia[g] + 1, {na}), ','), '|', array_join(slice(sb, ib[g] + 1, {nb}), ','))))"),
-        "gl": F.expr(f"transform({groups}, (e, g) -> if({na} = 1 and {nb} = 1, array({pair('a[ia[g]]', 'b[ib[g]]')}), if(cast({na} as bigint) * {nb} > {WIDE}, cast(array() as array<bigint>), flatten(transform({a}, x -> transform({b}, y -> {pair('x', 'y')}))))))"),
-    }).withColumn("wide", F.expr("exists(gl, x -> size(x) = 0)"))
-    none = "cast(array() as array<struct<pair:bigint,n:bigint>>)"
-    product = f"flatten(transform({_runs(a)}, x -> transform({_runs(b)}, y -> struct({pair('x.id', 'y.id')} as pair, cast(x.n as bigint) * y.n as n))))"
-    df = df.withColumn("gw", F.expr(f"if(wide, transform({groups}, (e, g) -> if(cast({na} as bigint) * {nb} > {WIDE}, {product}, {none})), cast(array() as array<array<struct<pair:bigint,n:bigint>>>))"))
-    of = lambda x: f"slice({x}, iu[u] + 1, e - iu[u])"
-    units = "slice(iu, 2, size(iu))"
-    df = df.select(
-        "ids", "orders", "na", "nb", "wide",
-        F.expr(f"transform({units}, (e, u) -> array_join({of('gs')}, ';'))").alias("us"),
-        F.expr(f"transform({units}, (e, u) -> flatten({of('gl')}))").alias("ul"),
-        F.expr(f"if(wide, transform({units}, (e, u) -> flatten({of('gw')})), cast(array() as array<array<struct<pair:bigint,n:bigint>>>))").alias("uw"),
-    )
-    own = f"""struct(ids[i] as id, na[i] as n_a, nb[i] as n_b, array_join(transform(o, u -> us[u]), ';') as groups,
-        flatten(transform(o, u -> ul[u])) as l, if(wide, flatten(transform(o, u -> uw[u])), {none}) as w)"""
-    df = df.select(F.explode(F.expr(f"transform(orders, (o, i) -> {own})")).alias("d")).select("d.*")
-    df = df.withColumn("m", F.sort_array("l")).withColumn("k", F.expr("if(size(m) = 0, cast(array() as array<int>), filter(sequence(0, size(m) - 1), k -> k = 0 or m[k] <> m[k - 1]))"))
-    narrow = "transform(k, (x, i) -> struct(m[x] as pair, cast(coalesce(get(k, i + 1), size(m)) - x as bigint) as n))"
-    merged = """transform(array(sort_array(concat(r, w))), m -> transform(array(filter(sequence(0, size(m) - 1), k -> k = 0 or m[k].pair <> m[k - 1].pair)),
-        s -> transform(s, (k, i) -> struct(m[k].pair as pair, aggregate(slice(m, k + 1, coalesce(get(s, i + 1), size(m)) - k), 0L, (t, x) -> t + x.n) as n)))[0])[0]"""
-    links = F.expr(f"if(size(w) = 0, {narrow}, transform(array({narrow}), r -> {merged})[0])")
-    n_links = F.expr("size(m) + aggregate(w, 0L, (t, x) -> t + x.n)")
-    n_groups = F.expr("if(groups = '', 0L, cast(1 + octet_length(groups) - octet_length(replace(groups, ';', '')) as bigint))")
-    return df.select(F.col("id").alias(id_col), "n_a", "n_b", n_groups.alias("n_groups"), n_links.alias("n_links"), "groups", links.alias("links"))
+    df = tokens(docs, path_a, path_b, id_col, text_col, block_bytes).withColumn("cuts", F.array_intersect("ea", "eb"))
+    # group g + 1 has the tokens ia[g] to ia[g + 1] of A and ib[g] to ib[g + 1] of B, ends exclusive; piece u + 1 the groups iu[u] to iu[u + 1]
+    df = df.select("ids", "pieces", "upto", "na", "nb", "a", "b", _places("cuts", "ea").alias("ia"), _places("cuts", "eb").alias("ib"), _places("eu", "cuts").alias("iu"))
+    kind = df.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _documents({c: batch.column(c)[i].values for c in batch.schema.names})
+
+    whole = df.mapInArrow(lean(run), f"id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links array<struct<pair:bigint,n:bigint>>")
+    return whole.withColumnRenamed("id", id_col)
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
