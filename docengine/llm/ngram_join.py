@@ -42,7 +42,7 @@ from docengine.llm.words import chunks, lean, list_array, mixed, shingle_hashes,
 from docengine.session import cut
 
 CLASS_BITS, WORD_BITS = 20, 15
-BLOCK, FEW, TRIES = 512, 16, 4
+BLOCK, FEW, TRIES = 1024, 16, 4
 # a token's place in the global order: 5 bits of class, 10 of its words' frequency, 49 of hash
 _CLASS_AT, _WORDS_AT = np.uint64(59), np.uint64(49)
 _SHARE = "id long, n int, h1 long, h2 long, keys array<long>, coarse array<long>, sketch array<long>"
@@ -208,6 +208,17 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
 
 
+def _coarse(flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coarse sketches of dense ones, in the same form."""
+    length = np.diff(edges)
+    to = np.concatenate([[0], np.cumsum(np.maximum(1, length // 8))])
+    out = np.zeros(to[-1], np.uint64)
+    for s in np.unique(length).tolist():
+        own, short = np.flatnonzero(length == s), max(1, s // 8)
+        out[to[own][:, None] + np.arange(short)] = np.bitwise_xor.reduce(flat[edges[own][:, None] + np.arange(s)].reshape(len(own), -1, short), axis=1)
+    return out, to
+
+
 def _near(flat: np.ndarray, edges: np.ndarray, i: np.ndarray, k: np.ndarray, least: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which pairs (i, k) of rows their sketches don't rule out; least is the smaller size. The longer sketch is folded onto the shorter."""
     length = np.diff(edges)
@@ -238,15 +249,16 @@ def _across(placed: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     left, right = (few.select("leader", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     small = left.join(right, "leader").filter("a > b and ca <> cb").select("a", "b")
 
-    many = rows.filter(F.col("m") > FEW).join(reps, "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
+    many = rows.filter(F.col("m") > FEW)
+    many = many.join(sieved(reps.select("id", "n", "sketch"), many.select("id"), "id"), "id").withColumn("nb", F.ceil(F.col("m") / BLOCK))
     many = many.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "coarse", "sketch")
+    many = many.select("leader", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "id", "c", "n", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         ids, c, n, blk = (table.column(x).to_numpy() for x in ("id", "c", "n", "blk"))
         same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        flat, edges = _flat(table.column("coarse"))
         dense, at_dense = _flat(table.column("sketch"))
+        flat, edges = _coarse(dense, at_dense)
         length = np.diff(edges)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for s in np.unique(length):
