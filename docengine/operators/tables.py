@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.session import cut
@@ -55,6 +55,13 @@ def same_row(a: str, b: str) -> Column:
     return F.abs((F.col(f"{a}.y0") + F.col(f"{a}.y1")) / 2 - (F.col(f"{b}.y0") + F.col(f"{b}.y1")) / 2) <= near
 
 
+def in_rows(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """The pairs of a page's boxes a and b of the same row; only boxes of neighbouring stretches of height meet."""
+    stretch = lambda n: F.floor((F.col(f"{n}.y0") + F.col(f"{n}.y1")) / 2 / 0.025)
+    near = left.withColumn("_stretch", F.explode(F.array(*[stretch(a) + k for k in (-1, 0, 1)])))
+    return near.join(right.withColumn("_stretch", stretch(b)), ["page", "_stretch"]).filter(same_row(b, a)).drop("_stretch")
+
+
 def in_column(value: str, header: str) -> Column:
     """The value lies under the header, 0.015 more to either side."""
     return (F.col(f"{value}.x0") >= F.col(f"{header}.x0") - 0.015) & (F.col(f"{value}.x1") <= F.col(f"{header}.x1") + 0.015)
@@ -65,11 +72,11 @@ HEADERS = {"permission": "разрешение", "change": "изм.", "sheet": "
 REPLACED = "замена листа"
 
 
-def revision_tables(blocks: DataFrame, most_blocks: int = 200, most_marks: int = 32) -> DataFrame:
+def revision_tables(blocks: DataFrame) -> DataFrame:
     """(page, field, id): printed numbers, revisions and replaced sheets of a page's only revision table.
 
-    blocks: page, id, text, box, usable (valid native text). Pages with more than ``most_blocks``
-    blocks or with several tables have none; a table's first ``most_marks`` marks (by id) count.
+    blocks: page, id, text, box, usable (valid native text). Pages with several tables have none; pages have any
+    number of blocks, tables any number of marks.
     """
     middle = {x: (F.col(f"b.{x}0") + F.col(f"b.{x}1")) / 2 for x in "xy"}
     word = F.lower(F.col("b.text"))
@@ -77,8 +84,8 @@ def revision_tables(blocks: DataFrame, most_blocks: int = 200, most_marks: int =
     # few pages have each header and a mark, the first two once; only they go on
     plain = F.lower(F.trim("text"))
     counts = {k: F.count_if(fine & (plain == w)) for k, w in (HEADERS | {"mark": REPLACED}).items()}
-    pages = blocks.groupBy("page").agg(F.count("*").alias("n"), *[c.alias(f"n_{k}") for k, c in counts.items()])
-    pages = pages.filter((F.col("n") <= most_blocks) & (F.col("n_permission") == 1) & (F.col("n_change") == 1) & (F.col("n_sheet") > 0) & (F.col("n_content") > 0) & (F.col("n_mark") > 0))
+    pages = blocks.groupBy("page").agg(*[c.alias(f"n_{k}") for k, c in counts.items()])
+    pages = pages.filter((F.col("n_permission") == 1) & (F.col("n_change") == 1) & (F.col("n_sheet") > 0) & (F.col("n_content") > 0) & (F.col("n_mark") > 0))
     every = cut(blocks.filter(fine).join(pages.select("page"), "page", "left_semi").select("page", F.struct("id", F.trim("text").alias("text"), *BOX).alias("b")))
 
     def only(source: DataFrame, found: dict[str, Column]) -> DataFrame:
@@ -94,12 +101,11 @@ def revision_tables(blocks: DataFrame, most_blocks: int = 200, most_marks: int =
     placed = every.join(table, "page")
     body = placed.filter((F.col("b.y0") > F.col("change.y1")) & (F.col("b.y1") <= F.col("change.y1") + 0.25))
     marks = body.filter((word == REPLACED) & (F.col("b.x0") > F.col("content.x1"))).select("page", F.col("b").alias("mark"))
-    marks = marks.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("mark.id"))).filter(F.col("k") <= most_marks)
     values = body.filter(word.rlike("^[0-9]{1,4}[а-яa-z]?$") & in_column("b", "sheet")).select("page", F.col("b").alias("value"))
-    met = marks.join(values, "page").filter(same_row("value", "mark")).groupBy("page", "mark.id").agg(F.count("*").alias("n"), F.max("value").alias("value")).filter("n = 1")
+    met = in_rows(marks, "mark", values, "value").groupBy("page", "mark.id").agg(F.count("*").alias("n"), F.max("value").alias("value")).filter("n = 1")
     sheets = met.select("page", F.lit("observed_replaced_sheet").alias("field"), "value")
     labels = body.filter(word.rlike("^[0-9]{1,4}$") & in_column("b", "change")).select("page", F.col("b").alias("label"))
-    labels = labels.join(sheets.select("page", "value"), "page").filter(same_row("label", "value")).select("page", F.lit("revision_label").alias("field"), F.col("label").alias("value")).distinct()
+    labels = in_rows(labels, "label", sheets.select("page", "value").distinct(), "value").select("page", F.lit("revision_label").alias("field"), F.col("label").alias("value")).distinct()
     near = (F.col("b.y0") > F.col("permission.y1")) & (F.col("b.y1") < F.col("change.y0")) & (F.col("b.y1") - F.col("permission.y1") <= 0.08)
     numbers = only(placed, {"value": word.rlike("^[0-9]{1,8}-[0-9]{2,4}$") & in_column("b", "permission") & near})
     numbers = numbers.join(sheets.select("page"), "page", "left_semi").select("page", F.lit("number").alias("field"), "value")

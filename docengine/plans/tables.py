@@ -59,13 +59,13 @@ _ROW = "abs(({0}.y0 + {0}.y1) / 2 - ({1}.y0 + {1}.y1) / 2) <= least(0.02, greate
 _COL = "{0}.x0 >= {1}.x0 - 0.015 AND {0}.x1 <= {1}.x1 + 0.015"
 
 
-@add("D21_revision_tables", f"""WITH b0 AS ({_STAMP}), b AS (SELECT *, lower(text) AS w FROM b0 WHERE usable AND page IN (SELECT page FROM b0 GROUP BY page HAVING count(*) <= 200)),
+@add("D21_revision_tables", f"""WITH b0 AS ({_STAMP}), b AS (SELECT *, lower(text) AS w FROM b0 WHERE usable),
   pe AS (SELECT * FROM b WHERE w = 'разрешение' QUALIFY count(*) OVER (PARTITION BY page) = 1), ch AS (SELECT * FROM b WHERE w = 'изм.' QUALIFY count(*) OVER (PARTITION BY page) = 1),
   sh AS (SELECT b.* FROM b JOIN ch USING (page) WHERE b.w = 'лист' AND {_ROW.format('ch', 'b')} AND b.x0 + b.x1 > ch.x0 + ch.x1 QUALIFY count(*) OVER (PARTITION BY page) = 1),
   co AS (SELECT b.* FROM b JOIN ch USING (page) WHERE b.w = 'содержание изменения' AND {_ROW.format('ch', 'b')} QUALIFY count(*) OVER (PARTITION BY page) = 1),
   g AS (SELECT page FROM pe JOIN ch USING (page) JOIN sh USING (page) JOIN co USING (page) WHERE pe.y1 < ch.y0 AND sh.x0 + sh.x1 < co.x0 + co.x1),
   body AS (SELECT b.* FROM b JOIN g USING (page) JOIN ch USING (page) WHERE b.y0 > ch.y1 AND b.y1 <= ch.y1 + 0.25),
-  ma AS (SELECT body.* FROM body JOIN co USING (page) WHERE body.w = 'замена листа' AND body.x0 > co.x1 QUALIFY row_number() OVER (PARTITION BY page ORDER BY body.id) <= 32),
+  ma AS (SELECT body.* FROM body JOIN co USING (page) WHERE body.w = 'замена листа' AND body.x0 > co.x1),
   va AS (SELECT body.* FROM body JOIN sh USING (page) WHERE regexp_full_match(body.w, '[0-9]{{1,4}}[а-яa-z]?') AND {_COL.format('body', 'sh')}),
   re AS (SELECT va.* FROM ma JOIN va USING (page) WHERE {_ROW.format('va', 'ma')} QUALIFY count(*) OVER (PARTITION BY page, ma.id) = 1),
   nu AS (SELECT b.* FROM b JOIN g USING (page) JOIN pe USING (page) JOIN ch USING (page) WHERE regexp_full_match(b.w, '[0-9]{{1,8}}-[0-9]{{2,4}}') AND {_COL.format('b', 'pe')} AND b.y0 > pe.y1 AND b.y1 < ch.y0 AND b.y1 - pe.y1 <= 0.08 QUALIFY count(*) OVER (PARTITION BY page) = 1)
