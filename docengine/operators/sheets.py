@@ -11,33 +11,34 @@ from docengine.session import cut
 SPAN = 32
 
 
-def _ancestors(links: DataFrame, limit: int) -> DataFrame:
-    """(id, path): the predecessors of each row, nearest first, where the chain ends within ``limit`` rows at a known id.
+def _ancestors(links: DataFrame, limit: int | None) -> DataFrame:
+    """(id, path): the predecessors of each row, nearest first, where the chain ends at a known id, within ``limit`` rows if it is given.
 
-    Every round joins each open path with that of its last row, so paths double; rows on a cycle, behind an unknown
-    id or behind more rows are left out.
+    Every round joins each open path with that of its last row, so paths double; rows on or behind a cycle (their path comes to its
+    last row twice), behind an unknown id or behind more rows are left out.
     """
     p = F.col("predecessor_id")
     state, reach = cut(links.select("id", F.when(p.isNull(), F.array().cast(T.ArrayType(links.schema["id"].dataType))).otherwise(F.array(p)).alias("path"), p.alias("jump"))), 1
-    while reach < limit:
+    while limit is None or reach < limit:
         far = state.select(F.col("id").alias("jump"), F.col("path").alias("more"), F.col("jump").alias("next"))
         moved = state.filter("jump is not null").join(far, "jump").select("id", F.concat("path", "more").alias("path"), F.col("next").alias("jump"))
+        moved = moved.filter(F.col("jump").isNull() | (F.array_position("path", F.col("jump")) == F.size("path")))
         state = cut(state.filter("jump is null").unionByName(moved))
         if state.filter("jump is not null").isEmpty():
             break
         reach *= 2
-    return state.filter((F.col("jump").isNull()) & (F.size("path") < limit)).select("id", "path")
+    return state.filter(F.col("jump").isNull() & (F.lit(True) if limit is None else F.size("path") < limit)).select("id", "path")
 
 
-def sheet_sets(own: DataFrame, replaced: DataFrame, links: DataFrame, limit: int = 32) -> DataFrame:
+def sheet_sets(own: DataFrame, replaced: DataFrame, links: DataFrame, limit: int | None = None) -> DataFrame:
     """(revision_id, label, owner): the sheets of each revision, its own and those it inherits.
 
     own and replaced hold (revision_id, label); links holds (id, predecessor_id). A revision
     inherits its predecessor's sheets but for the labels it replaces. It has no set without
-    sheets of its own, if a label it replaces isn't inherited, if its predecessor has no set, on
-    a cycle, or behind ``limit`` revisions.
+    sheets of its own, if a label it replaces isn't inherited, if its predecessor has no set, or on
+    a cycle. Chains have any length unless ``limit`` names the most revisions.
 
-    No level waits for the one before: each revision meets what all those behind it, ``limit`` at most, say of a label. A sheet
+    No level waits for the one before: each revision meets what all those behind it say of a label. A sheet
     reaches it if no nearer revision replaces the label; a revision has a set if none of its chain is at fault.
     """
     paths = cut(_ancestors(links, limit))

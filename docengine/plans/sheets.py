@@ -23,9 +23,9 @@ def add(name: str, sql: str):
 
 
 @add("J17_sheet_sets", """WITH RECURSIVE n AS (SELECT revision_id AS id, predecessor_id AS p, [{'label': revision_id % 4, 'owner': revision_id}] AS own, CASE WHEN revision_id % 3 = 0 AND predecessor_id IS NOT NULL THEN revision_id % 4 END AS gone FROM revisions),
-  r AS (SELECT id, own AS sheets, 0 AS depth FROM n WHERE p IS NULL UNION ALL
-    SELECT n.id, list_concat(list_filter(r.sheets, lambda x: n.gone IS NULL OR x.label <> n.gone), n.own), depth + 1 FROM n JOIN r ON n.p = r.id
-    WHERE depth < 31 AND (n.gone IS NULL OR list_contains(list_transform(r.sheets, lambda x: x.label), n.gone)))
+  r AS (SELECT id, own AS sheets FROM n WHERE p IS NULL UNION ALL
+    SELECT n.id, list_concat(list_filter(r.sheets, lambda x: n.gone IS NULL OR x.label <> n.gone), n.own) FROM n JOIN r ON n.p = r.id
+    WHERE n.gone IS NULL OR list_contains(list_transform(r.sheets, lambda x: x.label), n.gone))
   SELECT revision_id, s.label AS label, s.owner AS owner FROM (SELECT id AS revision_id, unnest(sheets) AS s FROM r)""")
 def j17(s, d):
     r = cut(a.revisions(s, d).select("revision_id", "predecessor_id"))
