@@ -12,6 +12,7 @@ so by null, the others can't reach it from such texts by adding up and shifting
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -27,14 +28,23 @@ _BYTES = 112
 _ZERO = 1 << (8 * _BYTES - 1)
 _LIMIT = 10 ** (_WHOLE + WORK_PLACES)
 _TENS = [10**k for k in range(WORK_PLACES + 1)]
+_FEW = 8  # places of most numbers
+_PLAIN = re.compile(rf"([+-]?)([0-9]+)(?:[.]([0-9]{{1,{PLACES}}}))?")
+_SHORTEST = re.compile(r"-?(?:0|[1-9][0-9]*)(?:[.][0-9]*[1-9])?")
 
 
 def _read(number: bytes) -> int:
     return int.from_bytes(number, "big") - _ZERO
 
 
+def held(v: int | None) -> int | None:
+    """number * 10^90 itself, null if it has more digits than a number can hold."""
+    return v if v is not None and -_LIMIT < v < _LIMIT else None
+
+
 def _held(v: int | None) -> bytes | None:
-    return (v + _ZERO).to_bytes(_BYTES, "big") if v is not None and -_LIMIT < v < _LIMIT else None
+    v = held(v)
+    return None if v is None else (v + _ZERO).to_bytes(_BYTES, "big")
 
 
 _KINDS = {"binary": (T.BinaryType(), pa.binary()), "string": (T.StringType(), pa.string()), "int": (T.IntegerType(), pa.int32())}
@@ -63,14 +73,17 @@ def _both(f: Callable) -> Callable:
 
 def literal(text: str) -> Column:
     """A number of the program; raises ValueError if the text is none."""
+    return F.lit(_held(constant(text)))
+
+
+def constant(text: str) -> int:
+    """number * 10^90 of a number of the program."""
     digits, places = coefficient(text)
-    return F.lit(_held(digits * _TENS[WORK_PLACES - places]))
+    return digits * _TENS[WORK_PLACES - places]
 
 
 def coefficient(text: str) -> tuple[int, int]:
     """(digits, places) of a decimal text, or of a number's shortest text with an exponent, without trailing zeros."""
-    import re
-
     found = re.fullmatch(r"([+-]?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?", text)
     if found is None:
         raise ValueError(f"no decimal: {text}")
@@ -85,30 +98,67 @@ def coefficient(text: str) -> tuple[int, int]:
     return (-digits if sign == "-" else digits), places if digits else 0
 
 
-def _parsed(text: str) -> bytes:
+def parsed(text: str) -> int:
+    """number * 10^90 of a text of digits with an optional sign and point."""
     whole, _, fraction = text.partition(".")
-    return _held(int(whole + fraction) * _TENS[WORK_PLACES - len(fraction)])
+    return int(whole + fraction) * _TENS[WORK_PLACES - len(fraction)]
 
 
-def _shown(number: bytes) -> str:
-    v = _read(number)
-    whole, rest = divmod(abs(v), _TENS[WORK_PLACES])
-    shown = f"{whole}.{rest:0{WORK_PLACES}d}".rstrip("0") if rest else str(whole)
-    return "-" + shown if v < 0 else shown
+def read(text: str) -> int | None:
+    """number * 10^90 of one row's text; null where ``number`` is."""
+    found = _PLAIN.fullmatch(text)
+    if not found:
+        return None
+    sign, whole, fraction = found.groups("")
+    if len(whole) + len(fraction) > DIGITS:
+        return None
+    v = int(whole + fraction) * _TENS[WORK_PLACES - len(fraction)]
+    return -v if sign == "-" else v
 
 
-def _moved(number: bytes, places: int) -> bytes | None:
-    v = _read(number)
+def shortest(text: str) -> bool:
+    """Whether a text that can be read is the shortest one of its number."""
+    return _SHORTEST.fullmatch(text) is not None and text != "-0"
+
+
+def shown(v: int) -> str:
+    """The shortest text of number * 10^90."""
+    few, rest = divmod(abs(v), _TENS[WORK_PLACES - _FEW])
+    places = _FEW
+    if rest:  # more than a few places
+        few, places = abs(v), WORK_PLACES
+    whole, rest = divmod(few, _TENS[places])
+    digits = f"{whole}.{rest:0{places}d}".rstrip("0") if rest else str(whole)
+    return "-" + digits if v < 0 else digits
+
+
+def moved(v: int, places: int) -> int | None:
+    """v times 10^places, for at most 30 places either way."""
     if places >= 0:
-        return _held(v * _TENS[places])
-    moved = abs(v) // _TENS[-places]
-    return _held(-moved if v < 0 else moved)
+        return held(v * _TENS[places])
+    less = abs(v) // _TENS[-places]
+    return -less if v < 0 else less
+
 
+def times(v: int, digits: int, point: int) -> int | None:
+    """v times digits * 10^-point; null if the result has more than 90 places."""
+    whole, rest = divmod(v, _TENS[point])
+    return None if rest else held(whole * digits)
 
-_number, _text = _each("binary", _parsed), _each("string", _shown)
+
+def nearest(v: int, scale: int, mode: str) -> int | None:
+    """v with at most ``scale`` places, as ``rounded``."""
+    unit = _TENS[WORK_PLACES - scale]
+    kept, rest = divmod(abs(v), unit)
+    if mode != "toward_zero" and (2 * rest > unit or (2 * rest == unit and (mode == "half_up" or kept % 2))):
+        kept += 1
+    return held(-kept * unit if v < 0 else kept * unit)
+
+
+_number, _text = _each("binary", lambda t: _held(parsed(t))), _each("string", lambda x: shown(_read(x)))
 _negated, _absolute = _each("binary", lambda x: _held(-_read(x))), _each("binary", lambda x: _held(abs(_read(x))))
-_sum, _difference, _shift = _both(lambda x, y: _held(_read(x) + _read(y))), _both(lambda x, y: _held(_read(x) - _read(y))), _both(_moved)
-_places = _each("int", lambda x: len(_shown(x).partition(".")[2]))
+_sum, _difference, _shift = _both(lambda x, y: _held(_read(x) + _read(y))), _both(lambda x, y: _held(_read(x) - _read(y))), _both(lambda x, places: _held(moved(_read(x), places)))
+_places = _each("int", lambda x: len(shown(_read(x)).partition(".")[2]))
 
 
 def number(text: Column) -> Column:
@@ -159,25 +209,11 @@ def places(x: Column) -> Column:
 def product(x: Column, factor: str) -> Column:
     """x times a number of the program; null if the result has more than 90 places."""
     digits, point = coefficient(factor)
-
-    def times(number: bytes) -> bytes | None:
-        v, rest = divmod(_read(number), _TENS[point])
-        return None if rest else _held(v * digits)
-
-    return _each("binary", times)(x)
+    return _each("binary", lambda x: _held(times(_read(x), digits, point)))(x)
 
 
 def rounded(x: Column, scale: int, mode: str) -> Column:
     """x with at most ``scale`` places (0 to 30): half_up and half_even by the absolute number, or toward_zero."""
     if mode not in ROUNDINGS or not 0 <= scale <= PLACES:
         raise ValueError(f"rounding to {scale} places, {mode}")
-    unit = _TENS[WORK_PLACES - scale]
-
-    def to_unit(number: bytes) -> bytes | None:
-        v = _read(number)
-        kept, rest = divmod(abs(v), unit)
-        if mode != "toward_zero" and (2 * rest > unit or (2 * rest == unit and (mode == "half_up" or kept % 2))):
-            kept += 1
-        return _held(-kept * unit if v < 0 else kept * unit)
-
-    return _each("binary", to_unit)(x)
+    return _each("binary", lambda x: _held(nearest(_read(x), scale, mode)))(x)

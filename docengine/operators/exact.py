@@ -4,19 +4,22 @@ A side is a set of columns (see Side): a decimal with the unit that was read bes
 that holds it, if its uncertainty is known. Sides are converted to the policy's unit by a power of ten,
 rounded, and compared as intervals: match if all values in them hold, mismatch if none do, else
 not_comparable. Whatever stands against a comparison is named in ``detail``, the expected side's first.
-All numbers are exact (functions/exact.py); every row is judged by itself, in columns.
+All numbers are exact (functions/exact.py); every row is judged by itself.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, fields
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docengine.functions import exact as x
-from docengine.functions.text import decimal_input
 
 # Lengths with their powers of ten and Cyrillic names, more spellings of the metre, and the other units.
 LENGTHS = (("mm", -3, "мм"), ("cm", -2, "см"), ("m", 0, "м"), ("km", 3, "км"))
@@ -120,45 +123,72 @@ class ExactSpec:
                 x.coefficient(t)
 
 
-def _first(*reasons: tuple[Column, str]) -> Column:
-    """The name of the first condition that holds, or null; an unknown condition doesn't hold."""
-    return reduce(lambda c, r: c.when(r[0], r[1]), reasons[1:], F.when(*reasons[0]))
-
-
-def prepared(df: DataFrame, side: Side, policy: Policy, prefix: str) -> DataFrame:
-    """df with the side's converted, rounded and interval numbers, the conversion and what stands against them.
-
-    Columns: {prefix}point, _lower, _upper (numbers), _converted (text), _exponent, _error (null if none), _there.
-    """
-    c = lambda n: F.col(f"{prefix}{n}")
-    _, dimension, power = next(v for v in UNITS.values() if v[0] == policy.target)
-    df = df.withColumns({f"{prefix}_unit": F.when(F.col(side.source) == "missing", F.when(F.lit(policy.target == "1"), unit(F.lit("1")))).otherwise(unit(F.col(side.raw))), f"{prefix}_x": x.number(F.col(side.decimal)), f"{prefix}_l": x.number(F.coalesce(side.lower, side.decimal)), f"{prefix}_u": x.number(F.coalesce(side.upper, side.decimal))})
-    found, missing = c("_unit"), F.col(side.source) == "missing"
-    there = F.col(side.value).isNotNull()
-    stated = unit(F.col(side.stated))["canonical"]
-    uncertain = F.col(side.lower).isNotNull() | F.col(side.upper).isNotNull()
-    error = _first(
-        (F.col(side.decimal).isNull(), "numerical_evidence_missing"),
-        (c("_x").isNull(), "decimal_invalid"),
-        (x.text(c("_x")) != F.col(side.decimal), "numerical_value_invalid"),
-        (missing & F.col(side.raw).isNotNull(), "numerical_missing_unit_invalid"),
-        (F.coalesce(~missing, F.lit(True)) & (~F.coalesce(F.col(side.source).isin("value", "row", "header"), F.lit(False)) | (F.coalesce(F.trim(side.raw), F.lit("")) == "")), "numerical_unit_origin_missing"),
-        (~missing & found.isNull(), "numerical_unit_invalid"),
-        (uncertain & (F.col(side.lower).isNull() | F.col(side.upper).isNull()), "numerical_uncertainty_invalid"),
-        (c("_l").isNull() | c("_u").isNull(), "decimal_invalid"),
-        ((c("_l") > c("_x")) | (c("_u") < c("_x")), "numerical_uncertainty_invalid"),
-        (~F.coalesce(x.text(x.number(decimal_input(F.col(side.value).cast("string")))) == F.col(side.decimal), F.lit(False)), "numerical_value_evidence_mismatch"),
-        (missing & found.isNull(), "unit_missing"),
-        (found["dimension"] != dimension, "unit_dimension_mismatch"),
-        (F.lit(dimension == "ratio" and not policy.percent_fraction) & (found["canonical"] != policy.target), "percent_fraction_not_authorized"),
-        (F.col(side.stated).isNotNull() & ~F.coalesce(stated == found["canonical"], F.lit(False)), "unit_evidence_mismatch"),
-    )
-    df = df.withColumns({f"{prefix}_there": there, f"{prefix}_error": F.when(there, error), f"{prefix}_exponent": found["exponent"] - power})
-    fine = c("_there") & c("_error").isNull()
-    moved = lambda n: F.when(fine, x.shifted(c(n), c("_exponent")))
-    end = (lambda v: x.rounded(v, *policy.rounding)) if policy.rounding else (lambda v: v)
-    df = df.withColumns({f"{prefix}_c": moved("_x"), f"{prefix}_cl": moved("_l"), f"{prefix}_cu": moved("_u")})
-    return df.withColumns({f"{prefix}_point": end(c("_c")), f"{prefix}_lower": end(c("_cl")), f"{prefix}_upper": end(c("_cu")), f"{prefix}_converted": x.text(c("_c"))}).drop(*[f"{prefix}{n}" for n in ("_x", "_l", "_u", "_c", "_cl", "_cu", "_unit")])
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WRITTEN = re.compile(r"[+-]?(?:[0-9]{1,3}(?: [0-9]{3})+|[0-9]+)(?:[.,][0-9]+)?")
+
+
+@lru_cache(1 << 12)
+def _unit(raw: str | None) -> tuple[str, str, int] | None:
+    """``unit`` of one row's spelling."""
+    return None if raw is None else UNITS.get(re.sub(f"[{_SPACES}]+", "", raw.lower()))
+
+
+def _written(value: str) -> str | None:
+    """``decimal_input`` of one row's text."""
+    plain = value.strip(" ").replace("\xa0", " ").replace("\u202f", " ")
+    return plain.replace(" ", "").replace(",", ".").removeprefix("+") if _WRITTEN.fullmatch(plain) else None
+
+
+def _taken(policy: Policy, value: str | None, decimal: str | None, source: str | None, raw: str | None, stated: str | None, lower: str | None, upper: str | None) -> tuple:
+    """(error, point, lower, upper, converted) of one row's side: numbers times 10^90, null where the side is absent or at fault."""
+
+    def fault(name: str | None) -> tuple:
+        return name, None, None, None, None
+
+    if value is None:
+        return fault(None)
+    if decimal is None:
+        return fault("numerical_evidence_missing")
+    v = x.read(decimal)
+    if v is None:
+        return fault("decimal_invalid")
+    if not x.shortest(decimal):
+        return fault("numerical_value_invalid")
+    missing = source == "missing"
+    if missing and raw is not None:
+        return fault("numerical_missing_unit_invalid")
+    if not missing and (source not in ("value", "row", "header") or not (raw or "").strip(" ")):
+        return fault("numerical_unit_origin_missing")
+    found = _unit(raw) if not missing else UNITS["1"] if policy.target == "1" else None
+    if not missing and found is None:
+        return fault("numerical_unit_invalid")
+    if (lower is None) != (upper is None):
+        return fault("numerical_uncertainty_invalid")
+    low, high = (v, v) if lower is None else (x.read(lower), x.read(upper))
+    if low is None or high is None:
+        return fault("decimal_invalid")
+    if low > v or high < v:
+        return fault("numerical_uncertainty_invalid")
+    if value != decimal:
+        written = _written(value)
+        same = None if written is None else x.read(written)
+        if same is None or x.shown(same) != decimal:
+            return fault("numerical_value_evidence_mismatch")
+    if found is None:
+        return fault("unit_missing")
+    name, dimension, power = found
+    _, wanted, base = _unit(policy.target)
+    if dimension != wanted:
+        return fault("unit_dimension_mismatch")
+    if wanted == "ratio" and not policy.percent_fraction and name != policy.target:
+        return fault("percent_fraction_not_authorized")
+    if stated is not None and (_unit(stated) or (None,))[0] != name:
+        return fault("unit_evidence_mismatch")
+    ends = [x.moved(n, power - base) for n in ((v,) if lower is None else (v, low, high))]
+    converted = ends[0]
+    if policy.rounding:
+        ends = [None if n is None else x.nearest(n, *policy.rounding) for n in ends]
+    return (None, *(ends if len(ends) == 3 else ends * 3), converted)
 
 
 def absolute_range(low: Column, high: Column) -> tuple[Column, Column]:
@@ -168,68 +198,101 @@ def absolute_range(low: Column, high: Column) -> tuple[Column, Column]:
     return F.when((low <= zero) & (high >= zero), zero).otherwise(F.least(a, b)), F.greatest(a, b)
 
 
+def _span(low: int, high: int) -> tuple[int, int]:
+    """``absolute_range`` of one row's numbers."""
+    a, b = abs(low), abs(high)
+    return 0 if low <= 0 <= high else min(a, b), max(a, b)
+
+
+#: What a comparison tells, all of it texts.
+_TOLD = ("result", "detail", "delta", "relative_numerator", "relative_denominator", "bound_lower", "bound_upper", "expected_converted", "actual_converted")
+
+
+def _judge(spec: ExactSpec) -> Callable[[Sequence, Sequence], tuple]:
+    """A function of one row's two sides, each with the texts that a Side names, that gives _TOLD."""
+    number = lambda t: None if t is None else x.constant(t)
+    least_bound, most_bound, absolute = number(spec.min), number(spec.max), number(spec.tolerance_abs or "0")
+    unknown = (spec.min is not None and spec.min_inclusive is None) or (spec.max is not None and spec.max_inclusive is None)
+    zero_error = factor = None
+    if spec.kind == "numeric_delta" and spec.tolerance_pct is not None:
+        digits, places = x.coefficient(spec.tolerance_pct)
+        if places + 2 > 30:
+            raise ValueError("a percentage of at most 28 places")
+        factor = x.coefficient(f"{digits}e-{places + 2}")
+        zero_error = "zero_expected_not_comparable" if spec.policy.zero_expected == "not_comparable" else "zero_expected_absolute_tolerance_missing" if spec.tolerance_abs is None else None
+    shown = lambda v: None if v is None else x.shown(v)
+
+    def threshold(low: int | None, high: int | None) -> tuple[bool, bool]:
+        if low is None or high is None:
+            return False, False
+        holds, fails = True, False
+        if least_bound is not None:
+            holds, fails = (low >= least_bound, high < least_bound) if spec.min_inclusive else (low > least_bound, high <= least_bound)
+        if most_bound is not None:
+            always, never = (high <= most_bound, low > most_bound) if spec.max_inclusive else (high < most_bound, low >= most_bound)
+            holds, fails = holds and always, fails or never
+        return holds, fails
+
+    def judge(expected: Sequence[str | None], actual: Sequence[str | None]) -> tuple:
+        there = expected[0] is not None, actual[0] is not None
+        e_error, e, e_low, e_high, e_converted = _taken(spec.policy, *expected)
+        a_error, a, a_low, a_high, a_converted = _taken(spec.policy, *actual)
+        error = e_error or a_error
+        delta = numerator = denominator = low = high = None
+        holds = fails = False
+        if spec.kind == "threshold":
+            error = error or ("numerical_value_missing" if not any(there) else "numerical_boundary_missing" if unknown else None)
+            holds, fails = threshold(e_low if a_low is None else a_low, e_high if a_high is None else a_high)
+        else:
+            error = error or (None if all(there) else "numerical_pair_missing")
+            if e is not None and a is not None:
+                delta = a - e
+                if e:
+                    numerator, denominator = x.moved(abs(delta), 2), abs(e)
+                if spec.kind == "equals":
+                    holds, fails = e_low == e_high and a_low == a_high and e == a, a_high < e_low or a_low > e_high
+                elif spec.kind == "no_decrease":
+                    holds, fails = a_low >= e_high, a_high < e_low
+                elif spec.kind == "no_increase":
+                    holds, fails = a_high <= e_low, a_low > e_high
+                else:
+                    near, far = _span(a_low - e_high, a_high - e_low)
+                    low = high = absolute
+                    if factor is not None:
+                        least, most = _span(e_low, e_high)
+                        low, high = x.times(least, *factor), x.times(most, *factor)
+                        if spec.inclusive is not None:
+                            error = error or (zero_error if least == 0 else None) or ("decimal_scale_limit" if low is None or high is None else None)
+                        low, high = (None if v is None else max(absolute, v) for v in (low, high))
+                    if low is not None and high is not None:
+                        holds, fails = (far <= low, near > high) if spec.inclusive else (far < low, near >= high)
+            if spec.kind == "numeric_delta" and spec.inclusive is None:
+                error = error or "numerical_boundary_missing"
+        if error is not None:
+            holds = fails = False
+            low = high = None
+        result = "match" if holds else "mismatch" if fails else "not_comparable"
+        detail = (error or "uncertainty_crosses_boundary") if result == "not_comparable" else None
+        return result, detail, shown(delta), shown(numerator), shown(denominator), shown(low), shown(high), shown(e_converted), shown(a_converted)
+
+    return judge
+
+
 def compared(df: DataFrame, spec: ExactSpec, expected: Side, actual: Side) -> DataFrame:
     """df with result (match, mismatch, not_comparable), detail, delta, relative_numerator and _denominator,
     bound_lower and bound_upper, expected_converted and actual_converted, all but the first two as decimal texts.
 
-    A threshold looks at the actual side, or at the expected one where there is no actual value.
+    A threshold looks at the actual side, or at the expected one where there is no actual value. All rows are judged in one
+    pass over Arrow batches.
     """
-    df = prepared(prepared(df, expected, spec.policy, "e"), actual, spec.policy, "a")
-    c = F.col
-    zero, none = x.literal("0"), F.lit(None).cast("string")
-    both = c("e_point").isNotNull() & c("a_point").isNotNull()
-    extra: dict[str, Column] = {}
-    if spec.kind == "threshold":
-        lower, upper = F.coalesce("a_lower", "e_lower"), F.coalesce("a_upper", "e_upper")
-        unknown = (spec.min is not None and spec.min_inclusive is None) or (spec.max is not None and spec.max_inclusive is None)
-        always, never = F.lit(True), F.lit(False)
-        if spec.min is not None:
-            limit = x.literal(spec.min)
-            always, never = always & (lower >= limit if spec.min_inclusive else lower > limit), never | (upper < limit if spec.min_inclusive else upper <= limit)
-        if spec.max is not None:
-            limit = x.literal(spec.max)
-            always, never = always & (upper <= limit if spec.max_inclusive else upper < limit), never | (lower > limit if spec.max_inclusive else lower >= limit)
-        error = F.coalesce("e_error", "a_error", F.when(~(c("e_there") | c("a_there")), "numerical_value_missing"), F.lit("numerical_boundary_missing") if unknown else none)
-        ready, holds, fails = error.isNull(), always, never
-    else:
-        error = F.coalesce("e_error", "a_error", F.when(~(c("e_there") & c("a_there")), "numerical_pair_missing"))
-        df = df.withColumn("_delta", F.when(both, x.subtract(c("a_point"), c("e_point"))))
-        extra = {"delta": x.text(c("_delta"))}
-        relative = F.when(c("e_point") != zero, c("_delta"))
-        extra |= {"relative_numerator": x.text(x.shifted(x.absolute(relative), F.lit(2))), "relative_denominator": F.when(relative.isNotNull(), x.text(x.absolute(c("e_point"))))}
-        single = (c("e_lower") == c("e_upper")) & (c("a_lower") == c("a_upper"))
-        if spec.kind == "equals":
-            holds, fails = single & (c("e_point") == c("a_point")), (c("a_upper") < c("e_lower")) | (c("a_lower") > c("e_upper"))
-        elif spec.kind == "no_decrease":
-            holds, fails = c("a_lower") >= c("e_upper"), c("a_upper") < c("e_lower")
-        elif spec.kind == "no_increase":
-            holds, fails = c("a_upper") <= c("e_lower"), c("a_lower") > c("e_upper")
-        else:
-            absolute = x.literal(spec.tolerance_abs or "0")
-            least, most = absolute_range(c("e_lower"), c("e_upper"))
-            near, far = absolute_range(x.subtract(c("a_lower"), c("e_upper")), x.subtract(c("a_upper"), c("e_lower")))
-            df = df.withColumns({"_least": F.when(both, least), "_most": F.when(both, most), "_near": F.when(both, near), "_far": F.when(both, far)})
-            low = high = absolute
-            if spec.tolerance_pct is not None:
-                digits, places = x.coefficient(spec.tolerance_pct)
-                factor = str(digits) + f"e-{places + 2}" if places + 2 <= 30 else None
-                if factor is None:
-                    raise ValueError("a percentage of at most 28 places")
-                zero_error = "zero_expected_not_comparable" if spec.policy.zero_expected == "not_comparable" else "zero_expected_absolute_tolerance_missing" if spec.tolerance_abs is None else None
-                df = df.withColumns({"_low": x.product(c("_least"), factor), "_high": x.product(c("_most"), factor)})
-                if zero_error:
-                    error = F.coalesce(error, F.when(c("_least") == zero, zero_error))
-                error = F.coalesce(error, F.when(both & (c("_low").isNull() | c("_high").isNull()), "decimal_scale_limit"))
-                low, high = F.when(c("_low").isNotNull(), F.greatest(absolute, c("_low"))), F.when(c("_high").isNotNull(), F.greatest(absolute, c("_high")))
-            if spec.inclusive is None:
-                error = F.coalesce(F.coalesce("e_error", "a_error", F.when(~(c("e_there") & c("a_there")), "numerical_pair_missing")), F.lit("numerical_boundary_missing"))
-            holds, fails = (c("_far") <= low, c("_near") > high) if spec.inclusive else (c("_far") < low, c("_near") >= high)
-            extra |= {"bound_lower": x.text(F.when(both, low)), "bound_upper": x.text(F.when(both, high))}
-        ready = error.isNull()
-    df = df.withColumn("_error", error)
-    ready = c("_error").isNull()
-    result = F.when(ready & holds, "match").when(ready & fails, "mismatch").otherwise("not_comparable")
-    out = {n: none for n in ("delta", "relative_numerator", "relative_denominator", "bound_lower", "bound_upper")} | extra
-    df = df.withColumns({"result": result} | {n: F.when(ready, v) if n.startswith("bound") else v for n, v in out.items()} | {"expected_converted": c("e_converted"), "actual_converted": c("a_converted")})
-    df = df.withColumn("detail", F.when(c("result") == "not_comparable", F.coalesce("_error", F.lit("uncertainty_crosses_boundary"))))
-    return df.drop("_error", "_delta", "_least", "_most", "_near", "_far", "_low", "_high", *[f"{p}{n}" for p in "ea" for n in ("_there", "_error", "_exponent", "_point", "_lower", "_upper", "_converted")])
+    judge, names = _judge(spec), [f.name for f in fields(Side)]
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in _TOLD])
+
+    @F.arrow_udf(kind)
+    def judged(*columns: pa.Array) -> pa.Array:
+        rows = zip(*[c.to_pylist() for c in columns], strict=True)
+        told = list(zip(*[judge(r[: len(names)], r[len(names) :]) for r in rows], strict=True)) or [[] for _ in _TOLD]
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in told], _TOLD)
+
+    told = df.select(*df.columns, judged(*[F.col(getattr(side, n)).cast("string") for side in (expected, actual) for n in names]).alias("_told"))
+    return told.select(*df.columns, "_told.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from docengine.functions import exact as x
@@ -94,14 +96,16 @@ def measured(s, d):
     """Lines and their parts as measured pairs: what the part costs in metres, what the line says in one of four units, some with an uncertainty."""
     joined = table(s, d, "lineitem").join(table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     n = F.col("l_linenumber")
-    power = F.element_at(F.array(*map(F.lit, (-3, -2, 0, 3))), (F.pmod(n, F.lit(4)) + 1).cast("int"))
-    actual = (F.col("l_extendedprice").cast("decimal(18,2)") - F.col("p_retailprice").cast("decimal(18,2)") * (F.col("l_quantity").cast("int") - 1)).cast("string")
-    df = joined.select(F.col("l_orderkey").alias("order_id"), n.alias("line"), x.number(F.col("p_retailprice").cast("decimal(18,2)").cast("string")).alias("e"), x.shifted(x.number(actual), -power).alias("a"), (F.col("l_tax") > 0.04).alias("uncertain"))
+    factor = F.element_at(F.array(*[F.lit(Decimal(f)).cast("decimal(7,3)") for f in ("1000", "100", "1", "0.001")]), (F.pmod(n, F.lit(4)) + 1).cast("int"))
+    price = F.col("p_retailprice").cast("decimal(18,2)")
+    actual = (F.col("l_extendedprice").cast("decimal(18,2)") - price * (F.col("l_quantity").cast("int") - 1)).cast("decimal(30,2)")
+    df = joined.select(F.col("l_orderkey").alias("order_id"), n.alias("line"), price.alias("e"), (actual * factor).alias("a"), (F.col("l_tax") > 0.04).alias("uncertain"))
     none = F.lit(None).cast("string")
-    half = x.literal("0.5")
-    sides = {"x_decimal": x.text(F.col("e")), "x_source": F.lit("value"), "x_raw": F.lit("м"), "x_stated": F.lit("m"), "x_lower": none, "x_upper": none}
-    sides |= {"y_decimal": x.text(F.col("a")), "y_source": F.when(F.col("line") == 7, "missing").otherwise("row"), "y_raw": F.when(F.col("line") != 7, F.element_at(F.array(*map(F.lit, ("мм", "см", "м", "km"))), (F.pmod("line", F.lit(4)) + 1).cast("int"))), "y_stated": none}
-    sides |= {"y_lower": F.when(F.col("uncertain"), x.text(x.subtract(F.col("a"), half))), "y_upper": F.when(F.col("uncertain"), x.text(x.add(F.col("a"), half)))}
+    half = F.lit(Decimal("0.5"))
+    shown = lambda c: F.regexp_replace(c.cast("string"), r"[.]0+$|([.][0-9]*[1-9])0+$", "$1")
+    sides = {"x_decimal": shown(F.col("e")), "x_source": F.lit("value"), "x_raw": F.lit("м"), "x_stated": F.lit("m"), "x_lower": none, "x_upper": none}
+    sides |= {"y_decimal": shown(F.col("a")), "y_source": F.when(F.col("line") == 7, "missing").otherwise("row"), "y_raw": F.when(F.col("line") != 7, F.element_at(F.array(*map(F.lit, ("мм", "см", "м", "km"))), (F.pmod("line", F.lit(4)) + 1).cast("int"))), "y_stated": none}
+    sides |= {"y_lower": F.when(F.col("uncertain"), shown(F.col("a") - half)), "y_upper": F.when(F.col("uncertain"), shown(F.col("a") + half))}
     return df.select("order_id", "line", *[c.alias(k) for k, c in sides.items()]).withColumns({"x_value": F.col("x_decimal"), "y_value": F.col("y_decimal")})
 
 
