@@ -8,13 +8,13 @@ equal anchors at equal places. Anchors that occur once are done with. The others
 strings that hold the anchor) are dealt into suffix buckets by anchor. A bucket has a fixed size,
 and their number follows from the counted contexts; a task holds one bucket at a time.
 
-Within a bucket, suffixes are sorted blockwise with a difference cover. The cover sample (every
+Within a bucket, suffixes are grouped blockwise with a difference cover. The cover sample (every
 position whose place modulo 13, counted from the anchor, is in the cover) gets ranks by doubling
-of what follows it, 13 to 104 bytes. Then one block of suffixes is sorted at a time, those that
-begin at one distance before their anchors: by their first bytes up to the next sample position,
-the ranks there and at the last sample position from which 104 bytes fit, and the bytes that
-remain. So ties of any length are settled by ranks, bytes are compared exactly, and no array is
-longer than the sample.
+of what follows it, 13 to 104 bytes; ranks are equal for equal bytes at one place, in no order.
+Then one block of suffixes is grouped at a time, those that begin at one distance before their
+anchors: by their first bytes up to the next sample position, the ranks there and at the last
+sample position from which 104 bytes fit, and the bytes that remain. So ties of any length are
+settled by ranks, bytes are compared exactly, and no array is longer than the sample.
 
 Contexts that repeat within a chunk of rows are settled there and passed on once, so a passage
 that occurs in any share of the rows reaches a bucket once a chunk. Where all contexts of an
@@ -322,11 +322,16 @@ def _spans(ids, th, start, stop) -> pa.Table:
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    """Equal ranks for equal keys, from 0 on, in ascending order."""
-    codes, different = pd.factorize(keys.ravel())
-    place = np.empty(len(different), np.uint64)
-    place[np.argsort(different)] = np.arange(len(different), dtype=np.uint64)
-    return place[codes].reshape(keys.shape)
+    """Equal ranks for equal keys of a column, from 0 on as they first occur.
+
+    Strings are only asked for equality, and only against others of the same column: no order is needed, and a column's table stays small.
+    """
+    if keys.ndim == 1:
+        return pd.factorize(keys)[0].astype(np.uint64)
+    out = np.empty(keys.shape, np.uint64, order="F")
+    for k in range(keys.shape[1]):
+        out[:, k] = _ranks(np.ascontiguousarray(keys[:, k]))
+    return out
 
 
 def _text_at(slots: np.ndarray, column: int, n: int) -> np.ndarray:
@@ -351,7 +356,7 @@ class CoverRanks:
         self.next = np.array([min(c + k for k in range(PERIOD) if (c + k) % PERIOD in COVER) for c in range(width)])
         self.last = np.array([max((c - k for k in range(PERIOD) if (c - k) % PERIOD in COVER), default=-1) for c in range(width)])
         self.slots, self.depth = slots, PERIOD
-        if self.columns.size * len(slots) >= 1 << 24:
+        if len(slots) >= 1 << 24:
             raise ValueError("too many contexts for ranks of 24 bits")
         head = np.stack([_text_at(slots, c, 8) for c in self.columns], axis=1)
         rest = np.stack([_text_at(slots, c + 8, PERIOD - 8) for c in self.columns], axis=1)
